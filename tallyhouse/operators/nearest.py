@@ -9,16 +9,21 @@ so a query travels to those alone. Neither route forms rows for all pairs.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.session import stored
 
+# The functions below travel with the tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The most query vectors sent to all tasks; a batch beyond goes by cells.
 MAX_SENT_QUERIES = 4096
 MAX_PIVOTS = 1024

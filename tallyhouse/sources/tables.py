@@ -69,4 +69,5 @@ def register_lake(
         table = f"`{database}`.`{name}`"
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{path}'")
-        spark.catalog.refreshTable(table)
+        if any(column.isPartition for column in spark.catalog.listColumns(table)):
+            spark.catalog.recoverPartitions(table)

@@ -13,7 +13,8 @@ MONEY = "decimal(12,2)"
 
 LINES = """lines AS (
   SELECT *, c_nationkey AS venue_id, n_name AS venue_name,
-         o_orderdate + (l_orderkey % 1440) * INTERVAL 1 MINUTE AS sold_at
+         o_orderdate + (l_orderkey % 1440) * INTERVAL 1 MINUTE AS sold_at,
+         date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS landed
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"""
 
@@ -28,7 +29,7 @@ ITEMS = f"""{LINES}, items AS (
   FROM lines WHERE l_linenumber % 3 = 2)"""
 
 RAW_SALES = f"""{LINES}, raw_sales AS (
-  SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, day(o_orderdate) AS day,
+  SELECT year(landed) AS year, month(landed) AS month, day(landed) AS day,
          venue_id, venue_name, l_orderkey * 2 AS transaction_id,
          CASE WHEN l_orderkey % 101 <> 0 THEN sold_at END AS transaction_date,
          o_custkey AS member_id, c_name AS member_name,
@@ -37,7 +38,7 @@ RAW_SALES = f"""{LINES}, raw_sales AS (
          CASE WHEN l_linenumber % 3 > 0 THEN p_name END AS first_product
   FROM lines WHERE l_orderkey % 3 > 0
   UNION ALL
-  SELECT year(o_orderdate), month(o_orderdate), day(o_orderdate), venue_id, venue_name, l_orderkey * 2 + 1,
+  SELECT year(landed), month(landed), day(landed), venue_id, venue_name, l_orderkey * 2 + 1,
          sold_at + INTERVAL 45 MINUTE + INTERVAL 250 MILLISECOND, o_custkey, c_name,
          CAST(c_acctbal AS {MONEY}), CAST(o_totalprice AS {MONEY}), 1, p_brand
   FROM lines WHERE l_orderkey % 3 = 2)"""
@@ -213,7 +214,7 @@ ORACLES: dict[str, str] = {
         SELECT strftime(ts, '%Y-%m-%d') AS date, sum(event_id)::bigint AS id_sum FROM events
         WHERE CAST(ts AS date) BETWEEN DATE '2024-01-11' AND DATE '2024-01-15' GROUP BY 1""",
     "scan_json_partitioned": f"""WITH {LINES}
-        SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, day(o_orderdate) AS day, venue_name,
+        SELECT year(landed) AS year, month(landed) AS month, day(landed) AS day, venue_name,
                sum(l_orderkey % 3)::bigint AS sales
         FROM lines GROUP BY ALL""",
     "sink_parquet_partitioned": f"""WITH {ROSTERS}

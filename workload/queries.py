@@ -105,7 +105,7 @@ def regexp_extract_int(spark, sf_dir):
     path = F.expr(
         """concat('s3://lake/sales/year=', year(o_orderdate), '/month=',
            CASE o_orderkey % 3 WHEN 0 THEN lpad(month(o_orderdate), 2, '0')
-               WHEN 1 THEN month(o_orderdate) ELSE 'unknown' END,
+               WHEN 1 THEN cast(month(o_orderdate) AS string) ELSE 'unknown' END,
            '/day=', day(o_orderdate), '/part-0.json')"""
     )
     return s.table(spark, sf_dir, "orders").select(

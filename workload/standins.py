@@ -71,8 +71,10 @@ def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as landed: 0 to 2 sales each, times as text, by landing day.
 
-    The second sale happens 45 minutes and 250 milliseconds after the first and
-    has the companion item only. One order in 101 carries text that is no time.
+    The sales of a month land on the first of the next, so landing and business
+    dates differ. The second sale of a record happens 45 minutes and 250
+    milliseconds after the first and has the companion item only. One order in
+    101 carries text that is no time.
     """
     first = f"""CASE WHEN l_orderkey % 101 = 0 THEN 'unknown'
         ELSE date_format({_SOLD_AT}, "{WITH_MILLIS}") END"""
@@ -81,13 +83,14 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         _sale_struct("l_orderkey * 2", first, _ITEMS),
         _sale_struct("l_orderkey * 2 + 1", second, f"array({_COMPANION})"),
     ]
+    landed = "add_months(trunc(o_orderdate, 'MM'), 1)"
     return _lines(spark, sf_dir).selectExpr(
         "c_nationkey AS venue_id",
         "n_name AS venue_name",
         f"slice(array({', '.join(both)}), 1, cast(l_orderkey % 3 AS int)) AS Sales",
-        "year(o_orderdate) AS year",
-        "month(o_orderdate) AS month",
-        "day(o_orderdate) AS day",
+        f"year({landed}) AS year",
+        f"month({landed}) AS month",
+        f"day({landed}) AS day",
     )
 
 
