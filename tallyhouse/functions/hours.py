@@ -27,8 +27,12 @@ def elapsed_hours(start: Column, end: Column) -> Column:
 
 
 def counted_hours(start: Column, end: Column) -> Column:
-    """Elapsed hours, but a shift always counts for at least one."""
-    return F.greatest(F.lit(1).cast("bigint"), elapsed_hours(start, end))
+    """Elapsed hours, but a shift always counts for at least one.
+
+    ``greatest`` skips NULLs, so a shift without an end is excluded by hand.
+    """
+    whole = elapsed_hours(start, end)
+    return F.when(whole.isNotNull(), F.greatest(F.lit(1).cast("bigint"), whole))
 
 
 def hour_slots(start: Column, end: Column) -> Column:
@@ -37,4 +41,5 @@ def hour_slots(start: Column, end: Column) -> Column:
     Their number equals ``counted_hours``: a shift shorter than an hour still
     has the slot it starts in, and a trailing part hour has none.
     """
-    return F.sequence(start, F.greatest(start, end - one_hour()), one_hour())
+    last = F.when(end.isNotNull(), F.greatest(start, end - one_hour()))
+    return F.sequence(start, last, one_hour())

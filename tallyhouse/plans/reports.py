@@ -7,6 +7,7 @@ and ``location`` narrow a report to one venue, ranges include both end days.
 from __future__ import annotations
 
 from datetime import timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,24 +129,34 @@ def member_spend(sales: DataFrame, start: Day, end: Day) -> DataFrame:
     """Spend per member with the balances of the latest sale in the range.
 
     The items of a sale are summed inside its row, so each sale enters the
-    aggregation once. Sales at one instant are told apart by their id.
+    aggregation once and without its items. Sales at one instant are told apart
+    by their id: time and id are packed into one number, because an order by a
+    struct would put the rows through a sort instead of a hash aggregation.
     """
     sale = F.col("Sales_Details")
-    latest = F.struct(sale["Transaction_Date"], sale["Transaction_Id"])
     zero = F.lit(0).cast("decimal(22,2)")
     spend = F.aggregate(
         sale["Items"],
         zero,
         lambda total, item: (total + F.coalesce(item["Total_Inc"], zero)).cast("decimal(22,2)"),
     )
-    return (
+    micros = F.unix_micros(sale["Transaction_Date"].cast("timestamp_ltz")).cast("decimal(18,0)")
+    latest = micros * F.lit(Decimal(10**19)) + sale["Transaction_Id"]
+    per_sale = (
         sales.where(day_range(sale["Transaction_Date"], start, end))
         .where(F.size(sale["Items"]) > 0)
-        .groupBy(sale["Member_Id"].alias("member_id"), sale["Member_Name"].alias("member_name"))
-        .agg(
-            F.sum(spend).alias("spend"),
-            F.count(F.lit(1)).alias("sales"),
-            F.max_by(sale["Member_Account_Balance"], latest).alias("account_balance"),
-            F.max_by(sale["Member_Points_Balance"], latest).alias("points_balance"),
+        .select(
+            sale["Member_Id"].alias("member_id"),
+            sale["Member_Name"].alias("member_name"),
+            spend.alias("spend"),
+            sale["Member_Account_Balance"].alias("account_balance"),
+            sale["Member_Points_Balance"].alias("points_balance"),
+            latest.alias("latest"),
         )
     )
+    return per_sale.groupBy("member_id", "member_name").agg(
+        F.sum("spend").alias("spend"),
+        F.count(F.lit(1)).alias("sales"),
+        F.max_by("account_balance", "latest").alias("account_balance"),
+        F.max_by("points_balance", "latest").alias("points_balance"),
+    )

@@ -444,7 +444,7 @@ GOLDEN_SQL = {
                    roster_start_time,
                    greatest(roster_start_time, roster_end_time - INTERVAL 1 HOUR),
                    INTERVAL 1 HOUR)) AS slot
-          FROM {rosters} WHERE location_name = 'NATION_2')
+          FROM {rosters} WHERE location_name = 'NATION_2' AND roster_end_time IS NOT NULL)
         GROUP BY ALL
     """,
 }

@@ -13,10 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.timeparse import WITH_MILLIS, WITHOUT_MILLIS
+from tallyhouse.session import spread
+
+
+# Tables whose rows grow into feeds; the others only ever sit on the small side of a join.
+FACTS = frozenset({"lineitem", "events", "documents", "conversations", "embeddings"})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in FACTS else df
 
 
 def _money(column: str) -> str:
