@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the hour label is text of this shape.
-HOUR_LABEL = "yyyy-MM-dd HH:00:00"
+# Fixed value: the hour label is text like 2024-05-07 09:00:00.
+LABEL_TAIL = ":00:00"
+HOUR_LENGTH = len("2024-05-07 09")
 
 
 def one_hour() -> Column:
@@ -14,11 +15,13 @@ def one_hour() -> Column:
 
 
 def hour_label(ts: Column) -> Column:
-    return F.date_format(ts, HOUR_LABEL)
+    """The hour as text. Formatting functions would go through the session zone."""
+    return F.concat(F.substring(ts.cast("string"), 1, HOUR_LENGTH), F.lit(LABEL_TAIL))
 
 
 def hour_floor(ts: Column) -> Column:
-    return F.date_trunc("hour", ts).cast("timestamp_ntz")
+    past = F.make_dt_interval(mins=F.minute(ts), secs=F.extract(F.lit("SECOND"), ts))
+    return ts - past
 
 
 def elapsed_hours(start: Column, end: Column) -> Column:

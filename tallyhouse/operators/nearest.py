@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.session import stored
@@ -207,20 +207,20 @@ def _by_cells(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for c in range(len(pivots))
             if sizes[c] and demand[c]
         ],
-        "cell int, v_blocks int, q_blocks int",
+        "cell int, v_blocks bigint, q_blocks bigint",
     )
     sent_grid = F.broadcast(grid)
     v_side = celled.join(sent_grid, "cell").select(
         "cell",
         F.pmod(F.xxhash64("vec_id"), F.col("v_blocks")).alias("v_block"),
-        F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"),
+        _each(F.col("q_blocks")).alias("q_block"),
         "vec_id",
         "embedding",
     )
     q_side = routed.join(sent_grid, "cell").select(
         "cell",
-        F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).cast("bigint").alias("v_block"),
-        F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int").alias("q_block"),
+        _each(F.col("v_blocks")).alias("v_block"),
+        F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).alias("q_block"),
         "query_id",
         "embedding",
     )
@@ -244,6 +244,10 @@ def _by_cells(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return v_side.groupBy(*block).cogroup(q_side.groupBy(*block)).applyInPandas(match, RESULT)
 
 
+def _each(blocks: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+
+
 def _strides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Short slices, so that a slice against all pivots stays a small matrix."""
     for batch in batches:

@@ -24,14 +24,17 @@ class Outcome:
 def check_sql(spark: SparkSession, text: str) -> str:
     """``Passed``, or why the text cannot be planned. Nothing is executed.
 
-    Explaining the text plans it without running a command it may contain; a
-    name that does not resolve is reported inside the explanation.
+    Explaining plans the text without running a command it may contain. The
+    explanation only tells that planning failed; text that failed cannot run
+    either, so asking for its frame gives the reason.
     """
     try:
         plan = spark.sql(f"EXPLAIN {text}").first()[0]
+        if plan.startswith(_PLANNING_FAILED):
+            spark.sql(text)
     except PySparkException as error:
         return str(error)
-    return plan.partition("\n")[2].strip() or plan if _PLANNING_FAILED in plan else PASSED
+    return PASSED
 
 
 def run_sql(spark: SparkSession, text: str) -> Outcome:

@@ -1,0 +1,239 @@
+from datetime import date, datetime
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyhouse.operators import access, items, shifts
+from tallyhouse.plans import dashboard, grain, reports
+
+SALE = """struct<Transaction_Id: bigint, Transaction_Date: timestamp_ntz, Member_Id: bigint,
+    Member_Name: string, Member_Account_Balance: decimal(12,2), Member_Points_Balance: decimal(12,2),
+    Items: array<struct<Product_Name: string, Master_Group_Id: int, Quantity: decimal(12,2),
+                        Total_Inc: decimal(12,2)>>>"""
+
+
+def at(text):
+    return datetime.fromisoformat(text)
+
+
+@pytest.fixture
+def sales(spark):
+    def sale(venue, sale_id, when, member, lines, balance=0):
+        things = lines and [(p, g, Decimal(q), Decimal(t)) for p, g, q, t in lines]
+        return (
+            venue, f"V{venue}",
+            (sale_id, at(when), member, f"M{member}", Decimal(balance), Decimal(sale_id), things),
+        )
+
+    return spark.createDataFrame(
+        [
+            sale(1, 1, "2024-05-01 00:00:00", 7, [("ale", 1, 2, 10), ("pie", 2, 1, 8)], 5),
+            sale(1, 2, "2024-05-17 23:59:59.900", 7, [("tea", 1, 2, 4)], 6),
+            sale(1, 3, "2024-05-18 00:00:00", 8, [("ale", 1, 9, 45)]),
+            sale(1, 4, "2024-05-17 23:59:59.900", 7, [("ale", 1, 1, 5)], 9),
+            sale(1, 5, "2024-05-03 12:00:00", 8, []),
+            sale(1, 6, "2024-05-03 12:00:00", 8, None),
+            sale(2, 7, "2024-05-03 12:00:00", 9, [("gin", 1, 5, 30)]),
+        ],
+        f"venue_id int, venue_name string, Sales_Details {SALE}",
+    )
+
+
+@pytest.fixture
+def timesheets(spark):
+    def shift(place, start, end, cost, clocked=(None, None)):
+        start, end = at(start), at(end)
+        day = datetime(start.year, start.month, start.day)
+        return (place, day, start, end, *[c and at(c) for c in clocked], Decimal(cost))
+
+    return spark.createDataFrame(
+        [
+            shift("V1", "2024-05-01 10:30:00", "2024-05-01 14:00:00", 30),
+            shift("V1", "2024-05-02 23:00:00", "2024-05-03 02:00:00", 9),
+            shift("V1", "2024-05-04 10:00:00", "2024-05-04 12:00:00", 10,
+                  ("2024-05-04 10:00:00", "2024-05-04 10:30:00")),
+            shift("V2", "2024-05-03 10:00:00", "2024-05-03 11:00:00", 7),
+        ],
+        """location_name string, timesheet_date timestamp_ntz, pay_start_time timestamp_ntz,
+           pay_end_time timestamp_ntz, clocked_start_time timestamp_ntz,
+           clocked_end_time timestamp_ntz, timesheet_cost decimal(12,2)""",
+    )
+
+
+@pytest.fixture
+def rosters(timesheets):
+    return timesheets.selectExpr(
+        "location_name",
+        "pay_start_time AS roster_start_time",
+        "pay_end_time AS roster_end_time",
+        "timesheet_cost AS roster_cost",
+    )
+
+
+def test_items_drop_empty_and_missing_arrays(sales):
+    assert items.sale_items(sales).count() == 6
+
+
+def test_beverage_total_counts_the_whole_last_day(sales):
+    flat = items.sale_items(sales)
+    total = reports.beverage_sales_total(flat, 1, "2024-05-01", "2024-05-17").first()
+    assert total["beverage_sale_inc"] == 19
+    none = reports.beverage_sales_total(flat, 99, "2024-05-01", "2024-05-17").collect()
+    assert [r["beverage_sale_inc"] for r in none] == [None]
+
+
+def test_daily_report_fills_the_missing_side(sales, timesheets):
+    flat = items.sale_items(sales)
+    out = reports.daily_sales_vs_wages(flat, timesheets, 1, "2024-05-01", "2024-05-17").collect()
+    assert [(r["date"].day, int(r["sales"]), int(r["wages"])) for r in out] == [
+        (1, 18, 30), (2, 0, 9), (4, 0, 10), (17, 9, 0),
+    ]
+
+
+def test_unknown_venue_gives_no_rows(sales, timesheets):
+    flat = items.sale_items(sales)
+    out = reports.daily_sales_vs_wages(flat, timesheets, 99, "2024-05-01", "2024-05-17")
+    assert out.count() == 0
+
+
+def test_a_renamed_venue_has_its_least_name(spark, rows):
+    df = spark.createDataFrame([(1, "B"), (1, "A"), (2, "C")], "venue_id int, venue_name string")
+    assert rows(items.venue_dimension(df)) == [(1, "A"), (2, "C")]
+
+
+def test_hourly_cost_of_a_day(rosters, timesheets):
+    out = reports.hourly_roster_vs_timesheet(rosters, timesheets, "V1", "2024-05-01").collect()
+    assert [(r["hour"][11:13], r["roster_wages"]) for r in out] == [("10", 10), ("11", 10), ("12", 10)]
+
+
+@pytest.mark.parametrize("day", ["2024-05-02", "2024-05-03"])
+def test_a_shift_past_midnight(rosters, timesheets, day):
+    whole = reports.hourly_roster_vs_timesheet(rosters, timesheets, "V1", day)
+    hours = [r["hour"] for r in whole.collect()]
+    assert hours == ["2024-05-02 23:00:00", "2024-05-03 00:00:00", "2024-05-03 01:00:00"]
+    clipped = reports.hourly_roster_vs_timesheet(rosters, timesheets, "V1", day, clip=True)
+    assert [r["hour"] for r in clipped.collect()] == [h for h in hours if h.startswith(day)]
+
+
+def test_clocked_times_win_and_a_short_shift_counts_an_hour(timesheets, rows):
+    worked = shifts.timesheet_shifts(timesheets.where("timesheet_cost = 10"))
+    assert rows(shifts.hourly_cost(worked)) == [("2024-05-04 10:00:00", Decimal("10.000000"))]
+
+
+def test_spreading_conserves_cost(spark):
+    base = spark.range(5000).selectExpr(
+        "concat('V', id % 3) AS location_name",
+        "timestamp_ntz'2024-05-01' + id * interval '7' minute AS shift_start",
+        "timestamp_ntz'2024-05-01' + (id * 7 + id % 900) * interval '1' minute AS shift_end",
+        "cast(id * 1.37 AS decimal(12,2)) AS cost",
+    )
+    spread = shifts.hourly_cost(base, ["location_name"]).agg(F.sum("hourly_cost")).first()[0]
+    total = base.agg(F.sum("cost")).first()[0]
+    assert abs(float(spread) - float(total)) < 0.01
+
+
+def test_summing_first_equals_spreading_each_shift(spark, rows):
+    base = spark.range(3000).selectExpr(
+        "'V' AS location_name",
+        "timestamp_ntz'2024-05-01' + id * interval '3' minute AS shift_start",
+        "timestamp_ntz'2024-05-01' + (id * 3 + id % 700) * interval '1' minute AS shift_end",
+        "cast(id % 50 AS decimal(12,2)) AS cost",
+    )
+    one_by_one = (
+        base.selectExpr(
+            "cost / greatest(1, timestampdiff(HOUR, shift_start, shift_end)) AS share",
+            """explode(sequence(shift_start, greatest(shift_start, shift_end - interval 1 hour),
+               interval 1 hour)) AS slot""",
+        )
+        .groupBy(F.date_format("slot", "yyyy-MM-dd HH:00:00").alias("hour"))
+        .agg(F.sum("share").alias("c"))
+    )
+    expected = {r["hour"]: float(r["c"]) for r in one_by_one.collect()}
+    got = {r["hour"]: float(r["hourly_cost"]) for r in shifts.hourly_cost(base).collect()}
+    assert got.keys() == expected.keys()
+    assert all(abs(got[h] - expected[h]) < 1e-5 for h in got)
+
+
+def test_totals_always_give_a_row(rosters, timesheets):
+    args = (rosters, timesheets, "nowhere", "2024-05-01", "2024-05-31")
+    assert [tuple(r) for r in reports.total_roster_vs_timesheet(*args).collect()] == [(0, 0)]
+
+
+def test_top_products_break_ties_by_name(sales):
+    flat = items.sale_items(sales)
+    out = reports.top_products(flat, "2024-05-18 10:00:00", k=2).collect()
+    assert [(r["product_name"], int(r["total_quantity"])) for r in out] == [("ale", 12), ("gin", 5)]
+    tied = flat.withColumn("quantity", F.lit(1)).dropDuplicates(["product_name"])
+    out = reports.top_products(tied, "2024-05-18 10:00:00", k=2).collect()
+    assert [r["product_name"] for r in out] == ["ale", "gin"]
+
+
+def test_trailing_window_is_inclusive_and_bounded(sales):
+    flat = items.sale_items(sales)
+    assert reports.top_products(flat, "2024-08-18 00:00:00").count() == 1
+    assert reports.top_products(flat, "2024-08-18 00:00:01").count() == 0
+    assert reports.top_products(flat, "2024-05-01 00:00:00").count() == 1
+
+
+def test_member_spend_takes_the_latest_balances(sales, rows):
+    out = reports.member_spend(sales, "2024-05-01", "2024-05-17")
+    got = {r["member_id"]: r for r in out.collect()}
+    # Members without a sold item are not in the unnested sales.
+    assert got.keys() == {7, 9}
+    assert (int(got[7]["spend"]), got[7]["sales"]) == (27, 3)
+    # Two sales at one instant: the later id counts.
+    assert (int(got[7]["account_balance"]), int(got[7]["points_balance"])) == (9, 4)
+
+
+def test_daily_sums_add_up_to_the_total(sales, timesheets, rosters):
+    flat = items.sale_items(sales)
+    daily = grain.auto_grain_report(flat, timesheets, rosters, 1, "2024-05-01", "2024-05-31")
+    total = grain.auto_grain_report(flat, timesheets, rosters, 1, "2024-04-01", "2024-06-30")
+    assert {r["grain"] for r in daily.collect()} == {"day"}
+    summed = daily.agg(*[F.sum(m) for m in grain.MEASURES]).first()
+    row = total.first()
+    assert row["grain"] == "total"
+    assert tuple(summed) == tuple(row[m] for m in grain.MEASURES)
+
+
+def test_hour_grain(sales, timesheets, rosters):
+    flat = items.sale_items(sales)
+    out = grain.auto_grain_report(flat, timesheets, rosters, 1, "2024-05-01", "2024-05-01").collect()
+    assert [(r["period"][11:13], int(r["sales"]), int(r["roster_wages"])) for r in out] == [
+        ("00", 18, 0), ("10", 0, 10), ("11", 0, 10), ("12", 0, 10),
+    ]
+
+
+def test_total_grain_of_an_unknown_venue_is_zero(sales, timesheets, rosters):
+    flat = items.sale_items(sales)
+    out = grain.auto_grain_report(flat, timesheets, rosters, 99, "2024-04-01", "2024-06-30").collect()
+    assert [tuple(r[m] for m in grain.MEASURES) for r in out] == [(0, 0, 0)]
+
+
+def test_dashboard_merges_four_feeds(spark, sales, timesheets, rosters):
+    egm = spark.createDataFrame(
+        [(1, date(2024, 5, 1), Decimal(50), Decimal(20)), (9, date(2024, 5, 1), Decimal(5), Decimal(2))],
+        "Venue_Id int, Date date, `EGM Turnover` decimal(14,2), `EGM Wins` decimal(14,2)",
+    )
+    flat = items.sale_items(sales)
+    out = dashboard.dashboard_daily(flat, timesheets, rosters, egm, "2024-05-01", "2024-05-31")
+    got = {(r["venue"], r["date"].day): tuple(int(r[m]) for m in dashboard.MEASURES) for r in out.collect()}
+    assert got[("V1", 1)] == (18, 30, 30, 50, 20)
+    assert got[("V1", 2)] == (0, 9, 9, 0, 0)
+    assert got[("V2", 3)] == (30, 7, 7, 0, 0)
+    assert got[(None, 1)] == (0, 0, 0, 5, 2)
+
+
+def test_role_gate(spark, rows):
+    roles = spark.createDataFrame(
+        [("a", "analysis"), ("b", "admin"), ("c", "staff"), ("a", "analysis")],
+        "username string, role string",
+    )
+    requests = spark.createDataFrame(
+        [(i, u) for i, u in enumerate(["a", "b", "c", "d", None])], "id int, username string"
+    )
+    outcome = {r["id"]: r["outcome"] for r in access.with_decision(requests, roles).collect()}
+    assert outcome == {0: "allowed", 1: "allowed", 2: "Permission Denied", 3: "error", 4: "error"}
+    assert rows(access.allowed_requests(requests, roles), "id") == [(0,), (1,)]
+    assert rows(access.refused_requests(requests, roles), "id") == [(2,), (3,), (4,)]
