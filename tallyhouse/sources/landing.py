@@ -28,13 +28,11 @@ def read_landing(spark: SparkSession, root: str, feed: Feed, infer: bool = False
 
 
 def stream_landing(
-    spark: SparkSession, root: str, feed: Feed, files_per_batch: int | None = None
+    spark: SparkSession, root: str, feed: Feed, files_per_batch: int
 ) -> DataFrame:
     """The same scan as a stream that picks up each file once."""
     reader = spark.readStream.schema(feed.schema).option("basePath", root)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(root)
+    return reader.option("maxFilesPerTrigger", files_per_batch).json(root)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

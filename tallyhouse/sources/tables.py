@@ -23,6 +23,7 @@ def write_table(
     path: str,
     partition_by: Sequence[str],
     mode: str = "append",
+    regroup: bool = True,
     max_records_per_file: int = 0,
 ) -> None:
     """Snappy Parquet in ``key=value`` directories.
@@ -30,9 +31,11 @@ def write_table(
     ``append`` adds the rows, so running it twice doubles them.
     ``replace_partitions`` replaces exactly the directories present in ``df``
     and can be repeated; use it only when ``df`` holds all rows of those.
+    ``regroup`` off saves the shuffle where the input is laid out like the
+    output already, as a landing is.
     """
     writer = (
-        rebalanced(df, partition_by)
+        (rebalanced(df, partition_by) if regroup else df)
         .write.partitionBy(*partition_by)
         .option("compression", "snappy")
         .option("maxRecordsPerFile", max_records_per_file)

@@ -12,6 +12,9 @@ from tallyhouse.sources.landing import stream_landing
 # Fixed value: how a stored mark is written.
 MARK_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSX"
 
+# A backlog is taken in steps of this many files, each committed on its own.
+FILES_PER_BATCH = 10_000
+
 
 def ingest_new_files(
     spark: SparkSession,
@@ -19,7 +22,7 @@ def ingest_new_files(
     landing: str,
     out: str,
     checkpoint: str,
-    files_per_batch: int | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
 ) -> None:
     """Load every landed file not loaded yet, then stop.
 

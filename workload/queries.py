@@ -334,7 +334,8 @@ def daily_wages(spark, sf_dir):
 @register
 def daily_sales_vs_wages(spark, sf_dir):
     return reports.daily_sales_vs_wages(
-        _items(spark, sf_dir), s.timesheets(spark, sf_dir), VENUE_ID, FIRST_DAY, LAST_DAY
+        _items(spark, sf_dir), s.timesheets(spark, sf_dir), VENUE_ID, FIRST_DAY, LAST_DAY,
+        venues=s.venues(spark, sf_dir),
     )
 
 
@@ -397,7 +398,7 @@ def venue_dimension(spark, sf_dir):
 def _auto_grain(spark, sf_dir, start, end):
     return grain.auto_grain_report(
         _items(spark, sf_dir), s.timesheets(spark, sf_dir), s.rosters(spark, sf_dir),
-        VENUE_ID, start, end,
+        VENUE_ID, start, end, venues=s.venues(spark, sf_dir),
     )
 
 
