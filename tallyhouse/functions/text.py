@@ -23,13 +23,17 @@ def strip(text: Column) -> Column:
 def drop_line_feeds(text: Column) -> Column:
     """Remove each line feed with up to 20 spaces after it, widest run first.
 
-    One regular expression is not the same: with stacked line feeds an earlier
-    removal exposes more spaces to a later, narrower one.
+    Where no line feed is followed by more spaces than that, every run goes
+    whole and one pattern does the same in a single pass. A wider run leaves
+    spaces behind, which a line feed stacked before it may then take along, so
+    texts with one go through the widths one after the other.
     """
-    flat = text
+    wider = F.contains(text, F.lit("\n" + " " * (MAX_INDENT + 1)))
+    stepwise = text
     for width in range(MAX_INDENT, -1, -1):
-        flat = F.replace(flat, F.lit("\n" + " " * width), F.lit(""))
-    return F.when(F.contains(text, F.lit("\n")), flat).otherwise(text)
+        stepwise = F.replace(stepwise, F.lit("\n" + " " * width), F.lit(""))
+    at_once = F.regexp_replace(text, rf"\n {{0,{MAX_INDENT}}}", "")
+    return F.when(wider, stepwise).when(F.contains(text, F.lit("\n")), at_once).otherwise(text)
 
 
 def escape_braces(text: Column) -> Column:

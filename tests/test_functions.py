@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 import pytest
@@ -157,6 +158,16 @@ def test_flatten_text(spark, value):
     assert one(spark, text.flatten_text(F.col("v")), value) == looped(value)
 
 
+def test_flatten_text_on_random_runs(spark):
+    rng = random.Random(11)
+    pieces = ["\n", "\n\n", " ", " " * 7, " " * 20, " " * 21, " " * 45, "x", "{"]
+    values = ["".join(rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    flat = df.select("v", text.flatten_text(F.col("v")).alias("f"))
+    wrong = [r["v"] for r in flat.collect() if r["f"] != looped(r["v"])]
+    assert wrong == []
+
+
 REPLIES = {
     # reply -> (status, message), (strict status, strict message)
     "NO\nwhy": (("error", "\nwhy"), ("error", "why")),
