@@ -37,17 +37,20 @@ def check_sql(spark: SparkSession, text: str) -> str:
     return PASSED
 
 
-def run_sql(spark: SparkSession, text: str) -> Outcome:
-    """The result as a frame, not yet executed, or the analysis error."""
+def run_sql(spark: SparkSession, text: str, **parameters: object) -> Outcome:
+    """The result as a frame, not yet executed, or the analysis error.
+
+    Values go in as ``:name`` parameters, never by pasting them into the text.
+    """
     try:
-        return Outcome(SUCCESS, text, spark.sql(text))
+        return Outcome(SUCCESS, text, spark.sql(text, args=parameters))
     except PySparkException as error:
         return Outcome(ERROR, str(error))
 
 
-def run_sql_into(spark: SparkSession, text: str, path: str) -> Outcome:
+def run_sql_into(spark: SparkSession, text: str, path: str, **parameters: object) -> Outcome:
     """Execute once into Parquet at ``path``; run-time errors become the message."""
-    planned = run_sql(spark, text)
+    planned = run_sql(spark, text, **parameters)
     if planned.frame is None:
         return planned
     try:

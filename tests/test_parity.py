@@ -1,44 +1,24 @@
 """Every registered query against its SQL in DuckDB, on whole tables."""
 
-import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from tests.parity import connect, rows_of_duck, rows_of_spark
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
 
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    con.execute("SET TimeZone = 'UTC'")
-    for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
-    return con
-
-
-def canonical(value):
-    return repr(round(value, 6)) if isinstance(value, float) else repr(value)
+    return connect(SF_DIR)
 
 
 @pytest.mark.parametrize("name", sorted(driver.queries()))
 def test_same_rows(spark, duck, name):
     frame = driver.queries()[name](spark, SF_DIR)
-    columns = sorted(frame.columns)
-    ours = sorted(tuple(canonical(row[c]) for c in columns) for row in frame.collect())
-
-    result = duck.execute(driver.oracle_sql()[name])
-    names = [c[0] for c in result.description]
-    assert sorted(names) == columns
-    at = [names.index(c) for c in columns]
-    theirs = sorted(tuple(canonical(row[i]) for i in at) for row in result.fetchall())
-
+    ours = rows_of_spark(frame)
     assert ours, "a query without rows proves nothing"
-    assert ours == theirs
+    assert ours == rows_of_duck(duck, driver.oracle_sql()[name], frame.columns)
 
 
 def test_every_query_has_an_oracle():

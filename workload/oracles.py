@@ -352,4 +352,15 @@ ORACLES: dict[str, str] = {
         SELECT event_id, username FROM requests WHERE username NOT IN (
           SELECT username FROM user_role WHERE role IN ('analysis', 'admin'))""",
 }
+# Reports asked in SQL return what the reports do.
 ORACLES["sql_surface"] = ORACLES["beverage_sales_total"]
+for _report in (
+    "daily_sales_vs_wages",
+    "hourly_roster_vs_timesheet",
+    "total_roster_vs_timesheet",
+    "top_products",
+):
+    ORACLES[f"sql_{_report}"] = ORACLES[_report]
+ORACLES["auto_grain_report"] = " UNION ALL ".join(
+    f"SELECT * FROM ({ORACLES[f'auto_grain_{grain}']})" for grain in ("total", "day", "hour")
+)

@@ -17,6 +17,7 @@ from tallyhouse.functions import calendar, hours, text, timeparse
 from tallyhouse.operators import access, context, items, nearest, shifts, snapshots
 from tallyhouse.plans import dashboard, etl, grain, reports
 from tallyhouse.plans.sql_surface import run_sql
+from tallyhouse.plans.worked_sql import WORKED_SQL
 from tallyhouse.session import configure, fresh_dir
 from tallyhouse.sources import landing, tables
 from tallyhouse.streaming import ingest
@@ -417,6 +418,14 @@ def auto_grain_hour(spark, sf_dir):
     return _auto_grain(spark, sf_dir, SHIFT_DAY, SHIFT_DAY)
 
 
+@register
+def auto_grain_report(spark, sf_dir):
+    """The same report asked for half a year, a month and a day."""
+    ranges = (("1999-12-01", "2000-05-17"), MONTH, (SHIFT_DAY, SHIFT_DAY))
+    whole, daily, hourly = (_auto_grain(spark, sf_dir, *r) for r in ranges)
+    return whole.unionByName(daily).unionByName(hourly)
+
+
 @register
 def dashboard_daily(spark, sf_dir):
     return dashboard.dashboard_daily(
@@ -427,34 +436,64 @@ def dashboard_daily(spark, sf_dir):
 
 # --- SQL surface -------------------------------------------------------------
 
-GOLDEN_SQL = {
-    "beverages": """
-        SELECT sum(item.Total_Inc) AS beverage_sale_inc
-        FROM {sales} LATERAL VIEW explode(Sales_Details.Items) AS item
-        WHERE venue_id = 1 AND item.Master_Group_Id = 1
-          AND Sales_Details.Transaction_Date >= TIMESTAMP_NTZ'1996-05-01'
-          AND Sales_Details.Transaction_Date < TIMESTAMP_NTZ'1999-05-18'
-    """,
-    "planned_hours": """
-        SELECT date_format(slot, 'yyyy-MM-dd HH:00:00') AS hour,
-               round(sum(cost / worked), 6) AS roster_wages
-        FROM (
-          SELECT roster_cost AS cost,
-                 greatest(1, timestampdiff(HOUR, roster_start_time, roster_end_time)) AS worked,
-                 explode(sequence(
-                   roster_start_time,
-                   greatest(roster_start_time, roster_end_time - INTERVAL 1 HOUR),
-                   INTERVAL 1 HOUR)) AS slot
-          FROM {rosters} WHERE location_name = 'NATION_2' AND roster_end_time IS NOT NULL)
-        GROUP BY ALL
-    """,
-}
+HOURLY_PLAN = """
+    SELECT date_format(slot, 'yyyy-MM-dd HH:00:00') AS hour, round(sum(cost / worked), 6) AS roster_wages
+    FROM (
+      SELECT roster_cost AS cost,
+             greatest(1, timestampdiff(HOUR, roster_start_time, roster_end_time)) AS worked,
+             explode(sequence(
+               roster_start_time,
+               greatest(roster_start_time, roster_end_time - INTERVAL 1 HOUR),
+               INTERVAL 1 HOUR)) AS slot
+      FROM venue_lake.rosters WHERE location_name = :location AND roster_end_time IS NOT NULL)
+    GROUP BY ALL
+"""
+
+
+def _ask(spark: SparkSession, sql: str, **parameters: object) -> DataFrame:
+    outcome = run_sql(spark, sql, **parameters)
+    if outcome.frame is None:
+        raise ValueError(outcome.message)
+    return outcome.frame
+
+
+def _ask_worked(spark: SparkSession, sf_dir: str, name: str, **parameters: object) -> DataFrame:
+    views = {"sales": s.sales, "timesheets": s.timesheets, "rosters": s.rosters}
+    tables.register_views({view: make(spark, sf_dir) for view, make in views.items()})
+    return _ask(spark, WORKED_SQL[name], **parameters)
 
 
 @register
 def sql_surface(spark, sf_dir):
-    tables.register_views({"venue_sales": s.sales(spark, sf_dir)})
-    return _run(spark, GOLDEN_SQL["beverages"].format(sales="venue_sales"))
+    return _ask_worked(
+        spark, sf_dir, "beverage_sales_total", venue_id=1, start="1996-05-01", stop="1999-05-18"
+    )
+
+
+@register
+def sql_daily_sales_vs_wages(spark, sf_dir):
+    return _ask_worked(
+        spark, sf_dir, "daily_sales_vs_wages", venue_id=VENUE_ID, start=FIRST_DAY, stop="2002-01-01"
+    )
+
+
+@register
+def sql_hourly_roster_vs_timesheet(spark, sf_dir):
+    return _ask_worked(
+        spark, sf_dir, "hourly_roster_vs_timesheet", location=VENUE, start=SHIFT_DAY, stop="2000-01-18"
+    )
+
+
+@register
+def sql_total_roster_vs_timesheet(spark, sf_dir):
+    return _ask_worked(
+        spark, sf_dir, "total_roster_vs_timesheet", location=VENUE, start="1999-12-01", stop="2000-05-18"
+    )
+
+
+@register
+def sql_top_products(spark, sf_dir):
+    return _ask_worked(spark, sf_dir, "top_products", as_of=AS_OF)
 
 
 @register
@@ -464,14 +503,7 @@ def sql_lake_tables(spark, sf_dir):
     _land(s.raw_rosters(spark, sf_dir), etl.ROSTERS_JOB.feed, root)
     etl.run_job(spark, etl.ROSTERS_JOB, root, out)
     tables.register_lake(spark, "venue_lake", fresh_dir(spark, "lake"), {"rosters": out})
-    return _run(spark, GOLDEN_SQL["planned_hours"].format(rosters="venue_lake.rosters"))
-
-
-def _run(spark: SparkSession, sql: str) -> DataFrame:
-    outcome = run_sql(spark, sql)
-    if outcome.frame is None:
-        raise ValueError(outcome.message)
-    return outcome.frame
+    return _ask(spark, HOURLY_PLAN, location=VENUE)
 
 
 # --- text, vectors, access ---------------------------------------------------
