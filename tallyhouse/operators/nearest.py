@@ -51,7 +51,7 @@ def nearest(
     vectors = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding")
     queries = queries.where("embedding IS NOT NULL").select("query_id", "embedding")
     head = queries.limit(max_sent + 1).toArrow()
-    if head.num_rows == 0:
+    if head.num_rows == 0 or vectors.isEmpty():
         return queries.sparkSession.createDataFrame([], RESULT + ", rank int")
     partial = (
         _by_cells(vectors, queries, k) if head.num_rows > max_sent else _by_sending(vectors, head, k)
@@ -143,8 +143,10 @@ def _by_sending(vectors: DataFrame, head: pa.Table, k: int) -> DataFrame:
 
 def _by_cells(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
+    # Cells of about a block each: smaller ones would only multiply query copies.
+    wanted = min(MAX_PIVOTS, -(-vectors.count() // BLOCK_VECTORS))
     pivots = _matrix(
-        vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MAX_PIVOTS).toArrow()["embedding"]
+        vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).toArrow()["embedding"]
     )
     sent_pivots = spark.sparkContext.broadcast(pivots)
 
@@ -227,12 +229,13 @@ def _by_cells(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     block = ["cell", "v_block", "q_block"]
 
     def match(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        # A hashed block may be empty on either side.
         if v.empty or q.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
         ids = v["vec_id"].to_numpy()
         x = np.stack(v["embedding"].to_numpy()).astype(np.float64)
-        wanted = np.stack(q["embedding"].to_numpy()).astype(np.float64)
-        found = list(_best(wanted, ids, x, k))
+        asking = np.stack(q["embedding"].to_numpy()).astype(np.float64)
+        found = list(_best(asking, ids, x, k))
         return pd.DataFrame(
             {
                 "query_id": np.repeat(q["query_id"].to_numpy(), [len(d) for _, d in found]),

@@ -70,9 +70,11 @@ def test_cells_skip_what_cannot_be_near():
     assert list(zip(row.tolist(), cell.tolist(), strict=True)) == [(0, 0), (1, 0), (1, 1)]
 
 
-def test_no_queries(spark):
+@pytest.mark.parametrize("max_sent", [4096, 0])
+def test_nothing_to_compare(spark, max_sent):
     vectors, queries = frames(spark, as_floats([[0, 0]]), [(1, [0.0, 0.0])])
-    assert nearest.nearest(vectors, queries.limit(0), 3).collect() == []
+    assert nearest.nearest(vectors, queries.limit(0), 3, max_sent).collect() == []
+    assert nearest.nearest(vectors.limit(0), queries, 3, max_sent).collect() == []
 
 
 def test_embeddings_of_different_length_fail(spark):
