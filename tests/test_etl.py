@@ -46,7 +46,7 @@ def sales_landing(tmp_path):
 def test_sales_job(spark, tmp_path, sales_landing, rows):
     out = str(tmp_path / "sales")
     audit = etl.run_job(spark, etl.SALES_JOB, str(sales_landing), out)
-    table = etl.read_table(spark, out)
+    table = etl.read_table(spark, out, etl.SALES_JOB)
     assert rows(table, "year", "month", "day", "Sales_Details.Transaction_Date") == sorted(
         [
             (2024, 5, 1, datetime(2024, 5, 1, 10, 0, 0, 123000)),
@@ -81,8 +81,8 @@ def test_repeating_a_job(spark, tmp_path, sales_landing):
     for _ in range(2):
         etl.run_job(spark, etl.SALES_JOB, str(sales_landing), replaced)
         etl.run_job(spark, etl.SALES_JOB, str(sales_landing), appended, mode="append")
-    assert etl.read_table(spark, replaced).count() == 3
-    assert etl.read_table(spark, appended).count() == 6
+    assert etl.read_table(spark, replaced, etl.SALES_JOB).count() == 3
+    assert etl.read_table(spark, appended, etl.SALES_JOB).count() == 6
 
 
 def test_replacing_leaves_other_directories_alone(spark, tmp_path):
@@ -119,6 +119,25 @@ def test_empty_landing(spark, tmp_path):
     assert dict(rosters.dtypes)["Roster_Start_Time"] == "timestamp_ntz"
 
 
+@pytest.mark.parametrize("job", [etl.SALES_JOB, etl.ROSTERS_JOB, etl.TIMESHEETS_JOB])
+def test_a_job_on_an_empty_landing(spark, tmp_path, job):
+    root, out = tmp_path / "landing", str(tmp_path / "out")
+    root.mkdir()
+    audit = etl.run_job(spark, job, str(root), out)
+    assert set(audit.values()) == {0}
+    table = etl.read_table(spark, out, job)
+    assert table.count() == 0
+    assert set(job.feed.partitions) < set(table.columns)
+
+
+def test_a_table_has_the_columns_of_its_job(spark, tmp_path, sales_landing):
+    out = str(tmp_path / "sales")
+    etl.run_job(spark, etl.SALES_JOB, str(sales_landing), out)
+    stated = etl.read_table(spark, out, etl.SALES_JOB)
+    found = spark.read.parquet(out)
+    assert set(stated.dtypes) == set(found.dtypes)
+
+
 def test_timesheet_formats(spark, tmp_path, rows):
     root, out = tmp_path / "landing", str(tmp_path / "out")
     land(
@@ -136,7 +155,7 @@ def test_timesheet_formats(spark, tmp_path, rows):
         },
     )
     audit = etl.run_job(spark, etl.TIMESHEETS_JOB, str(root), out)
-    row = etl.read_table(spark, out).first()
+    row = etl.read_table(spark, out, etl.TIMESHEETS_JOB).first()
     assert row["Pay_Date"] is None
     assert row["Pay_Start_Time"] == datetime(2024, 5, 1, 10, 0, 0, 500000)
     assert row["Pay_End_Time"] == datetime(2024, 5, 1, 12)

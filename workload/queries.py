@@ -238,7 +238,7 @@ def incremental_ingest(spark, sf_dir):
             feed = etl.TIMESHEETS_JOB.feed
             part.write.mode("append").partitionBy(*feed.partitions).json(root)
         ingest.ingest_new_files(spark, etl.TIMESHEETS_JOB, root, out, checkpoint)
-    return etl.read_table(spark, out)
+    return etl.read_table(spark, out, etl.TIMESHEETS_JOB)
 
 
 @register
@@ -263,7 +263,7 @@ def etl_sales(spark, sf_dir):
     _land(s.raw_sales(spark, sf_dir), etl.SALES_JOB.feed, root)
     etl.run_job(spark, etl.SALES_JOB, root, out)
     sale = F.col("Sales_Details")
-    return etl.read_table(spark, out).select(
+    return etl.read_table(spark, out, etl.SALES_JOB).select(
         "year", "month", "day", "venue_id", "venue_name",
         sale["Transaction_Id"].alias("transaction_id"),
         sale["Transaction_Date"].alias("transaction_date"),
@@ -281,7 +281,7 @@ def etl_rosters(spark, sf_dir):
     root, out = fresh_dir(spark, "landing-rosters"), fresh_dir(spark, "rosters")
     _land(s.raw_rosters(spark, sf_dir), etl.ROSTERS_JOB.feed, root)
     etl.run_job(spark, etl.ROSTERS_JOB, root, out)
-    return etl.read_table(spark, out)
+    return etl.read_table(spark, out, etl.ROSTERS_JOB)
 
 
 @register
@@ -289,7 +289,7 @@ def etl_timesheets(spark, sf_dir):
     root, out = fresh_dir(spark, "landing-timesheets"), fresh_dir(spark, "timesheets")
     _land(s.raw_timesheets(spark, sf_dir), etl.TIMESHEETS_JOB.feed, root)
     etl.run_job(spark, etl.TIMESHEETS_JOB, root, out)
-    return etl.read_table(spark, out)
+    return etl.read_table(spark, out, etl.TIMESHEETS_JOB)
 
 
 # --- sales and labour reports ------------------------------------------------
