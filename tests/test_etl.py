@@ -55,7 +55,7 @@ def test_sales_job(spark, tmp_path, sales_landing, rows):
         ],
         key=repr,
     )
-    assert audit == {"records": 4, "records_without_sales": 2, "unparsed_times": 2}
+    assert audit == {"records": 4, "rows": 3, "unparsed_times": 2}
     assert dict(table.dtypes)["venue_id"] == "int"
 
 
@@ -161,7 +161,7 @@ def test_timesheet_formats(spark, tmp_path, rows):
     assert row["Pay_End_Time"] == datetime(2024, 5, 1, 12)
     assert row["Clocked_Start_Time"] is None
     assert row["timesheet_cost"] == Decimal("10.25")
-    assert audit == {"records": 1, "unparsed_times": 2}
+    assert audit == {"records": 1, "rows": 1, "unparsed_times": 2}
 
 
 def test_stream_loads_each_file_once(spark, tmp_path, sales_landing):

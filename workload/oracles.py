@@ -217,6 +217,12 @@ ORACLES: dict[str, str] = {
         SELECT year(landed) AS year, month(landed) AS month, day(landed) AS day, venue_name,
                sum(l_orderkey % 3)::bigint AS sales
         FROM lines GROUP BY ALL""",
+    "scan_json_inferred": f"""WITH {ROSTERS}
+        SELECT location_name, strftime(roster_start_time, '%Y-%m-%dT%H:%M:%S') AS Roster_Start_Time,
+               CASE WHEN event_id % 97 = 0 THEN '' ELSE strftime(roster_end_time, '%Y-%m-%dT%H:%M:%S') END
+                 AS Roster_End_Time,
+               roster_cost::double AS roster_cost, year(roster_start_time) AS year,
+               month(roster_start_time) AS month FROM rosters""",
     "sink_parquet_partitioned": f"""WITH {ROSTERS}
         SELECT event_id, location_name, roster_start_time, roster_end_time, roster_cost::double AS roster_cost,
                year(roster_start_time) AS year, month(roster_start_time) AS month FROM rosters""",

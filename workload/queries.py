@@ -201,6 +201,14 @@ def scan_json_partitioned(spark, sf_dir):
     )
 
 
+@register
+def scan_json_inferred(spark, sf_dir):
+    """The record schema taken from the files, levels from the directories."""
+    root = fresh_dir(spark, "landing-rosters")
+    _land(s.raw_rosters(spark, sf_dir), etl.ROSTERS_JOB.feed, root)
+    return landing.read_landing(spark, root, etl.ROSTERS_JOB.feed, infer=True)
+
+
 @register
 def sink_parquet_partitioned(spark, sf_dir):
     """Written twice with partition replacement, read once."""
