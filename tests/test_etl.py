@@ -251,3 +251,26 @@ def test_egm_files_with_another_column_order_are_not_misread(spark, tmp_path):
     (path / "b.csv").write_text("Venue,Date,Time,EGM Wins,EGM Turnover\n4,2024-05-01,09:30,1,10\n")
     with pytest.raises(Exception, match="CSV header"):
         landing.read_egm_csv(spark, str(path)).collect()
+
+
+def test_a_directory_holding_most_rows_is_written_by_several_tasks(spark, tmp_path):
+    """Rebalancing splits the hot directory and leaves a file each to the others."""
+    out = tmp_path / "t"
+    df = spark.range(300_000).selectExpr(
+        "id", "sha(string(id)) AS body", "CASE WHEN id % 10 < 9 THEN 1 ELSE id % 100 END AS level"
+    )
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        tables.write_table(df, str(out), ("level",))
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in out.glob("level=*")}
+    assert files.pop("level=1") > 3
+    assert max(files.values()) <= 2
+    assert spark.read.parquet(str(out)).count() == 300_000
