@@ -189,7 +189,7 @@ ORACLES: dict[str, str] = {
     "parse_timestamp_fallback": iso_parsed(with_fallback=True),
     "regexp_extract_int": """
         SELECT o_orderkey, year(o_orderdate) AS year,
-               CASE WHEN o_orderkey % 3 <> 2 THEN month(o_orderdate) END AS month, day(o_orderdate) AS day
+               CASE WHEN o_orderkey % 3 <> 2 THEN month(o_orderdate) ELSE -1 END AS month, day(o_orderdate) AS day
         FROM orders""",
     "struct_field_replace": "SELECT o_orderkey, o_orderdate AS sold FROM orders",
     "cast_concat": """

@@ -103,16 +103,18 @@ def parse_timestamp_fallback(spark, sf_dir):
 
 @register
 def regexp_extract_int(spark, sf_dir):
+    """Levels out of file paths; -1 stands for a path that names none."""
     path = F.expr(
         """concat('s3://lake/sales/year=', year(o_orderdate), '/month=',
            CASE o_orderkey % 3 WHEN 0 THEN lpad(month(o_orderdate), 2, '0')
                WHEN 1 THEN cast(month(o_orderdate) AS string) ELSE 'unknown' END,
            '/day=', day(o_orderdate), '/part-0.json')"""
     )
-    return s.table(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        *[timeparse.path_level(path, level).alias(level) for level in ("year", "month", "day")],
-    )
+    levels = [
+        F.coalesce(timeparse.path_level(path, level), F.lit(-1)).alias(level)
+        for level in ("year", "month", "day")
+    ]
+    return s.table(spark, sf_dir, "orders").select("o_orderkey", *levels)
 
 
 @register
