@@ -13,7 +13,7 @@ ORACLES = {
         known AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex,
                          min(page_id) OVER (PARTITION BY html) AS first FROM payload)
         SELECT page_id, payload_bytes,
-               list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    1 + ((('0x' || substr(hex, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)),
                    'string_agg', '') AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
