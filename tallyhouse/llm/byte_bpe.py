@@ -28,7 +28,10 @@ CHUNK = 2 << 20  # characters that are cut at a time
 CELLS = 1 << 20  # leaves of the trees worked on at a time
 OTHER_MATCHES = 1 << 17  # remembered matches of texts with code points over 255
 NONE = np.int64(1) << 62
-WHITE_SPACE = r"\t-\r \x85\xa0  -     　"  # fixed: what the pattern calls \s
+# Fixed: what the pattern calls \s.
+WHITE_SPACE = r"\t-\r \x85\xa0" + "".join(
+    f"\\u{c:04x}" for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 _encoders: dict[str, ByteEncoder] = {}
 
 

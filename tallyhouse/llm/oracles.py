@@ -3,6 +3,17 @@
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op3_embedding_dedup": """
+        WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        links AS MATERIALIZED (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM v AS x JOIN v AS y ON x.vec_id <> y.vec_id
+            WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+        reached AS (SELECT vec_id AS a, vec_id AS b FROM v
+                    UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+        least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a),
+        counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN least ON vec_id = least.a LEFT JOIN counted ON vec_id = counted.a""",
     "op6_exact_dedup": f"""
         WITH normal AS (SELECT doc_id, {LOWERED} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

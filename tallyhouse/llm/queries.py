@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm import byte_bpe
 from tallyhouse.llm.common import table
+from tallyhouse.llm.embedding_dedup import embedding_dedup
 from tallyhouse.llm.exact_dedup import exact_dedup
 from tallyhouse.llm.packing import pack
 from tallyhouse.llm.toxicity import toxicity
@@ -28,6 +29,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 @register
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"))
