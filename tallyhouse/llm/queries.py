@@ -12,6 +12,7 @@ from tallyhouse.llm.common import table
 from tallyhouse.llm.embedding_dedup import embedding_dedup
 from tallyhouse.llm.exact_dedup import exact_dedup
 from tallyhouse.llm.packing import pack
+from tallyhouse.llm.suffix_dedup import suffix_dedup
 from tallyhouse.llm.toxicity import toxicity
 from tallyhouse.llm.warc import warc_round_trip
 
@@ -24,6 +25,17 @@ def register(query: Query) -> Query:
     return query
 
 
+@register
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @register
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
