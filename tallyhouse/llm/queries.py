@@ -11,8 +11,10 @@ from tallyhouse.llm import byte_bpe
 from tallyhouse.llm.common import table
 from tallyhouse.llm.embedding_dedup import embedding_dedup
 from tallyhouse.llm.exact_dedup import exact_dedup
+from tallyhouse.llm.minhash_dedup import minhash_dedup
 from tallyhouse.llm.packing import pack
 from tallyhouse.llm.suffix_dedup import suffix_dedup
+from tallyhouse.llm.token_shards import training_order
 from tallyhouse.llm.toxicity import toxicity
 from tallyhouse.llm.warc import warc_round_trip
 
@@ -69,7 +71,19 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@register
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 @register
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_round_trip(table(spark, sf_dir, "pages"))
     return records.selectExpr("id AS page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every slot of the training order: where it is, what it was made of, and the checksum of what is read there."""
+    slots = training_order(table(spark, sf_dir, "documents"))
+    return slots.select("slot", "shard", "offset", "sequence", "n_tokens", "doc_ids", "crc32", "read_crc32")
