@@ -13,6 +13,7 @@ from tallyhouse.llm.embedding_dedup import embedding_dedup
 from tallyhouse.llm.exact_dedup import exact_dedup
 from tallyhouse.llm.minhash_dedup import minhash_dedup
 from tallyhouse.llm.packing import pack
+from tallyhouse.llm.quality import quality
 from tallyhouse.llm.suffix_dedup import suffix_dedup
 from tallyhouse.llm.token_shards import training_order
 from tallyhouse.llm.toxicity import toxicity
@@ -82,6 +83,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.selectExpr("id AS page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@register
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document, its language's limits, and whether it is kept."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every slot of the training order: where it is, what it was made of, and the checksum of what is read there."""
