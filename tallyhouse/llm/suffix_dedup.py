@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import partitions, texts
+from tallyhouse.llm.common import partitions
 from tallyhouse.session import fresh_dir, stored
 
 GRAM = 0.32  # of a window
@@ -186,7 +186,7 @@ def _passed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settled, classes.join(split, "core", "left_semi").select("row", "low", "high", "anchor")
 
 
-def _spans(window: int):
+def _spans(window: int, kept: pa.DataType):
     def cut(batches):
         for b in batches:
             out: dict[str, list] = {"n_bytes": [], "n_removed": [], "spans": [], "kept": []}
@@ -203,25 +203,38 @@ def _spans(window: int):
                 out["spans"].append([{"start": s, "stop": e} for s, e in spans])
                 out["kept"].append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
             span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": span, "kept": pa.binary()}
-            columns = {"id": b.column("id")} | {c: pa.array(out[c], k) for c, k in kinds.items()}
+            kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": span, "kept": kept}
+            if kept == pa.string():  # a character that a span cuts through goes with it
+                out["kept"] = [x.decode(errors="ignore") for x in out["kept"]]
+            columns = {"id": b.column("id"), "carried": b.column("carried")} | {c: pa.array(out[c], k) for c, k in kinds.items()}
             yield pa.RecordBatch.from_pydict(columns)
 
     return cut
 
 
-RESULT = "id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
-
-
-def suffix_dedup(df: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_bytes, n_removed, spans (start and stop of the removed runs) and kept (the other bytes) for every row.
-
-    Texts are shuffled once, into a table bucketed by row; what each pass finds
-    goes to them by row, so texts do not move again. Passes are written to the
-    shared folder.
+def suffix_dedup(
+    df: DataFrame,
+    window: int = 400,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    as_text: bool = False,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """``id_col``, n_bytes, n_removed, spans (start and stop of the removed runs), kept (the other bytes) and ``carry`` for every row.
+
+    With ``as_text`` the kept bytes are a text again, without the characters that
+    a span has cut through. Texts are shuffled once, into a table bucketed by row;
+    what each pass finds goes to them by row, so texts do not move again. Passes
+    are written to the shared folder.
     """
     spark = df.sparkSession
-    keyed = texts(df, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(True)
+    keyed = df.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(f"`{id_col}`").cast("long").alias("id"),
+        F.coalesce(f"`{text_col}`", F.lit("")).alias("text"),
+        carried.alias("carried"),
+    )
     name, n = f"texts_{uuid.uuid4().hex}", partitions(spark)
     writer = keyed.repartition(n, "row").write.bucketBy(n, "row").sortBy("row")
     writer.option("path", fresh_dir(spark, "texts")).saveAsTable(name)
@@ -240,5 +253,12 @@ def suffix_dedup(df: DataFrame, window: int = 400, id_col: str = "doc_id", text_
         found = stored(at(open_, "inner", *place).select("row", "text", "parts").mapInArrow(digit, BUNDLE), "digits")
         settled, open_ = _passed(found)
         spans = spans.union(settled)
-    marked = at(spans, "left", "low", "high").select("id", "text", "parts")
-    return marked.mapInArrow(_spans(window), RESULT).withColumnRenamed("id", id_col)
+    marked = at(spans, "left", "low", "high").select("id", "text", "parts", "carried")
+    kind, arrow = ("string", pa.string()) if as_text else ("binary", pa.binary())
+    schema = (
+        f"id long, carried {marked.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, "
+        f"spans array<struct<start:long,stop:long>>, kept {kind}"
+    )
+    result = marked.mapInArrow(_spans(window, arrow), schema)
+    columns = [F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept"]
+    return result.select(*columns, *[F.col("carried").getField(c).alias(c) for c in carry])
