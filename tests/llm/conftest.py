@@ -1,0 +1,43 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Names that the operators use for columns of their own.
+CLASHING = ("id", "row", "part", "key", "size", "class", "tile", "n", "near", "bytes", "lead", "packed", "kept", "carried", "ids")
+
+
+@pytest.fixture
+def documents(spark):
+    """A table of (doc_id, text) with further columns of unhelpful names."""
+
+    def make(rows, **more):
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+        df = spark.createDataFrame(rows, schema)
+        return df.withColumns({c: F.lit(i) for i, c in enumerate(CLASHING)}).withColumns({k: F.lit(v) for k, v in more.items()})
+
+    return make
+
+
+@pytest.fixture(scope="session")
+def awkward():
+    """Nulls, empty and white texts, equal texts with equal and other ids, unusual signs, one long text."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aeioubcdstl", k=rng.randint(1, 9))) for _ in range(3000)]
+    long = " ".join(rng.choices(words, k=60_000))
+    return [
+        (1, "One text, don't you think?"),
+        (2, "one TEXT, don't you think?"),
+        (2, "one TEXT, don't you think?"),
+        (None, "One text, don't you think?"),
+        (None, None),
+        (3, None),
+        (4, ""),
+        (5, " \n\t "),
+        (6, "a"),
+        (7, "Ünï çødé 日本語 “quoted” 🎉 ½ x² \x1c\x85 end"),
+        (8, long),
+        (9, "aaaa" * 300),
+        (10, long[:2000]),
+    ]
