@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import picked, texts
+from tallyhouse.llm.common import picked, sliced, texts
 from tallyhouse.llm.units import Memory
 
 CHUNK = 2 << 20  # characters that are cut at a time
@@ -242,7 +242,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     where = path or vocabulary_path()
 
     def encoded(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids = encoder(where).encode(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary())], names=["id", "ids"])
 
@@ -254,7 +254,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
     where = path or vocabulary_path()
 
     def decoded(batches):
-        for b in batches:
+        for b in sliced(batches, "ids", 16 << 20):
             data = encoder(where).decode(b.column("ids").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), pa.array(data, pa.binary())], names=["id", "ids", "bytes"])
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +33,16 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, about ``size`` bytes of a column at a time, so that what is made of them stays small."""
+    for b in batches:
+        if b.num_rows:
+            own = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)) // size
+            edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), b.num_rows]
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                yield b.slice(start, stop - start)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many shuffle partitions whoever runs the cluster has asked for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

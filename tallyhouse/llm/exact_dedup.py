@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import quotient_filter as qf
-from tallyhouse.llm.common import partitions, texts
+from tallyhouse.llm.common import partitions, sliced, texts
 
 
 def _normal(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -32,7 +32,7 @@ def _filters(block_bits: int):
         # The filter of a partition: 8 bytes a row while it is built, sorted once.
         prints = [
             np.fromiter((xxhash.xxh3_64_intdigest(x) for x in _normal(b.column("text"))), np.uint64, b.num_rows)
-            for b in batches
+            for b in sliced(batches)
         ]
         found = list(qf.blocks(np.concatenate(prints), block_bits)) if prints else []
         yield pa.RecordBatch.from_pydict(
@@ -52,7 +52,7 @@ def _repeated(block_bits: int):
 
 def _digests(with_text: bool):
     def digest(batches):
-        for b in batches:
+        for b in sliced(batches):
             normal = _normal(b.column("text"))
             columns = {
                 "id": b.column("id"),

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import texts
+from tallyhouse.llm.common import sliced, texts
 from tallyhouse.llm.components import components
 from tallyhouse.llm.union import join_groups
 from tallyhouse.session import stored
@@ -152,7 +152,7 @@ SCANNED = "id long, text_hash long, set_hash binary, n_shingles int, near array<
 def _scan(width: int, depth: int):
     def scan(batches):
         shingler = Shingler(width)
-        for b in batches:
+        for b in sliced(batches):
             sets: list[np.ndarray] = []
             near: list = []
             far: list = []
@@ -185,7 +185,7 @@ def _sets(width: int):
 
     def shingle(batches):
         shingler = Shingler(width)
-        for b in batches:
+        for b in sliced(batches):
             found = [x for chunk in _chunks(b.column("text").cast(pa.binary()).to_pylist()) for x in shingler.sets(chunk)]
             same = [xxhash.xxh3_128_digest(x) == h for x, h in zip(found, b.column("set_hash").to_pylist(), strict=True)]
             packed = pa.array([x.tobytes() for x in found], pa.binary())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import partitions, texts
+from tallyhouse.llm.common import partitions, sliced, texts
 from tallyhouse.llm.word_tokens import encoder, vocabulary_path
 from tallyhouse.session import stored
 
@@ -67,7 +67,7 @@ def _encoded(path: str):
     def encode(batches):
         projection, tokens = _projection(), encoder(path)
         closing = np.array([END], "<u2").tobytes()
-        for b in batches:
+        for b in sliced(batches):
             ids = [x + closing for x in tokens.encode(b.column("text").to_pylist())]
             flat = np.frombuffer(b"".join(ids), "<u2")
             sizes = np.array([len(x) // 2 for x in ids], np.int64)
@@ -94,7 +94,7 @@ def _running(batches):
 
 def _cutting(length: int):
     def cut(batches):
-        for b in batches:
+        for b in sliced(batches, "ids"):
             out: dict[str, list] = {name: [] for name in ("id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
             for own, packed, first in zip(*(b.column(c).to_pylist() for c in ("id", "ids", "first")), strict=True):
                 ids = np.frombuffer(packed, "<u2").astype("<u4")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import picked
+from tallyhouse.llm.common import picked, sliced
 from tallyhouse.session import stored
 
 ORDER = 4  # characters of an n-gram; four of 16 bits fill a number
@@ -57,7 +57,7 @@ def _distinct(with_part: bool, counted: bool):
             if len(found):
                 held[lang] = _merged([held[lang], *found]) if lang in held else _merged(found)
 
-        for b in batches:
+        for b in sliced(batches):
             new: dict[str | None, list] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 new.setdefault(lang, []).append(codes(text))
@@ -94,10 +94,10 @@ def _discounts(counts: DataFrame) -> DataFrame:
     """A language's three discounts from how many n-grams occur once to four times."""
     seen = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     found = counts.groupBy("lang").agg(*seen)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
     def discount(k: int) -> Column:
-        exact = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
+        exact = k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}")
         usable = (F.col("n1") > 0) & (F.col(f"n{k}") > 0) & (exact >= 0) & (exact <= k)
         return F.when(usable, exact).otherwise(0.5 * k).alias(f"d{k}")
 
@@ -149,7 +149,7 @@ def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _with_part(batches):
     part, pack = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
-    for b in batches:
+    for b in sliced(batches):
         packed = pa.array([pack.compress(x.encode()) for x in b.column("text").to_pylist()], pa.binary())
         where = pa.array(np.full(b.num_rows, part))
         yield pa.RecordBatch.from_arrays([where, b.column("id"), b.column("lang"), packed], names=["part", "id", "lang", "packed"])
@@ -206,7 +206,8 @@ def quality(
     learned = docs.filter(fold.isin(*LEARN)).join(trusted, "id", "left_semi").select("lang", "text")
     counted = learned.mapInArrow(_distinct(False, True), "lang string, gram long, n long")
     counts = stored(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    asked = stored(docs.select("lang", "text").mapInArrow(_distinct(True, False), "part long, lang string, gram long"), "asked")
+    # The same columns as below, so that both passes see the same partitions.
+    asked = stored(docs.mapInArrow(_distinct(True, False), "part long, lang string, gram long"), "asked")
     known = probabilities(counts, asked.select("lang", "gram").distinct())
     answers = _left(asked, known, "lang", "gram")
     packed = docs.mapInArrow(_with_part, "part long, id long, lang string, packed binary")

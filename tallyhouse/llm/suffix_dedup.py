@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import partitions
+from tallyhouse.llm.common import partitions, sliced
 from tallyhouse.session import fresh_dir, stored
 
 GRAM = 0.32  # of a window
@@ -125,7 +125,7 @@ def _first_digit(window: int):
             return _batch(out)
 
         held, size = [], 0
-        for b in batches:
+        for b in sliced(batches):
             for row, text in zip(b.column("row").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 for base in range(0, len(text) - window + 1, CHUNK):  # a long text is read in overlapping pieces
                     piece = text[base : base + CHUNK + window - 1]
@@ -146,7 +146,7 @@ def _cells(window: int):
     width = -(-offsets // CELLS)
 
     def digits(batches):
-        for b in batches:
+        for b in sliced(batches, size=CHUNK):
             out = []
             for row, text, parts in zip(b.column("row").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("parts").to_pylist(), strict=True):
                 for part in parts:
@@ -163,7 +163,7 @@ def _cells(window: int):
 
 def _windows(window: int):
     def digits(batches):
-        for b in batches:
+        for b in sliced(batches, size=CHUNK):
             out = []
             for row, text, parts in zip(b.column("row").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("parts").to_pylist(), strict=True):
                 for part in parts:
@@ -188,7 +188,7 @@ def _passed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _spans(window: int, kept: pa.DataType):
     def cut(batches):
-        for b in batches:
+        for b in sliced(batches):
             out: dict[str, list] = {"n_bytes": [], "n_removed": [], "spans": [], "kept": []}
             for text, parts in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("parts").to_pylist(), strict=True):
                 spans: list[list[int]] = []

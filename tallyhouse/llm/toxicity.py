@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import picked, texts
+from tallyhouse.llm.common import picked, sliced, texts
 from tallyhouse.session import stored
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -225,7 +225,7 @@ def train(df: DataFrame, labels: DataFrame, settings: Settings, id_col="doc_id",
 def _scoring(model: Model, settings: Settings):
     def score(batches):
         reader, unknown = Reader(settings, model.terms), len(model.terms)
-        for b in batches:
+        for b in sliced(batches):
             found = [reader.values(x) for x in b.column("text").to_pylist()]
             sizes = np.array([len(t) + 1 for t, _ in found], np.int64)
             rows = np.fromiter((x for t, _ in found for x in (*t, unknown)), np.int64, int(sizes.sum()))

@@ -86,7 +86,7 @@ def _hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 class Memory:
     """Ids of matches. ``learn`` gets distinct matches as bytes and returns their ids, flat, and how many each has."""
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], join_space: bool, dtype, most: int = 1 << 21):
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], join_space: bool, dtype, most: int = 1 << 20):
         self.learn, self.join_space, self.dtype, self.most = learn, join_space, dtype, most
         self._forget()
 
