@@ -45,8 +45,14 @@ def flatten_text(text: Column) -> Column:
     return escape_braces(drop_line_feeds(text))
 
 
+# What is said of a reply that never came.
+NO_REPLY = "no reply"
+
+
 def reply_status(text: Column, strict: bool = False) -> Column:
-    return F.when(_refused(text, strict), F.lit("error")).otherwise(F.lit("success"))
+    """A missing reply is an error."""
+    failed = text.isNull() | _refused(text, strict)
+    return F.when(failed, F.lit("error")).otherwise(F.lit("success"))
 
 
 def reply_message(text: Column, strict: bool = False) -> Column:
@@ -69,7 +75,8 @@ def reply_message(text: Column, strict: bool = False) -> Column:
         sql = strip(sql)
     else:
         reason = F.split_part(text, F.lit(REFUSAL), F.lit(2))
-    return F.when(_refused(text, strict), reason).otherwise(sql)
+    message = F.when(_refused(text, strict), reason).otherwise(sql)
+    return F.when(text.isNull(), F.lit(NO_REPLY)).otherwise(message)
 
 
 def _refused(text: Column, strict: bool) -> Column:

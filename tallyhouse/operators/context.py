@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import flatten_text
+from tallyhouse.sources.landing import read_documents
 
 PAGE_DOCS = 64
 
@@ -31,6 +32,28 @@ def context_pages(docs: DataFrame, page_docs: int = PAGE_DOCS) -> DataFrame:
     )
 
 
+def write_pages(docs: DataFrame, path: str, page_docs: int = PAGE_DOCS) -> None:
+    """Pages of documents as they are, a file each, all in one directory.
+
+    The first line of a file is its page. A directory per page would leave as
+    many for the driver to list as there are pages.
+    """
+    page = F.floor(F.col("doc_id") / page_docs).cast("bigint")
+    ordered = F.transform(F.array_sort("entries"), lambda e: e["text"])
+    pages = docs.groupBy(page.alias("page")).agg(F.collect_list(F.struct("doc_id", "text")).alias("entries"))
+    lines = F.concat(F.array(F.col("page").cast("string")), ordered)
+    pages.select(F.array_join(lines, "\n")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``page`` and its text in ``value``, from files that ``write_pages`` wrote."""
+    files, end = read_documents(spark, path), F.locate("\n", F.col("value"))
+    return files.select(
+        F.substring("value", F.lit(1), end - 1).cast("bigint").alias("page"),
+        F.substring("value", end + 1, F.length("value")).alias("value"),
+    )
+
+
 def write_context(docs: DataFrame, path: str) -> None:
     """The whole context as sorted text files, one flattened document a line.
 

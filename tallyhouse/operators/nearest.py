@@ -1,285 +1,91 @@
-"""Exact nearest neighbours by Euclidean distance.
+"""Exact nearest neighbours by Euclidean distance, block against block.
 
-Two routes give the same rows. A query batch small enough to send to every task
-is compared where the vectors lie, and only each task's best ``k`` per query
-move. A larger batch is matched cell by cell: vectors are grouped around pivots,
-and the triangle inequality tells which cells can hold a neighbour of a query,
-so a query travels to those alone. Neither route forms rows for all pairs.
+Vectors and queries are dealt into blocks of bounded size. Every block of queries
+meets every block of vectors in a task of its own, which returns the best ``k``
+of each query as arrays; of these the best ``k`` are the answer. Nothing is sent
+to all tasks or to the driver, and no rows are formed for pairs.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.session import stored
-
 # The functions below travel with the tasks, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# The most query vectors sent to all tasks; a batch beyond goes by cells.
-MAX_SENT_QUERIES = 4096
-MAX_PIVOTS = 1024
 # Rows of one block of vectors or queries held in a task.
 BLOCK_VECTORS = 8192
 BLOCK_QUERIES = 2048
-# Query rows multiplied at once against a block.
+# Queries multiplied at once against a block.
 STRIDE = 256
-# Slack on bounds, far above rounding error and far below real distances.
+# Slack on distances by products, far above rounding error; within it they are taken again by differences.
 SLACK = 1e-9
-# Partial results of a query are ranked in this many groups first.
-LANES = 64
 
 RESULT = "query_id bigint, vec_id bigint, distance double"
 
 
-def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int, max_sent: int = MAX_SENT_QUERIES
-) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``k`` nearest of ``vectors(vec_id, embedding)`` per ``queries(query_id, embedding)``.
 
     Equal distances are ordered by ``vec_id``. Rows without an embedding are
-    left out; embeddings must share one length.
+    left out; embeddings must share one length. The work is that of all queries
+    against all vectors. Each vector moves once per block of queries.
     """
     vectors = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding")
     queries = queries.where("embedding IS NOT NULL").select("query_id", "embedding")
-    head = queries.limit(max_sent + 1).toArrow()
-    if head.num_rows == 0 or vectors.isEmpty():
-        return queries.sparkSession.createDataFrame([], RESULT + ", rank int")
-    partial = (
-        _by_cells(vectors, queries, k) if head.num_rows > max_sent else _by_sending(vectors, head, k)
-    )
-    return _rank(partial, k)
-
-
-def _rank(partial: DataFrame, k: int) -> DataFrame:
-    lane = F.pmod(F.xxhash64("vec_id"), F.lit(LANES))
-    order = ["distance", "vec_id"]
-    within = Window.partitionBy("query_id", "lane").orderBy(*order)
-    overall = Window.partitionBy("query_id").orderBy(*order)
-    return (
-        partial.withColumn("lane", lane)
-        .withColumn("rank", F.row_number().over(within))
-        .where(F.col("rank") <= k)
-        .drop("lane")
-        .withColumn("rank", F.row_number().over(overall))
-        .where(F.col("rank") <= k)
-    )
-
-
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if rows and flat.size % rows:
-        raise ValueError("embeddings differ in length")
-    return flat.reshape(rows, -1)
-
-
-def _best(
-    q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per query row the positions and distances of its ``k`` nearest.
-
-    A matrix product sieves the candidates; the distances of those few are then
-    taken from plain differences, so a vector's distance never depends on which
-    block it came in.
-    """
-    x_square = (x * x).sum(axis=1)
-    for start in range(0, len(q), STRIDE):
-        part = q[start : start + STRIDE]
-        q_square = (part * part).sum(axis=1)[:, None]
-        rough = q_square + x_square[None, :] - 2.0 * (part @ x.T)
-        if len(x) > k:
-            kth = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
-        else:
-            kth = np.full((len(part), 1), np.inf)
-        limit = kth + SLACK * (1.0 + q_square + x_square.max(initial=0.0))
-        for row in range(len(part)):
-            near = np.flatnonzero(rough[row] <= limit[row])
-            distance = np.sqrt(((x[near] - part[row]) ** 2).sum(axis=1))
-            order = np.lexsort((ids[near], distance))[:k]
-            yield near[order], distance[order]
-
-
-def _by_sending(vectors: DataFrame, head: pa.Table, k: int) -> DataFrame:
-    sent = vectors.sparkSession.sparkContext.broadcast(
-        (head.column("query_id").to_numpy(), _matrix(head.column("embedding")))
-    )
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, q = sent.value
-        best_ids = [np.empty(0, np.int64)] * len(q)
-        best_distances = [np.empty(0)] * len(q)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            x = _matrix(batch.column("embedding"))
-            for i, (near, distance) in enumerate(_best(q, ids, x, k)):
-                all_ids = np.concatenate([best_ids[i], ids[near]])
-                all_distances = np.concatenate([best_distances[i], distance])
-                order = np.lexsort((all_ids, all_distances))[:k]
-                best_ids[i], best_distances[i] = all_ids[order], all_distances[order]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(query_ids, [len(b) for b in best_ids]), pa.int64()),
-                pa.array(np.concatenate(best_ids), pa.int64()),
-                pa.array(np.concatenate(best_distances), pa.float64()),
-            ],
-            names=["query_id", "vec_id", "distance"],
-        )
-
-    return vectors.mapInArrow(search, RESULT)
-
+    of_vectors = -(-vectors.count() // BLOCK_VECTORS) or 1
+    of_queries = -(-queries.count() // BLOCK_QUERIES) or 1
 
-def _by_cells(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    spark = vectors.sparkSession
-    # Cells of about a block each: smaller ones would only multiply query copies.
-    wanted = min(MAX_PIVOTS, -(-vectors.count() // BLOCK_VECTORS))
-    pivots = _matrix(
-        vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).toArrow()["embedding"]
-    )
-    sent_pivots = spark.sparkContext.broadcast(pivots)
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key), F.lit(n)).alias(own)
+        return df.select("*", mine, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _strides(batches):
-            to_pivots = _to_pivots(_matrix(batch.column("embedding")), sent_pivots.value)
-            cell = to_pivots.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("vec_id"),
-                    batch.column("embedding"),
-                    pa.array(cell.astype(np.int32)),
-                    pa.array(to_pivots[np.arange(len(cell)), cell]),
-                ],
-                names=["vec_id", "embedding", "cell", "radius"],
-            )
+    left = dealt(vectors, "vec_id", "v", of_vectors, "q", of_queries)
+    right = dealt(queries, "query_id", "q", of_queries, "v", of_vectors)
+    best = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(_best_of_block(k), RESULT)
+    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    celled = stored(
-        vectors.mapInArrow(
-            assign, "vec_id bigint, embedding array<float>, cell int, radius double"
-        ),
-        "vector-cells",
-    )
-    # A row per pivot at most, whatever the number of vectors.
-    cells = (
-        celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r")).toArrow()
-    )
-    sizes = np.zeros(len(pivots), np.int64)
-    radii = np.zeros(len(pivots))
-    sizes[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    radii[cells["cell"].to_numpy()] = cells["r"].to_numpy()
-    sent_cells = spark.sparkContext.broadcast((sizes, radii))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _strides(batches):
-            q = _matrix(batch.column("embedding"))
-            row, cell = _reachable(q, sent_pivots.value, *sent_cells.value, k)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("query_id").take(pa.array(row)),
-                    batch.column("embedding").take(pa.array(row)),
-                    pa.array(cell.astype(np.int32)),
-                ],
-                names=["query_id", "embedding", "cell"],
-            )
-
-    routed = stored(
-        queries.mapInArrow(route, "query_id bigint, embedding array<float>, cell int"),
-        "routed-queries",
-    )
-    asked = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    demand = np.zeros(len(pivots), np.int64)
-    demand[asked["cell"].to_numpy()] = asked["n"].to_numpy()
-
-    # A cell is cut into a grid of blocks, as many as its own counts ask for, so
-    # neither a crowded cell nor a much asked one ends up whole in one task.
-    grid = spark.createDataFrame(
-        [
-            (c, -(-int(sizes[c]) // BLOCK_VECTORS), -(-int(demand[c]) // BLOCK_QUERIES))
-            for c in range(len(pivots))
-            if sizes[c] and demand[c]
-        ],
-        "cell int, v_blocks bigint, q_blocks bigint",
-    )
-    sent_grid = F.broadcast(grid)
-    v_side = celled.join(sent_grid, "cell").select(
-        "cell",
-        F.pmod(F.xxhash64("vec_id"), F.col("v_blocks")).alias("v_block"),
-        _each(F.col("q_blocks")).alias("q_block"),
-        "vec_id",
-        "embedding",
-    )
-    q_side = routed.join(sent_grid, "cell").select(
-        "cell",
-        _each(F.col("v_blocks")).alias("v_block"),
-        F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).alias("q_block"),
-        "query_id",
-        "embedding",
-    )
-    block = ["cell", "v_block", "q_block"]
-
-    def match(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        # A hashed block may be empty on either side.
-        if v.empty or q.empty:
+def _best_of_block(k: int):
+    def best(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
-        ids = v["vec_id"].to_numpy()
-        x = np.stack(v["embedding"].to_numpy()).astype(np.float64)
-        asking = np.stack(q["embedding"].to_numpy()).astype(np.float64)
-        found = list(_best(asking, ids, x, k))
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(q["query_id"].to_numpy(), [len(d) for _, d in found]),
-                "vec_id": np.concatenate([ids[near] for near, _ in found]),
-                "distance": np.concatenate([d for _, d in found]),
-            }
-        )
-
-    return v_side.groupBy(*block).cogroup(q_side.groupBy(*block)).applyInPandas(match, RESULT)
-
-
-def _each(blocks: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
-
-
-def _strides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Short slices, so that a slice against all pivots stays a small matrix."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 4 * STRIDE):
-            yield batch.slice(start, 4 * STRIDE)
-
-
-def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    square = (
-        (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2.0 * (x @ pivots.T)
-    )
-    return np.sqrt(np.maximum(square, 0.0))
-
-
-def _reachable(
-    q: np.ndarray, pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, cell) for every cell that may hold one of the ``k`` nearest.
-
-    All vectors of a cell lie within its radius of the pivot. Taking cells by
-    their farthest possible distance until they hold ``k`` vectors bounds the
-    k-th distance; a cell whose nearest possible distance is beyond it is out.
-    """
-    to_pivots = _to_pivots(q, pivots)
-    farthest = np.where(sizes > 0, to_pivots + radii, np.inf)
-    order = np.argsort(farthest, axis=1)
-    held = np.cumsum(sizes[order], axis=1)
-    enough = np.minimum((held < k).sum(axis=1), len(pivots) - 1)
-    bound = np.take_along_axis(farthest, np.take_along_axis(order, enough[:, None], 1), 1)
-    # Distances here come from a matrix product, good to about 1e-7 near zero.
-    slack = 1e-6 * (1.0 + np.sqrt((q * q).sum(axis=1))[:, None] + radii.max(initial=0.0))
-    return np.nonzero((to_pivots - radii <= bound + slack) & (sizes > 0))
+        ids, x = _matrix(vectors, "vec_id")
+        asked, y = _matrix(queries, "query_id")
+        if x.shape[1] != y.shape[1]:
+            raise ValueError(f"embeddings of different length: {x.shape[1]} and {y.shape[1]}")
+        parts = [_nearest_of(asked[a : a + STRIDE], y[a : a + STRIDE], ids, x, k) for a in range(0, len(asked), STRIDE)]
+        query, vec, distance = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pd.DataFrame({"query_id": query, "vec_id": vec, "distance": distance})
+
+    return best
+
+
+def _matrix(rows: pd.DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    rows = rows.sort_values(key)
+    if len({len(v) for v in rows["embedding"]}) > 1:
+        raise ValueError("embeddings of different length in one table")
+    return rows[key].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+
+
+def _nearest_of(asked, y, ids, x, k):
+    """Products pick who can be among the ``k`` nearest; differences then give their exact distances and order."""
+    squares = (x**2).sum(1)
+    about = squares - 2 * (y @ x.T) + (y**2).sum(1)[:, None]
+    k = min(k, len(ids))
+    limit = np.partition(about, k - 1, axis=1)[:, k - 1]
+    slack = SLACK * (1 + squares.max() + (y**2).sum(1))
+    row, col = np.nonzero(about <= (limit + slack)[:, None])
+    distance = np.sqrt(((x[col] - y[row]) ** 2).sum(1))
+    order = np.lexsort((ids[col], distance, row))
+    row, col, distance = row[order], col[order], distance[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = rank < k
+    return asked[row[kept]], ids[col[kept]], distance[kept]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import Day, day_range, overlaps_day
-from tallyhouse.functions.hours import counted_hours, hour_floor, hour_label, hour_slots
+from tallyhouse.functions.hours import counted_hours, elapsed_hours, hour_floor, hour_label, hour_slots
 
 
 def roster_shifts(rosters: DataFrame) -> DataFrame:
@@ -34,6 +34,16 @@ def shifts_on(shifts: DataFrame, day: Day) -> DataFrame:
     return shifts.where(overlaps_day(F.col("shift_start"), F.col("shift_end"), day))
 
 
+# A shift said to last longer has a wrong time: a month of hours.
+LONGEST_SHIFT = 31 * 24
+
+
+def impossible_shifts(shifts: DataFrame, longest: int = LONGEST_SHIFT) -> DataFrame:
+    """Shifts that end before they start or last longer than ``longest`` hours; no report spreads them."""
+    hours = elapsed_hours(F.col("shift_start"), F.col("shift_end"))
+    return shifts.where((F.col("shift_end") < F.col("shift_start")) | (hours > longest))
+
+
 def hourly_cost(shifts: DataFrame, keys: Sequence[str] = (), clip: Day | None = None) -> DataFrame:
     """Spread each shift's cost evenly over its hours and sum per hour label.
 
@@ -44,10 +54,12 @@ def hourly_cost(shifts: DataFrame, keys: Sequence[str] = (), clip: Day | None =
     the shifts is already reduced map-side.
 
     A shift running past midnight keeps its hours outside the requested day
-    unless ``clip`` names that day.
+    unless ``clip`` names that day. Shifts longer than ``LONGEST_SHIFT`` hours are
+    left out as a whole, never cut; ``impossible_shifts`` lists them.
     """
+    usable = elapsed_hours(F.col("shift_start"), F.col("shift_end")) <= LONGEST_SHIFT
     blocks = (
-        shifts.where(F.col("shift_start").isNotNull() & F.col("shift_end").isNotNull())
+        shifts.where(F.col("shift_start").isNotNull() & F.col("shift_end").isNotNull() & usable)
         .groupBy(
             *keys,
             hour_floor(F.col("shift_start")).alias("first_hour"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,19 +12,22 @@ from tallyhouse.functions.calendar import Moment, as_moment
 
 # Sorts by time as text, unlike a day-first stamp.
 VERSION_FORMAT = "%Y%m%d%H%M%S"
-MANIFEST = "model_id string, version string, path string"
+MANIFEST = "model_id string, version string, path string, saved_at timestamp"
 
 
 def save_vectors(vectors: DataFrame, root: str, model_id: str, as_of: Moment) -> str:
     """Store a version of a model's vectors and list it once it is complete.
 
-    The manifest line is written after the data, so a version half written by a
-    lost job is never loaded. Saving the same version again replaces it.
+    Every save writes to a directory of its own and its manifest line after the
+    data, so neither a job lost half way nor a save of the same version again
+    touches anything that can be loaded. Of several saves of a version the latest
+    is loaded.
     """
     version = as_moment(as_of).strftime(VERSION_FORMAT)
-    path = f"{root}/vectors/model_id={quote(model_id, safe='')}/version={version}"
-    vectors.write.mode("overwrite").parquet(path)
-    line = vectors.sparkSession.createDataFrame([(model_id, version, path)], MANIFEST)
+    path = f"{root}/vectors/model_id={quote(model_id, safe='')}/version={version}/save={uuid.uuid4().hex}"
+    vectors.write.parquet(path)
+    line = vectors.sparkSession.createDataFrame([(model_id, version, path, None)], MANIFEST)
+    line = line.withColumn("saved_at", F.current_timestamp())
     line.write.mode("append").parquet(f"{root}/manifest")
     return version
 
@@ -33,7 +37,7 @@ def load_vectors(spark: SparkSession, root: str, model_id: str) -> DataFrame:
     saved = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
     latest = (
         saved.where(F.col("model_id") == model_id)
-        .orderBy(F.desc("version"))
+        .orderBy(F.desc("version"), F.desc("saved_at"))
         .select("version", "path")
         .first()
     )

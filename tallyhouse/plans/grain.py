@@ -44,7 +44,8 @@ def auto_grain_report(
     """Sales, worked and planned wages of a venue at the grain of the range.
 
     The feeds are stacked and summed once by period, so merging them takes one
-    small shuffle whatever the grain.
+    small shuffle whatever the grain. By hour, sales and wages alike are those of
+    the day.
     """
     grain = pick_grain(start, end)
     span = f"{as_day(start)}..{as_day(end)}"
@@ -59,9 +60,11 @@ def auto_grain_report(
         parts = {
             "sales": sold.select(hour_label(F.col("transaction_date")).alias("period"), "total_inc"),
             "timesheet_wages": hourly_cost(
-                shifts_on(timesheet_shifts(timesheets.where(here)), start)
+                shifts_on(timesheet_shifts(timesheets.where(here)), start), clip=start
+            ),
+            "roster_wages": hourly_cost(
+                shifts_on(roster_shifts(rosters.where(here)), start), clip=start
             ),
-            "roster_wages": hourly_cost(shifts_on(roster_shifts(rosters.where(here)), start)),
         }
     else:
         worked = timesheets.where(here & day_range(F.col("timesheet_date"), start, end))

@@ -130,8 +130,9 @@ def member_spend(sales: DataFrame, start: Day, end: Day) -> DataFrame:
 
     The items of a sale are summed inside its row, so each sale enters the
     aggregation once and without its items. Sales at one instant are told apart
-    by their id: time and id are packed into one number, because an order by a
-    struct would put the rows through a sort instead of a hash aggregation.
+    by their id, a sale without one counting as the lowest: time and id are packed
+    into one number, because an order by a struct would put the rows through a
+    sort instead of a hash aggregation.
     """
     sale = F.col("Sales_Details")
     zero = F.lit(0).cast("decimal(22,2)")
@@ -141,7 +142,7 @@ def member_spend(sales: DataFrame, start: Day, end: Day) -> DataFrame:
         lambda total, item: (total + F.coalesce(item["Total_Inc"], zero)).cast("decimal(22,2)"),
     )
     micros = F.unix_micros(sale["Transaction_Date"].cast("timestamp_ltz")).cast("decimal(18,0)")
-    latest = micros * F.lit(Decimal(10**19)) + sale["Transaction_Id"]
+    latest = micros * F.lit(Decimal(10**19)) + F.coalesce(sale["Transaction_Id"], F.lit(0))
     per_sale = (
         sales.where(day_range(sale["Transaction_Date"], start, end))
         .where(F.size(sale["Items"]) > 0)

@@ -21,27 +21,33 @@ class Outcome:
     frame: DataFrame | None = None
 
 
-def check_sql(spark: SparkSession, text: str) -> str:
-    """``Passed``, or why the text cannot be planned. Nothing is executed.
+def check_sql(spark: SparkSession, text: str, **parameters: object) -> str:
+    """``Passed``, or why the text is no query that can be planned. Nothing is executed.
 
-    Explaining plans the text without running a command it may contain. The
-    explanation only tells that planning failed; text that failed cannot run
-    either, so asking for its frame gives the reason.
+    The text is explained as a subquery, which only a query can be: a command
+    fails to parse there, so it is never planned, let alone run. The explanation
+    only tells that planning failed; text that got so far is a query, and asking
+    for its frame gives the reason without executing it.
     """
     try:
-        plan = spark.sql(f"EXPLAIN {text}").first()[0]
+        plan = spark.sql(f"EXPLAIN SELECT * FROM (\n{text}\n)", args=parameters).first()[0]
         if plan.startswith(_PLANNING_FAILED):
-            spark.sql(text)
+            spark.sql(text, args=parameters)
     except PySparkException as error:
         return str(error)
     return PASSED
 
 
 def run_sql(spark: SparkSession, text: str, **parameters: object) -> Outcome:
-    """The result as a frame, not yet executed, or the analysis error.
+    """The result as a frame, not yet executed, or why there is none.
 
     Values go in as ``:name`` parameters, never by pasting them into the text.
+    Anything but a query is refused before Spark sees it as a statement, since
+    commands run as soon as they are asked for.
     """
+    refused = check_sql(spark, text, **parameters)
+    if refused != PASSED:
+        return Outcome(ERROR, refused)
     try:
         return Outcome(SUCCESS, text, spark.sql(text, args=parameters))
     except PySparkException as error:

@@ -57,15 +57,3 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of few, unsplittable files one partition per core.
-
-    Parquet splits by row group, so a small file is one task and the joins and
-    unnesting above it stay one task too. A scan that already has a partition
-    per core, as any large table has, is returned as it is and moves no rows.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = df.rdd.getNumPartitions() < cores
-    return df.repartition(cores, df.columns[0]) if few else df

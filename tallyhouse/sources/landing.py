@@ -27,12 +27,24 @@ def read_landing(spark: SparkSession, root: str, feed: Feed, infer: bool = False
     return reader.schema(feed.schema).json(root)
 
 
+# Longer than any file has been lying there.
+ANY_AGE = "36500d"
+
+
 def stream_landing(
-    spark: SparkSession, root: str, feed: Feed, files_per_batch: int
+    spark: SparkSession, root: str, feed: Feed, files_per_batch: int, archive: str | None = None
 ) -> DataFrame:
-    """The same scan as a stream that picks up each file once."""
+    """The same scan as a stream that picks up each file once, however old it is.
+
+    By default a file source passes over files a week older than the newest it
+    has seen; a vendor sending last month again would lose them. With ``archive``
+    loaded files are moved there, which keeps the listing short.
+    """
     reader = spark.readStream.schema(feed.schema).option("basePath", root)
-    return reader.option("maxFilesPerTrigger", files_per_batch).json(root)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", ANY_AGE)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.json(root)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

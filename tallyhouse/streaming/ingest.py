@@ -23,14 +23,17 @@ def ingest_new_files(
     out: str,
     checkpoint: str,
     files_per_batch: int = FILES_PER_BATCH,
+    archive: str | None = None,
 ) -> None:
-    """Load every landed file not loaded yet, then stop.
+    """Load every landed file not loaded yet, whatever its age, then stop.
 
     The checkpoint knows the files taken and the sink's log the batches
     committed, so a run that dies half way, or is repeated, adds each row once.
-    Schedule it as often as wanted; use one checkpoint and output per feed.
+    Schedule it as often as wanted; use one checkpoint and output per feed. The
+    output belongs to the stream: its log says which files count, so batch jobs
+    refuse to write there. ``archive`` names a folder that loaded files move to.
     """
-    stream = job.transform(stream_landing(spark, landing, job.feed, files_per_batch))
+    stream = job.transform(stream_landing(spark, landing, job.feed, files_per_batch, archive))
     query = (
         stream.writeStream.format("parquet")
         .partitionBy(*job.feed.partitions)

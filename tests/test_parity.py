@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
+from workload.queries import QUERIES
 from tests.parity import connect, rows_of_duck, rows_of_spark
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, duck, name):
     frame = driver.queries()[name](spark, SF_DIR)
     ours = rows_of_spark(frame)
@@ -22,7 +23,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) <= set(driver.oracle_sql())
 
 
 def test_entry_has_rows(spark):

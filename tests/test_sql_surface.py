@@ -1,8 +1,10 @@
 import pytest
 
 from tallyhouse.plans import sql_surface
+from tallyhouse.plans.worked_sql import WORKED_SQL
 from tallyhouse.session import fresh_dir
 from tallyhouse.sources import tables
+from workload import standins as s
 
 
 @pytest.fixture
@@ -32,9 +34,34 @@ def test_invalid_text_gives_its_message(spark, view, text, part):
     assert part in outcome.message
 
 
-def test_checking_runs_nothing(spark, view):
-    assert sql_surface.check_sql(spark, "DROP VIEW shifts") == sql_surface.PASSED
+@pytest.mark.parametrize(
+    "text",
+    ["DROP VIEW shifts", "CREATE DATABASE probe_db", "INSERT INTO shifts VALUES (2, 'y')", "SET spark.x = 1",
+     "WITH a AS (SELECT 1 AS cost, 'x' AS note) INSERT INTO shifts SELECT * FROM a", "SELECT 1; DROP VIEW shifts"],
+)
+def test_commands_are_refused_and_nothing_runs(spark, view, text):
+    assert sql_surface.check_sql(spark, text) != sql_surface.PASSED
+    assert sql_surface.run_sql(spark, text).status == "error"
+    assert sql_surface.run_sql_into(spark, text, fresh_dir(spark, "answer")).status == "error"
     assert spark.table("shifts").count() == 1
+    assert not spark.catalog.databaseExists("probe_db")
+    assert spark.conf.get("spark.x", None) is None
+
+
+@pytest.mark.parametrize("text", ["WITH a AS (SELECT 1 AS x) SELECT x FROM a ORDER BY x -- all", "VALUES (1)", "TABLE shifts"])
+def test_every_kind_of_query_passes(spark, view, text):
+    assert sql_surface.check_sql(spark, text) == sql_surface.PASSED
+    assert sql_surface.run_sql(spark, text).frame.count() == 1
+
+
+def test_worked_texts_pass_with_their_parameters(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    tables.register_views({"sales": s.sales(spark, sf_dir), "timesheets": s.timesheets(spark, sf_dir), "rosters": s.rosters(spark, sf_dir)})
+    values = {"venue_id": 1, "location": "NATION_2", "start": "2000-01-01", "stop": "2000-02-01", "as_of": "2000-01-01 00:00:00"}
+    for text in WORKED_SQL.values():
+        assert sql_surface.check_sql(spark, text) != sql_surface.PASSED  # without values
+        own = {k: v for k, v in values.items() if f":{k}" in text}
+        assert sql_surface.check_sql(spark, text, **own) == sql_surface.PASSED
 
 
 def test_run_time_errors_are_messages(spark, view):

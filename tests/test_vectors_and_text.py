@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyhouse.operators import context, nearest, snapshots
 from tallyhouse.sources import landing
@@ -45,36 +46,25 @@ def clustered():
 
 
 @pytest.mark.parametrize("k", [1, 7])
-@pytest.mark.parametrize("route", ["send", "cells"])
-def test_nearest_is_exact(spark, monkeypatch, clustered, route, k):
-    monkeypatch.setattr(nearest, "MAX_PIVOTS", 12)
-    monkeypatch.setattr(nearest, "BLOCK_VECTORS", 50)
-    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 20)
+@pytest.mark.parametrize("block", [(50, 20), (8192, 2048)])
+def test_nearest_is_exact(spark, monkeypatch, clustered, block, k):
+    monkeypatch.setattr(nearest, "BLOCK_VECTORS", block[0])
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", block[1])
     queries = [(1000 + i, v) for i, v in clustered[350:450]]
-    out = nearest.nearest(*frames(spark, clustered, queries), k, 4096 if route == "send" else 10)
+    out = nearest.nearest(*frames(spark, clustered, queries), k)
     assert found(out) == brute_force(clustered, queries, k)
 
 
-@pytest.mark.parametrize("max_sent", [4096, 0])
-def test_fewer_vectors_than_asked_for(spark, max_sent):
+def test_fewer_vectors_than_asked_for(spark):
     vectors = as_floats([[0, 0], [3, 4]])
-    out = nearest.nearest(*frames(spark, vectors, [(9, [0.0, 0.0])]), 5, max_sent)
+    out = nearest.nearest(*frames(spark, vectors, [(9, [0.0, 0.0])]), 5)
     assert found(out) == {(9, 0, 1, 0.0), (9, 1, 2, 5.0)}
 
 
-def test_cells_skip_what_cannot_be_near():
-    pivots = np.array([[0.0, 0.0], [100.0, 0.0], [0.0, 100.0]])
-    row, cell = nearest._reachable(
-        np.array([[1.0, 0.0], [50.0, 0.0]]), pivots, np.array([5, 5, 5]), np.array([2.0, 2.0, 2.0]), 3
-    )
-    assert list(zip(row.tolist(), cell.tolist(), strict=True)) == [(0, 0), (1, 0), (1, 1)]
-
-
-@pytest.mark.parametrize("max_sent", [4096, 0])
-def test_nothing_to_compare(spark, max_sent):
+def test_nothing_to_compare(spark):
     vectors, queries = frames(spark, as_floats([[0, 0]]), [(1, [0.0, 0.0])])
-    assert nearest.nearest(vectors, queries.limit(0), 3, max_sent).collect() == []
-    assert nearest.nearest(vectors.limit(0), queries, 3, max_sent).collect() == []
+    assert nearest.nearest(vectors, queries.limit(0), 3).collect() == []
+    assert nearest.nearest(vectors.limit(0), queries, 3).collect() == []
 
 
 def test_embeddings_of_different_length_fail(spark):
@@ -106,6 +96,29 @@ def test_an_unlisted_version_is_not_loaded(spark, tmp_path):
     assert snapshots.load_vectors(spark, root, "m").first()["version"] == version
 
 
+def test_a_save_that_fails_leaves_the_version_as_it_was(spark, tmp_path):
+    root = str(tmp_path / "store")
+    v = spark.createDataFrame([(1, [1.0])], "vec_id bigint, embedding array<float>")
+    snapshots.save_vectors(v, root, "m", "2024-05-13 20:45:46")
+    broken = v.selectExpr("vec_id", "if(vec_id = 1, raise_error('lost'), embedding) AS embedding")
+    with pytest.raises(Exception, match="lost"):
+        snapshots.save_vectors(broken, root, "m", "2024-05-13 20:45:46")
+    assert snapshots.load_vectors(spark, root, "m").first()["embedding"] == [1.0]
+    snapshots.save_vectors(v.withColumn("vec_id", F.lit(2)), root, "m", "2024-05-13 20:45:46")
+    assert snapshots.load_vectors(spark, root, "m").first()["vec_id"] == 2
+
+
+def test_pages_are_files_of_one_directory(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a\n  {i}") for i in range(200)], "doc_id bigint, text string")
+    context.write_pages(docs, str(tmp_path / "pages"), page_docs=10)
+    files = list((tmp_path / "pages").glob("part-*"))
+    assert len(files) == 20
+    pages = context.read_pages(spark, str(tmp_path / "pages")).collect()
+    assert {r["page"]: r["value"].strip("\n") for r in pages} == {
+        p: "\n".join(f"a\n  {i}" for i in range(10 * p, 10 * p + 10)) for p in range(20)
+    }
+
+
 def test_context_of_all_documents(spark, tmp_path):
     texts = {i: f"{{\n  doc {i}\n}}" for i in range(200)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(7)

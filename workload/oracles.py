@@ -71,7 +71,7 @@ USER_ROLE = """user_role AS (
   FROM supplier), requests AS (SELECT event_id, 'user_' || user_id AS username FROM events)"""
 
 REPLIES = """replies AS (
-  SELECT conv_id, turn, CASE
+  SELECT conv_id, turn, CASE WHEN conv_id % 13 = 5 THEN NULL
     WHEN turn % 5 = 0 THEN 'NO' || chr(10) || text
     WHEN turn % 2 = 0 THEN 'Here:' || chr(10) || '```sql' || chr(10) || 'select ' || conv_id || chr(10)
       || 'from sales' || chr(10) || '```' || chr(10) || text
@@ -152,8 +152,11 @@ def auto_grain(grain: str, start: str, end: str) -> str:
     """Three sums per period, merged by full joins."""
     if grain == "hour":
         here = f"location_name = {VENUE_NAME} AND " + on_day(start)
-        w = f"SELECT hour AS p, round(sum(share), 6) AS c FROM ({hourly('worked', here)}) GROUP BY hour"
-        r = f"SELECT hour AS p, round(sum(share), 6) AS c FROM ({hourly('planned', here)}) GROUP BY hour"
+        w, r = (
+            f"""SELECT hour AS p, round(sum(share), 6) AS c FROM ({hourly(side, here)})
+            WHERE CAST(slot AS date) = DATE '{start}' GROUP BY hour"""
+            for side in ("worked", "planned")
+        )
         sold = "strftime(transaction_date, '%Y-%m-%d %H:00:00')"
     else:
         day = "strftime({}, '%Y-%m-%d')" if grain == "day" else f"'{start}..{end}'"
@@ -286,7 +289,7 @@ ORACLES: dict[str, str] = {
         sold AS (SELECT o_custkey, sold_at, l_orderkey, c_acctbal, o_totalprice FROM lines
                  WHERE l_linenumber % 3 > 0),
         ranked AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (
-                     PARTITION BY o_custkey ORDER BY sold_at DESC, l_orderkey DESC) AS rn FROM sold)
+                     PARTITION BY o_custkey ORDER BY sold_at DESC, CASE WHEN l_orderkey % 7 = 0 THEN 0 ELSE l_orderkey END DESC) AS rn FROM sold)
         SELECT member_id, member_name, spend::double AS spend, n AS sales,
                CAST(c_acctbal AS {MONEY})::double AS account_balance,
                CAST(o_totalprice AS {MONEY})::double AS points_balance
@@ -322,10 +325,10 @@ ORACLES: dict[str, str] = {
         SELECT hour, round(sum(share), 6) AS roster_wages FROM ({hourly("planned")}) GROUP BY hour""",
     "extract_sql_reply": f"""WITH {REPLIES}
         SELECT conv_id, turn,
-               CASE WHEN contains(text, 'NO') THEN 'error' ELSE 'success' END AS status,
-               CASE WHEN contains(text, 'NO') THEN split_part(text, 'NO', 2) ELSE {untagged(LOOSE)} END AS message,
-               CASE WHEN turn % 5 = 0 THEN 'error' ELSE 'success' END AS strict_status,
-               CASE WHEN turn % 5 = 0 THEN {STRIP.format("substr(text, 3)")}
+               CASE WHEN text IS NULL OR contains(text, 'NO') THEN 'error' ELSE 'success' END AS status,
+               CASE WHEN text IS NULL THEN 'no reply' WHEN contains(text, 'NO') THEN split_part(text, 'NO', 2) ELSE {untagged(LOOSE)} END AS message,
+               CASE WHEN text IS NULL OR turn % 5 = 0 THEN 'error' ELSE 'success' END AS strict_status,
+               CASE WHEN text IS NULL THEN 'no reply' WHEN turn % 5 = 0 THEN {STRIP.format("substr(text, 3)")}
                     ELSE {STRIP.format(untagged(STRICT))} END AS strict_message
         FROM replies""",
     "flatten_documents": f"WITH {DOCS} SELECT doc_id, source, {flat('text')} AS text FROM docs",
@@ -338,12 +341,17 @@ ORACLES: dict[str, str] = {
                   FROM docs GROUP BY 1)
         SELECT page, {flat('text')} AS value FROM files""",
     "embedding_topk": """
+        WITH asked AS (SELECT label AS query_id, min_by(embedding, vec_id)::double[] AS e FROM embeddings GROUP BY label)
         SELECT query_id, vec_id, round(d, 6) AS distance, rank::int AS rank FROM (
-          SELECT q.vec_id AS query_id, v.vec_id, d, row_number() OVER (
-            PARTITION BY q.vec_id ORDER BY d, v.vec_id) AS rank
-          FROM embeddings q, embeddings v,
-               LATERAL (SELECT list_distance(q.embedding::double[], v.embedding::double[]) AS d))
+          SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank
+          FROM asked, embeddings v, LATERAL (SELECT list_distance(e, v.embedding::double[]) AS d))
         WHERE rank <= 10""",
+    "embedding_search": """
+        WITH asked AS (SELECT label AS query_id, min_by(embedding, vec_id)::double[] AS e FROM embeddings GROUP BY label)
+        SELECT '20240602080000' AS version, query_id, vec_id, round(d, 6) AS distance, rank::int AS rank FROM (
+          SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank
+          FROM asked, embeddings v, LATERAL (SELECT list_distance(e, v.embedding::double[]) AS d))
+        WHERE rank <= 3""",
     "embedding_snapshot": """
         SELECT 'text:v1' AS model_id, '20240602080000' AS version, vec_id, label + 100 AS label,
                embedding[1]::double AS first FROM embeddings""",

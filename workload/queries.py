@@ -546,29 +546,37 @@ def document_context(spark, sf_dir):
 def whole_file_documents(spark, sf_dir):
     """Pages of documents as files, each read as one text and flattened."""
     root = fresh_dir(spark, "documents")
-    paged = s.indented_documents(spark, sf_dir).withColumn(
-        "page", F.floor(F.col("doc_id") / context.PAGE_DOCS)
-    )
-    (
-        paged.repartition("page")
-        .sortWithinPartitions("page", "doc_id")
-        .select("page", "text")
-        .write.partitionBy("page")
-        .text(root)
-    )
-    return context.flatten_documents(landing.read_documents(spark, root), "value").select(
-        F.col("page").cast("bigint").alias("page"), "value"
-    )
+    context.write_pages(s.indented_documents(spark, sf_dir), root)
+    return context.flatten_documents(context.read_pages(spark, root), "value")
 
 
 @register
 def embedding_topk(spark, sf_dir):
-    """The ten nearest vectors of every vector, itself included."""
-    vectors = s.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    found = nearest.nearest(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 10)
+    """The ten nearest of all vectors to the first vector of each label, itself included."""
+    vectors = s.table(spark, sf_dir, "embeddings")
+    found = nearest.nearest(vectors.select("vec_id", "embedding"), _asked(vectors), 10)
     return found.withColumn("distance", F.round("distance", 6))
 
 
+def _asked(vectors: DataFrame) -> DataFrame:
+    first = F.min_by("embedding", "vec_id").alias("embedding")
+    return vectors.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(first)
+
+
+@register
+def embedding_search(spark, sf_dir):
+    """Vectors saved twice under one version and once under an older one, the latest loaded and searched."""
+    root = fresh_dir(spark, "vectors")
+    vectors = s.table(spark, sf_dir, "embeddings")
+    snapshots.save_vectors(vectors.limit(1), root, "text:v1", "2024-05-13 20:45:46")
+    for saved in (vectors.limit(1), vectors):
+        snapshots.save_vectors(saved, root, "text:v1", "2024-06-02 08:00:00")
+    loaded = snapshots.load_vectors(spark, root, "text:v1")
+    found = nearest.nearest(loaded.select("vec_id", "embedding"), _asked(loaded), 3)
+    version = loaded.select("version").distinct()
+    return found.withColumn("distance", F.round("distance", 6)).withColumn("version", version.scalar())
+
+
 @register
 def embedding_snapshot(spark, sf_dir):
     """Two versions of one model and one of another; the latest is loaded."""

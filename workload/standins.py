@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.timeparse import WITH_MILLIS, WITHOUT_MILLIS
-from tallyhouse.session import spread
-
 
 # The given tables; stating the columns saves a job per read.
 SCHEMAS = {
@@ -35,13 +33,10 @@ SCHEMAS = {
     "embeddings": "vec_id bigint, embedding array<float>, label int",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
-# Tables whose rows grow into feeds; the others only ever sit on the small side of a join.
-FACTS = frozenset({"lineitem", "events", "documents", "conversations", "embeddings"})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in FACTS else df
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _money(column: str) -> str:
@@ -79,11 +74,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lake's sales table: a row per sale."""
+    """The lake's sales table: a row per sale; one order in seven has sales without an id."""
     return _lines(spark, sf_dir).selectExpr(
         "c_nationkey AS venue_id",
         "n_name AS venue_name",
-        _sale_struct("l_orderkey", _SOLD_AT, _ITEMS) + " AS Sales_Details",
+        _sale_struct("nullif(l_orderkey, l_orderkey div 7 * 7)", _SOLD_AT, _ITEMS) + " AS Sales_Details",
     )
 
 
@@ -215,11 +210,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns reshaped into refusals, fenced and bare answers."""
+    """Conversation turns reshaped into refusals, fenced, bare and missing answers."""
     return table(spark, sf_dir, "conversations").selectExpr(
         "conv_id",
         "turn",
-        r"""CASE WHEN turn % 5 = 0 THEN concat('NO\n', text)
+        r"""CASE WHEN conv_id % 13 = 5 THEN NULL WHEN turn % 5 = 0 THEN concat('NO\n', text)
             WHEN turn % 2 = 0 THEN concat('Here:\n```sql\nselect ', conv_id, '\nfrom sales\n```\n', text)
             WHEN turn % 3 = 0 THEN concat('select ', turn, '\nwhere a is NOT null')
             ELSE concat('  select ', conv_id, '\n  from sales ') END AS text""",
