@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.byte_bpe import encoder, vocabulary_path
 from tallyhouse.llm.common import make_dir, sliced, texts, write_file
+from tallyhouse.llm.word_tokens import encoder, vocabulary_path
 from tallyhouse.session import fresh_dir, stored
 
-END = 50256  # free in the vocabulary; the other ids are below it, so two bytes hold one
+END = 49407  # the vocabulary's own end of text; ids take two bytes
 ROUNDS = 6
 INDEX = "slot long, shard long, file string, offset long, sequence long, n_tokens long, doc_ids array<long>, crc32 long"
 
@@ -57,10 +57,10 @@ def slots(numbers: np.ndarray, count: int, key: int) -> np.ndarray:
 
 def _stream(batches, path: str):
     """(ids, id of each document, its number of ids) of each batch."""
-    closing = np.array([END], "<u4").tobytes()
+    closing = np.array([END], "<u2").tobytes()
     for b in sliced(batches):
         packed = [x + closing for x in encoder(path).encode(b.column("text").to_pylist())]
-        yield np.frombuffer(b"".join(packed), "<u4").astype("<u2"), b.column("id").to_pylist(), [len(x) // 4 for x in packed]
+        yield np.frombuffer(b"".join(packed), "<u2"), b.column("id").to_pylist(), [len(x) // 2 for x in packed]
 
 
 def _counting(length: int, path: str):
