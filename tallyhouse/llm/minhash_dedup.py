@@ -237,6 +237,7 @@ def _regions(classes: DataFrame) -> DataFrame:
 
     def crowded(rows: DataFrame, *keep: str) -> DataFrame:
         shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("first")).filter("n > 1")
+        shared = stored(shared, "prefixes")  # a join on top of a sum cannot be split at a crowded prefix
         return rows.join(shared, "key").select("class", "n", "first", "key", *keep)
 
     at_first = stored(crowded(forest, "far"), "neighbours")
@@ -277,7 +278,7 @@ def minhash_dedup(
     )
     regions = _regions(classes.select("class", "near", "far"))
     tiles = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / (BLOCK // 2))).cast("long")
-    sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")).select("region", tiles.alias("tiles"))
+    sizes = stored(regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")).select("region", tiles.alias("tiles")), "regions")
     members = regions.join(sizes, "region").join(classes.select("class", "set_hash", "text_hash"), "class")
     members = members.withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")))
     wanted = members.select("class", "set_hash", "text_hash")

@@ -177,12 +177,13 @@ def _windows(window: int):
 
 def _passed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of bundles with their digits: spans settled as repeated, and one of each class that needs a deeper digit."""
-    alike = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    # Stored before it is joined back: a join on top of a sum cannot be split at a crowded digit.
+    alike = stored(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "alike")
     found = stored(found.join(alike, "core", "left_semi"), "alike")
     place = [F.first(c).alias(c) for c in ("row", "low", "high", "anchor")]  # all of the same bundle
     classes = stored(found.groupBy("core", "cover").agg(F.count(F.lit(1)).alias("n"), *place), "classes")
     settled = found.join(classes.filter("n > 1").select("cover"), "cover", "left_semi").select("row", "low", "high")
-    split = classes.groupBy("core").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("core")
+    split = stored(classes.groupBy("core").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("core"), "split")
     return settled, classes.join(split, "core", "left_semi").select("row", "low", "high", "anchor")
 
 

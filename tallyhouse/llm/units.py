@@ -20,10 +20,9 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 CLASS = np.array([SPACE if chr(i) in SPACES else NUMBER if chr(i) in NUMBERS else LETTER if chr(i).isalpha() else OTHER for i in range(256)], np.uint8)
 
 LONGEST = 64  # longer matches are not remembered
-_random = np.random.default_rng(20)
-_VALUE = _random.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(LONGEST, _BASE)]), dtype=np.uint64)
+_VALUE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def cut(data: np.ndarray, begins: np.ndarray, join_space: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -69,18 +68,10 @@ def cut(data: np.ndarray, begins: np.ndarray, join_space: bool) -> tuple[np.ndar
     return starts, ends
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A hash of each match of at most LONGEST bytes, by its own position's powers, so that place does not matter."""
-    value = _VALUE[data]
-    out = np.zeros(len(starts), np.uint64)
-    order = np.argsort(sizes, kind="stable")[::-1]
-    counts = np.searchsorted(-sizes[order], -np.arange(1, (int(sizes.max()) if len(sizes) else 0) + 1), side="right")
-    begins = starts[order]
-    for i, n in enumerate(counts.tolist()):  # the n longest have an i-th byte
-        out[:n] += value[begins[:n] + i] * _POWERS[i]
-    back = np.empty_like(out)
-    back[order] = (out ^ (out >> np.uint64(29))) * _BASE + sizes[order].astype(np.uint64)
-    return back
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, up to the n-th."""
+    back = pow(_BASE, -1, 1 << 64)
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, back))
 
 
 class Memory:
@@ -88,15 +79,25 @@ class Memory:
 
     def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], join_space: bool, dtype, most: int = 1 << 20):
         self.learn, self.join_space, self.dtype, self.most = learn, join_space, dtype, most
+        self.powers = _powers(1)
         self._forget()
 
     def _forget(self) -> None:
         self.hashes, self.offsets = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.sizes, self.pool = np.zeros(0, np.int32), np.zeros(0, self.dtype)
 
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each match: differences of running sums, taken back to the match's own first power."""
+        if len(data) > len(self.powers[0]):
+            self.powers = _powers(len(data))
+        ahead, back = self.powers
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUE[data] * ahead[: len(data)], out=sums[1:])
+        out = (sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)
+        out ^= out >> np.uint64(32)
+        return out * _MIX
+
     def _add(self, hashes: np.ndarray, matches: list[bytes]) -> None:
-        if len(self.hashes) + len(hashes) > self.most:
-            raise MemoryError
         ids, sizes = self.learn(matches)
         offsets = len(self.pool) + np.cumsum(sizes) - sizes
         self.pool = np.concatenate([self.pool, ids.astype(self.dtype)])
@@ -116,23 +117,17 @@ class Memory:
         sizes = ends - starts
         brief = sizes <= LONGEST
         some, which = starts[brief], sizes[brief]
-        distinct, at, back = np.unique(_hashes(data, some, which), return_index=True, return_inverse=True)
+        distinct, at, back = np.unique(self._hashes(data, some, some + which), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        for _ in range(2):
-            place = np.searchsorted(self.hashes, distinct)
-            known = np.zeros(len(distinct), bool)
-            inside = place < len(self.hashes)
-            known[inside] = self.hashes[place[inside]] == distinct[inside]
-            if known.all():
-                break
-            new = np.flatnonzero(~known)
-            if len(self.hashes) + len(new) > self.most:
-                self._forget()  # more than fits: begin again with what this call needs
-                self.most = max(self.most, len(distinct))
+        place = np.searchsorted(self.hashes, distinct)
+        new = np.flatnonzero(np.append(self.hashes, np.uint64(0))[place] != distinct)
+        new = new if len(self.hashes) else np.arange(len(distinct))
+        if len(new):
+            if len(self.hashes) + len(new) > self.most:  # more than fits: begin again with what this call needs
+                self._forget()
                 new = np.arange(len(distinct))
             self._add(distinct[new], [raw[s : s + n] for s, n in zip(some[at[new]].tolist(), which[at[new]].tolist(), strict=True)])
             place = np.searchsorted(self.hashes, distinct)
-            break
         counts = np.empty(len(starts), np.int64)
         offsets = np.empty(len(starts), np.int64)
         counts[brief], offsets[brief] = self.sizes[place][back], self.offsets[place][back]

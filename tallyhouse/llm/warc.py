@@ -181,6 +181,7 @@ def write_warc(
         .filter("copies > 1 AND first IS NOT NULL")
         .drop("copies")
     )
+    copies = stored(copies, "copies")  # a join on top of a sum cannot be split at a crowded payload
     records = pages.join(copies, ["sha1", "size"], "left").select(
         "id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
     )
