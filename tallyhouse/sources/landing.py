@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.schemas import Feed
+from tallyhouse.schemas import MALFORMED, Feed
 
 
 def read_landing(spark: SparkSession, root: str, feed: Feed, infer: bool = False) -> DataFrame:
@@ -16,15 +16,20 @@ def read_landing(spark: SparkSession, root: str, feed: Feed, infer: bool = False
     file name: the values are the same and a filter on them skips directories.
     Reading the root instead of a glob makes an empty landing an empty table.
     ``infer`` takes the record schema from the files, at the price of a pass
-    over all of them.
+    over all of them, and so keeps fields that the feed does not name. A line
+    that is no record is kept in a column of its own either way.
     """
-    reader = spark.read.option("basePath", root)
-    if infer:
-        inferred = reader.json(root)
-        levels = [F.col(c).cast("int").alias(c) for c in feed.partitions]
-        rest = [c for c in inferred.columns if c not in feed.partitions]
-        return inferred.select(*rest, *levels)
-    return reader.schema(feed.schema).json(root)
+    reader = spark.read.option("basePath", root).option("columnNameOfCorruptRecord", MALFORMED)
+    if not infer:
+        return reader.schema(feed.schema).json(root)
+    found = reader.json(root).schema
+    if MALFORMED not in found.names:
+        found = T.StructType([*found, T.StructField(MALFORMED, T.StringType())])
+    inferred = reader.schema(found).json(root)
+    levels = [F.col(c).cast("int").alias(c) for c in feed.partitions]
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in feed.record if f.name not in found.names]
+    rest = [c for c in inferred.columns if c not in feed.partitions]
+    return inferred.select(*rest, *missing, *levels)
 
 
 # Longer than any file has been lying there.
@@ -40,7 +45,7 @@ def stream_landing(
     has seen; a vendor sending last month again would lose them. With ``archive``
     loaded files are moved there, which keeps the listing short.
     """
-    reader = spark.readStream.schema(feed.schema).option("basePath", root)
+    reader = spark.readStream.schema(feed.schema).option("basePath", root).option("columnNameOfCorruptRecord", MALFORMED)
     reader = reader.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", ANY_AGE)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
@@ -60,24 +65,48 @@ EGM_COLUMNS = {
     "EGM Turnover": T.DecimalType(14, 2),
     "EGM Wins": T.DecimalType(14, 2),
 }
+EGM_DATES = ("yyyy-MM-dd", "dd/MM/yyyy")
 EGM_RENAMES = {"Venue": "Venue_Id"}
 
 
 def read_egm_csv(spark: SparkSession, path: str) -> DataFrame:
     """Gaming-machine readings by column name, whatever else a file holds.
 
-    All columns are read as text under the header's names and the five wanted
-    ones are typed here. ``enforceSchema`` is off, so a file whose header is
-    ordered differently fails instead of being read by position.
+    All values are text, exactly as written; ``typed_egm`` types them later.
+    ``enforceSchema`` is off, so a file whose header is ordered differently fails
+    instead of being read by position.
     """
     raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    return raw.select(*[_typed(name, kind) for name, kind in EGM_COLUMNS.items()])
+    return raw.select(*[F.col(f"`{name}`") for name in EGM_COLUMNS])
 
 
 def extract_egm(readings: DataFrame) -> DataFrame:
     return readings.select(*EGM_COLUMNS).withColumnsRenamed(EGM_RENAMES)
 
 
+def typed_egm(extracted: DataFrame) -> DataFrame:
+    """Readings with their types: dates in either form, amounts with commas between thousands."""
+    return extracted.select(
+        *[_typed(EGM_RENAMES.get(name, name), kind).alias(EGM_RENAMES.get(name, name)) for name, kind in EGM_COLUMNS.items()]
+    )
+
+
+def unread_egm(extracted: DataFrame) -> DataFrame:
+    """A row per column: how many of its texts ``typed_egm`` cannot read."""
+    names = [EGM_RENAMES.get(name, name) for name in EGM_COLUMNS]
+    lost = [
+        F.count_if(F.col(f"`{name}`").isNotNull() & _typed(name, kind).isNull()).alias(name)
+        for name, kind in zip(names, EGM_COLUMNS.values(), strict=True)
+    ]
+    return extracted.agg(*lost).unpivot([], [F.col(f"`{n}`") for n in names], "column", "unread")
+
+
 def _typed(name: str, kind: T.DataType) -> Column:
-    return F.col(f"`{name}`").try_cast(kind).alias(name)
+    text = F.trim(F.col(f"`{name}`"))
+    if isinstance(kind, T.DateType):
+        return F.coalesce(*[F.try_to_timestamp(text, F.lit(form)).cast("date") for form in EGM_DATES])
+    if isinstance(kind, T.DecimalType):
+        grouped = text.rlike(r"^[-+]?\d{1,3}(,\d{3})+(\.\d*)?$")
+        text = F.when(grouped, F.replace(text, F.lit(","))).otherwise(text)
+    return text.try_cast(kind)
 

@@ -48,6 +48,52 @@ def write_table(
         raise ValueError(f"unknown write mode {mode!r}")
 
 
+def _directories(spark: SparkSession, root: str, partition_by: Sequence[str], below: str = ""):
+    """Paths at the depth of the partitions, with their levels as numbers."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path("/".join([root.rstrip("/"), *[f"{c}=*" for c in partition_by]]) + below)
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(pattern) or ():
+        levels = dict(part.split("=", 1) for part in status.getPath().toString().split("/") if "=" in part)
+        try:
+            yield files, status.getPath(), tuple(int(levels[c]) for c in partition_by)
+        except (KeyError, ValueError):  # no directory of the table
+            continue
+
+
+def owned_by_stream(spark: SparkSession, path: str) -> bool:
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_spark_metadata")
+    return log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log)
+
+
+def level_files(spark: SparkSession, path: str, partition_by: Sequence[str]) -> dict[tuple[int, ...], set[str]]:
+    """Names of the data files by directory level."""
+    found: dict[tuple[int, ...], set[str]] = {}
+    for _, file, levels in _directories(spark, path, partition_by, "/*.parquet"):
+        found.setdefault(levels, set()).add(file.getName())
+    return found
+
+
+def clear_levels(
+    spark: SparkSession, landing: str, out: str, partition_by: Sequence[str],
+    before: Mapping[tuple[int, ...], set[str]], condition: str | None = None,
+) -> int:
+    """Remove the table's directories that were to be replaced and got no rows.
+
+    A replaced directory has new files; one whose files are those of before,
+    though its landing directory was among those read, has lost all its rows.
+    """
+    read = {levels for _, _, levels in _directories(spark, landing, partition_by)}
+    same = [x for x, names in level_files(spark, out, partition_by).items() if x in read and before.get(x) == names]
+    if condition is not None and same:
+        rows = spark.createDataFrame(same, ", ".join(f"{c} int" for c in partition_by))
+        same = [tuple(r) for r in rows.where(condition).collect()]
+    cleared = set(same)
+    for files, path, levels in list(_directories(spark, out, partition_by)):
+        if levels in cleared:
+            files.delete(path, True)
+    return len(cleared)
+
+
 def compact_table(spark: SparkSession, path: str, out: str, partition_by: Sequence[str]) -> None:
     """Rewrite a table of many small files into few, beside the original."""
     write_table(spark.read.parquet(path), out, partition_by, mode="replace_partitions")
@@ -63,14 +109,30 @@ def register_views(frames: Mapping[str, DataFrame]) -> None:
         frame.createOrReplaceTempView(name)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def register_lake(
     spark: SparkSession, database: str, location: str, tables: Mapping[str, str]
 ) -> None:
-    """Put Parquet directories under ``database`` as external tables."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{location}'")
+    """Put Parquet directories under ``database`` as external tables.
+
+    A table that is there already is only brought up to date, so its readers meet
+    no gap; one that points elsewhere is put in anew.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION {_quoted(location)}")
     for name, path in tables.items():
         table = f"`{database}`.`{name}`"
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{path}'")
+        if spark.catalog.tableExists(table) and _location(spark, table) != path.removeprefix("file:").rstrip("/"):
+            spark.sql(f"DROP TABLE {table}")
+        if not spark.catalog.tableExists(table):
+            spark.sql(f"CREATE TABLE {table} USING parquet LOCATION {_quoted(path)}")
         if any(column.isPartition for column in spark.catalog.listColumns(table)):
-            spark.catalog.recoverPartitions(table)
+            spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
+        spark.catalog.refreshTable(table)
+
+
+def _location(spark: SparkSession, table: str) -> str:
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()
+    return described["data_type"].removeprefix("file:").rstrip("/")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import Moment, moment
-from tallyhouse.plans.etl import Job
+from tallyhouse.plans.etl import Job, malformed, malformed_path
 from tallyhouse.sources.landing import stream_landing
 
 # Fixed value: how a stored mark is written.
@@ -33,17 +33,20 @@ def ingest_new_files(
     output belongs to the stream: its log says which files count, so batch jobs
     refuse to write there. ``archive`` names a folder that loaded files move to.
     """
-    stream = job.transform(stream_landing(spark, landing, job.feed, files_per_batch, archive))
-    query = (
-        stream.writeStream.format("parquet")
-        .partitionBy(*job.feed.partitions)
-        .option("compression", "snappy")
-        .option("checkpointLocation", checkpoint)
-        .option("path", out)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    # Lines that are no records go first, in a stream of their own: the other one may move the files away.
+    broken = malformed(stream_landing(spark, landing, job.feed, files_per_batch), job.feed)
+    rows = job.transform(stream_landing(spark, landing, job.feed, files_per_batch, archive))
+    for stream, path, log in ((broken, malformed_path(out), f"{checkpoint.rstrip('/')}-malformed"), (rows, out, checkpoint)):
+        query = (
+            stream.writeStream.format("parquet")
+            .partitionBy(*job.feed.partitions)
+            .option("compression", "snappy")
+            .option("checkpointLocation", log)
+            .option("path", path)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
 
 
 def rows_since(df: DataFrame, ts: str, mark: Moment | None) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
-from datetime import datetime
+import os
+from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
@@ -12,6 +13,9 @@ from tallyhouse.sources import landing, tables
 from tallyhouse.streaming import ingest
 
 
+NOTHING = dict.fromkeys(("records", "rows", "malformed", "unparsed_times", "unparsed_values", "cleared"), 0)
+
+
 def land(root, where, *records):
     folder = root / where
     folder.mkdir(parents=True, exist_ok=True)
@@ -55,7 +59,7 @@ def test_sales_job(spark, tmp_path, sales_landing, rows):
         ],
         key=repr,
     )
-    assert audit == {"records": 4, "rows": 3, "unparsed_times": 2}
+    assert audit == {**NOTHING, "records": 4, "rows": 3, "unparsed_times": 2}
     assert dict(table.dtypes)["venue_id"] == "int"
 
 
@@ -161,7 +165,7 @@ def test_timesheet_formats(spark, tmp_path, rows):
     assert row["Pay_End_Time"] == datetime(2024, 5, 1, 12)
     assert row["Clocked_Start_Time"] is None
     assert row["timesheet_cost"] == Decimal("10.25")
-    assert audit == {"records": 1, "rows": 1, "unparsed_times": 2}
+    assert audit == {**NOTHING, "records": 1, "rows": 1, "unparsed_times": 2}
 
 
 def test_stream_loads_each_file_once(spark, tmp_path, sales_landing):
@@ -238,12 +242,27 @@ def test_egm_columns_are_read_by_name(spark, tmp_path, rows):
     )
     out = landing.extract_egm(landing.read_egm_csv(spark, str(path)))
     assert out.columns == ["Venue_Id", "Date", "Time", "EGM Turnover", "EGM Wins"]
-    assert rows(out, "Venue_Id", "EGM Turnover", "EGM Wins") == [
+    assert rows(out, "Venue_Id", "EGM Turnover", "EGM Wins") == [("4", "10.25", "1.50"), ("4", None, "n/a")]
+    typed = landing.typed_egm(out)
+    assert rows(typed, "Venue_Id", "EGM Turnover", "EGM Wins") == [
         (4, Decimal("10.25"), Decimal("1.50")),
         (4, None, None),
     ]
 
 
+def test_egm_values_are_kept_as_written_and_typed_by_named_forms(spark, rows):
+    df = spark.createDataFrame(
+        [("1", "17/05/2024", "x", "1,234.50", "12,50"), ("z", "2024-05-17", "y", "-5", "1,23,456")],
+        "Venue string, Date string, Time string, `EGM Turnover` string, `EGM Wins` string",
+    )
+    typed = landing.typed_egm(landing.extract_egm(df))
+    assert rows(typed, "Venue_Id", "Date", "EGM Turnover", "EGM Wins") == sorted(
+        [(1, date(2024, 5, 17), Decimal("1234.50"), None), (None, date(2024, 5, 17), Decimal("-5.00"), None)], key=repr
+    )
+    unread = landing.unread_egm(landing.extract_egm(df)).collect()
+    assert {r["column"]: r["unread"] for r in unread} == {"Venue_Id": 1, "Date": 0, "Time": 0, "EGM Turnover": 0, "EGM Wins": 2}
+
+
 def test_egm_files_with_another_column_order_are_not_misread(spark, tmp_path):
     path = tmp_path / "egm"
     path.mkdir()
@@ -274,3 +293,82 @@ def test_a_directory_holding_most_rows_is_written_by_several_tasks(spark, tmp_pa
     assert files.pop("level=1") > 3
     assert max(files.values()) <= 2
     assert spark.read.parquet(str(out)).count() == 300_000
+
+
+def test_late_files_are_loaded(spark, tmp_path, sales_landing):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    ingest.ingest_new_files(spark, etl.SALES_JOB, str(sales_landing), out, checkpoint)
+    assert spark.read.parquet(out).count() == 3
+    for days in (0, 8, 30, 400):
+        folder = "year=2023/month=1/day=9"
+        land(sales_landing, folder, venue(sale("2023-01-09T10:00:00.000", "ale", sale_id=days)))
+        newest = max((sales_landing / folder).iterdir(), key=lambda f: f.stat().st_ctime_ns)
+        then = newest.stat().st_mtime - days * 86400
+        os.utime(newest, (then, then))
+    ingest.ingest_new_files(spark, etl.SALES_JOB, str(sales_landing), out, checkpoint)
+    assert spark.read.parquet(out).count() == 7
+
+
+def test_a_batch_into_a_streamed_table_is_refused(spark, tmp_path, sales_landing):
+    out = str(tmp_path / "out")
+    ingest.ingest_new_files(spark, etl.SALES_JOB, str(sales_landing), out, str(tmp_path / "checkpoint"))
+    with pytest.raises(ValueError, match="stream"):
+        etl.run_job(spark, etl.SALES_JOB, str(sales_landing), out)
+
+
+def test_an_emptied_directory_is_cleared(spark, tmp_path):
+    root, out = tmp_path / "landing", str(tmp_path / "out")
+    land(root, "year=2024/month=5/day=1", venue(sale("2024-05-01T10:00:00.000", "ale")))
+    land(root, "year=2024/month=5/day=2", venue(sale("2024-05-02T10:00:00.000", "ale")))
+    etl.run_job(spark, etl.SALES_JOB, str(root), out)
+    (root / "year=2024/month=5/day=1/part-0.json").write_text(json.dumps(venue()))
+    assert etl.run_job(spark, etl.SALES_JOB, str(root), out, levels="day = 2")["cleared"] == 0
+    audit = etl.run_job(spark, etl.SALES_JOB, str(root), out)
+    assert (audit["rows"], audit["cleared"]) == (1, 1)
+    assert [r["day"] for r in etl.read_table(spark, out, etl.SALES_JOB).collect()] == [2]
+
+
+def test_broken_lines_are_counted_and_set_aside(spark, tmp_path):
+    root, out = tmp_path / "landing", str(tmp_path / "out")
+    land(root, "year=2024/month=5", {"location_name": "Bar", "roster_cost": "12,50"}, {"location_name": "Inn", "roster_cost": 7})
+    (root / "year=2024/month=5/cut.json").write_text('{"location_name": "Ba')
+    audit = etl.run_job(spark, etl.ROSTERS_JOB, str(root), out)
+    assert audit == {**NOTHING, "records": 3, "rows": 2, "malformed": 1, "unparsed_values": 1}
+    costs = {r["location_name"]: r["roster_cost"] for r in etl.read_table(spark, out, etl.ROSTERS_JOB).collect()}
+    assert costs == {"Bar": None, "Inn": Decimal("7.00")}
+    lines = spark.read.parquet(etl.malformed_path(out)).collect()
+    assert [(r["line"], r["month"]) for r in lines] == [('{"location_name": "Ba', 5)]
+
+
+def test_streams_set_broken_lines_aside(spark, tmp_path):
+    root, out = tmp_path / "landing", str(tmp_path / "out")
+    land(root, "year=2024/month=5", {"location_name": "Inn", "roster_cost": 7})
+    (root / "year=2024/month=5/cut.json").write_text('{"location_name": "Ba')
+    ingest.ingest_new_files(spark, etl.ROSTERS_JOB, str(root), out, str(tmp_path / "checkpoint"))
+    assert [r["location_name"] for r in spark.read.parquet(out).collect()] == ["Inn"]
+    assert [r["line"] for r in spark.read.parquet(etl.malformed_path(out)).collect()] == ['{"location_name": "Ba']
+
+
+def test_an_inferred_table_is_typed_and_keeps_unnamed_fields(spark, tmp_path):
+    root, out = tmp_path / "landing", str(tmp_path / "out")
+    sold = sale("2024-05-01T10:00:00.123", "ale") | {"Operator": "X"}
+    sold["Items"][0]["Size"] = "pint"
+    land(root, "year=2024/month=5/day=1", venue(sold, till="T1"))
+    etl.run_job(spark, etl.SALES_JOB, str(root), out, infer=True)
+    row = etl.read_table(spark, out, etl.SALES_JOB).first()
+    assert (row["venue_id"], row["Sales_Details"]["Items"][0]["Total_Inc"]) == (1, Decimal("2.50"))
+    whole = spark.read.parquet(out).select("till", "Sales_Details.Operator", "Sales_Details.Items.Size").first()
+    assert tuple(whole) == ("T1", "X", ["pint"])
+
+
+def test_a_range_prunes_directories(spark, tmp_path, sales_landing):
+    raw = landing.read_landing(spark, str(sales_landing), SALES).where("year = 2024 AND day = 1")
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    out = str(tmp_path / "sales")
+    etl.run_job(spark, etl.SALES_JOB, str(sales_landing), out)
+    land(sales_landing, "year=2024/month=5/day=1", venue(sale("2024-05-01T12:00:00.000", "ale")))
+    land(sales_landing, "year=2024/month=5/day=2", venue(sale("2024-05-02T12:00:00.000", "ale")))
+    audit = etl.run_job(spark, etl.SALES_JOB, str(sales_landing), out, levels="day = 1")
+    assert audit["rows"] == 2
+    assert etl.read_table(spark, out, etl.SALES_JOB).count() == 4

@@ -7,7 +7,7 @@ import __spark_entry__ as driver
 from tallyhouse.operators import items
 from tallyhouse.plans import etl, reports
 from tallyhouse.schemas import SALES
-from tallyhouse.session import fresh_dir, shared_root, spread, stored
+from tallyhouse.session import fresh_dir, shared_root, stored
 from tallyhouse.sources import landing, tables
 from workload import standins
 
@@ -117,10 +117,29 @@ def test_nothing_is_broadcast_by_hint(spark, name):
     assert "SortMergeJoin" in report
 
 
-def test_spread_leaves_large_scans_alone(spark):
-    wide = spark.range(100).repartition(64)
-    assert spread(wide) is wide
-    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() > 1
+def test_a_hot_order_is_split(spark, tmp_path):
+    """A third of all lines on one order: the join's own exchange is dealt out anew."""
+    for name in ("orders", "customer", "nation", "part"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF_DIR}/{name}.parquet")
+    lines = spark.read.schema(standins.SCHEMAS["lineitem"]).parquet(f"{SF_DIR}/lineitem.parquet")
+    hot = F.when(F.xxhash64("l_partkey", "l_linenumber", "l_orderkey") % 3 == 0, F.lit(4)).otherwise(F.col("l_orderkey"))
+    lines.withColumn("l_orderkey", hot.cast("bigint")).repartition(6).write.parquet(f"{tmp_path}/lineitem.parquet")
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    for key, value in low.items():
+        spark.conf.set(key, value)
+    try:
+        sales = standins.sales(spark, str(tmp_path))
+        assert len(sales.collect()) == lines.count()
+        assert "skew=true" in plan(sales)
+    finally:
+        for key in low:
+            spark.conf.unset(key)
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -237,3 +237,25 @@ def test_role_gate(spark, rows):
     assert outcome == {0: "allowed", 1: "allowed", 2: "Permission Denied", 3: "error", 4: "error"}
     assert rows(access.allowed_requests(requests, roles), "id") == [(0,), (1,)]
     assert rows(access.refused_requests(requests, roles), "id") == [(2,), (3,), (4,)]
+
+
+def test_balances_without_a_sale_id(spark):
+    rows = [(1, "2024-05-01 10:00:00", "5.00"), (1, "2024-05-02 10:00:00", "9.00")]
+    sales = spark.createDataFrame(rows, "member int, at string, balance string").selectExpr(
+        """named_struct('Transaction_Id', cast(NULL AS bigint), 'Transaction_Date', cast(at AS timestamp_ntz),
+           'Member_Id', member, 'Member_Name', 'M', 'Member_Account_Balance', cast(balance AS decimal(12,2)),
+           'Member_Points_Balance', cast(balance AS decimal(12,2)), 'Items', array(named_struct(
+           'Product_Name', 'ale', 'Master_Group_Id', 1, 'Quantity', cast(1 AS decimal(12,2)),
+           'Total_Inc', cast(2 AS decimal(12,2))))) AS Sales_Details"""
+    )
+    row = reports.member_spend(sales, "2024-05-01", "2024-05-31").first()
+    assert (row["account_balance"], row["points_balance"], row["sales"]) == (Decimal("9.00"), Decimal("9.00"), 2)
+
+
+def test_an_impossible_shift_is_set_aside_and_stops_nothing(spark, rows):
+    shifts_ = spark.createDataFrame(
+        [("V", "2024-05-01 10:00:00", "2024-05-01 12:00:00"), ("V", "2024-05-01 10:00:00", "9999-12-31 00:00:00"), ("V", "2024-05-02 10:00:00", "2024-05-01 10:00:00")],
+        "location_name string, a string, b string",
+    ).selectExpr("location_name", "cast(a AS timestamp_ntz) AS shift_start", "cast(b AS timestamp_ntz) AS shift_end", "cast(10 AS decimal(12,2)) AS cost")
+    assert rows(shifts.hourly_cost(shifts_.limit(2)), "hour") == [("2024-05-01 10:00:00",), ("2024-05-01 11:00:00",)]
+    assert shifts.impossible_shifts(shifts_).count() == 2

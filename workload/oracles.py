@@ -62,7 +62,8 @@ TIMESHEETS = f"""timesheets AS (
 EGM = """egm AS (
   SELECT CAST(user_id % 25 AS int) AS Venue_Id, CAST(ts - INTERVAL 24 YEAR AS date) AS Date,
          strftime(ts, '%H:%M:%S') AS Time,
-         CAST(value * 10 AS decimal(14,2)) AS turnover, CAST(value AS decimal(14,2)) AS wins
+         CAST(value * 10 AS decimal(14,2)) AS turnover,
+         CASE WHEN event_id % 79 <> 0 THEN CAST(value AS decimal(14,2)) END AS wins
   FROM events WHERE event_type = 'click')"""
 
 USER_ROLE = """user_role AS (
@@ -136,8 +137,9 @@ VENUE_NAME = "(SELECT min(venue_name) FROM lines WHERE venue_id = 2)"
 
 ROSTER_TEXT = """SELECT location_name, roster_start_time AS Roster_Start_Time,
     CASE WHEN event_id % 97 <> 0 THEN roster_end_time END AS Roster_End_Time,
-    roster_cost::double AS roster_cost, year(roster_start_time) AS year, month(roster_start_time) AS month
-  FROM rosters"""
+    CASE WHEN event_id % 83 <> 0 THEN roster_cost::double END AS roster_cost,
+    year(roster_start_time) AS year, month(roster_start_time) AS month
+  FROM rosters WHERE event_id % 89 <> 0"""
 
 TIMESHEET_TEXT = """SELECT location_name, timesheet_date AS Timesheet_Date,
     timesheet_date + INTERVAL 7 DAY AS Pay_Date, pay_start_time AS Pay_Start_Time,
@@ -232,6 +234,10 @@ ORACLES: dict[str, str] = {
     "egm_extract": f"""WITH {EGM}
         SELECT Venue_Id, strftime(Date, '%Y-%m-%d') AS Date, Time, turnover::double AS Turnover,
                wins::double AS Wins FROM egm""",
+    "egm_unread": """
+        SELECT unnest(['Venue_Id', 'Date', 'Time', 'EGM Turnover', 'EGM Wins']) AS "column",
+               unnest([0, 0, 0, 0, count(*) FILTER (event_id % 79 = 0)]) AS unread
+        FROM events WHERE event_type = 'click'""",
     "incremental_ingest": f"WITH {TIMESHEETS} {TIMESHEET_TEXT}",
     "pull_since_mark": """
         SELECT event_type, sum(event_id)::bigint AS id_sum, max(ts) AS next_mark FROM events
@@ -239,6 +245,28 @@ ORACLES: dict[str, str] = {
     "etl_sales": f"""WITH {RAW_SALES}
         SELECT * REPLACE (account_balance::double AS account_balance, points_balance::double AS points_balance)
         FROM raw_sales""",
+    "etl_sales_inferred": f"""WITH {RAW_SALES}, items AS (
+          SELECT year(landed) AS year, month(landed) AS month, venue_id, l_orderkey * 2 AS id, l_linenumber AS line,
+                 CASE l_linenumber % 3 WHEN 1 THEN CAST(l_extendedprice AS {MONEY})
+                   WHEN 2 THEN CAST(l_extendedprice AS {MONEY}) + CAST(p_retailprice AS {MONEY})
+                   ELSE CASE WHEN l_linenumber <> 6 THEN 0 END END AS total
+          FROM lines WHERE l_orderkey % 3 > 0
+          UNION ALL
+          SELECT year(landed), month(landed), venue_id, l_orderkey * 2 + 1, l_linenumber, CAST(p_retailprice AS {MONEY})
+          FROM lines WHERE l_orderkey % 3 = 2),
+        totals AS (SELECT year, month, venue_id, sum(total) AS total_inc FROM items GROUP BY ALL),
+        counted AS (SELECT year, month, venue_id, count(*) AS sales, sum(points_balance) AS points
+                    FROM raw_sales GROUP BY ALL)
+        SELECT year, month, venue_id, sales, points::double AS points, total_inc::double AS total_inc
+        FROM counted JOIN totals USING (year, month, venue_id)""",
+    "etl_reload_month": f"""WITH {RAW_SALES}
+        SELECT year, month, count(*) * CASE WHEN year = 1998 AND month = 6 THEN 2 ELSE 1 END AS sales
+        FROM raw_sales GROUP BY year, month""",
+    "etl_rosters_audit": f"""WITH {ROSTERS}, read AS (SELECT * FROM rosters WHERE event_id % 89 <> 0)
+        SELECT (SELECT count(*) FROM rosters) AS records, (SELECT count(*) FROM rosters WHERE event_id % 89 = 0) AS malformed,
+               (SELECT count(*) FROM rosters WHERE event_id % 89 = 0) AS set_aside, count(*) AS rows,
+               count(*) FILTER (event_id % 97 = 0) AS unparsed_times,
+               count(*) FILTER (event_id % 83 = 0) AS unparsed_values FROM read""",
     "etl_rosters": f"WITH {ROSTERS} {ROSTER_TEXT}",
     "etl_timesheets": f"WITH {TIMESHEETS} {TIMESHEET_TEXT}",
     "explode_sales": f"""WITH {RAW_SALES}

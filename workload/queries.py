@@ -58,7 +58,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _egm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landing.extract_egm(s.egm(spark, sf_dir))
+    return landing.typed_egm(landing.extract_egm(s.egm(spark, sf_dir)))
 
 
 def _land(df: DataFrame, feed, root: str) -> None:
@@ -208,7 +208,8 @@ def scan_json_inferred(spark, sf_dir):
     """The record schema taken from the files, levels from the directories."""
     root = fresh_dir(spark, "landing-rosters")
     _land(s.raw_rosters(spark, sf_dir), etl.ROSTERS_JOB.feed, root)
-    return landing.read_landing(spark, root, etl.ROSTERS_JOB.feed, infer=True)
+    raw = landing.read_landing(spark, root, etl.ROSTERS_JOB.feed, infer=True)
+    return etl.readable(raw, etl.ROSTERS_JOB.feed)
 
 
 @register
@@ -225,15 +226,18 @@ def sink_parquet_partitioned(spark, sf_dir):
 
 @register
 def egm_extract(spark, sf_dir):
-    """CSV in, five columns kept and one renamed, CSV out, read back."""
+    """CSV in, five columns kept as they are and one renamed, CSV out, read back and typed."""
     landed, out = fresh_dir(spark, "egm-landing"), fresh_dir(spark, "egm")
     tables.write_csv(s.egm(spark, sf_dir), landed)
     tables.write_csv(landing.extract_egm(landing.read_egm_csv(spark, landed)), out)
-    return (
-        spark.read.option("header", True)
-        .schema("Venue_Id int, Date date, Time string, Turnover decimal(14,2), Wins decimal(14,2)")
-        .csv(out)
-    )
+    typed = landing.typed_egm(spark.read.option("header", True).csv(out))
+    return typed.withColumnsRenamed({"EGM Turnover": "Turnover", "EGM Wins": "Wins"})
+
+
+@register
+def egm_unread(spark, sf_dir):
+    """How many readings of each column are no values."""
+    return landing.unread_egm(landing.extract_egm(s.egm(spark, sf_dir)))
 
 
 @register
@@ -286,14 +290,57 @@ def etl_sales(spark, sf_dir):
     )
 
 
+@register
+def etl_sales_inferred(spark, sf_dir):
+    """The nested record schema taken from the files, declared fields typed as declared."""
+    root, out = fresh_dir(spark, "landing-sales"), fresh_dir(spark, "sales")
+    _land(s.raw_sales(spark, sf_dir).withColumn("till", F.lit("T1")), etl.SALES_JOB.feed, root)
+    etl.run_job(spark, etl.SALES_JOB, root, out, infer=True)
+    kept = spark.read.parquet(out).where("till = 'T1'")
+    return kept.groupBy("year", "month", "venue_id").agg(
+        F.count(F.lit(1)).alias("sales"),
+        F.sum("Sales_Details.Member_Points_Balance").alias("points"),
+        F.sum(F.aggregate("Sales_Details.Items", F.lit(0).cast("decimal(22,2)"),
+                          lambda n, x: (n + x["Total_Inc"]).cast("decimal(22,2)"))).alias("total_inc"),
+    )
+
+
+@register
+def etl_reload_month(spark, sf_dir):
+    """All sales loaded, landed a second time, and one month of them loaded again."""
+    root, out = fresh_dir(spark, "landing-sales"), fresh_dir(spark, "sales")
+    raw = s.raw_sales(spark, sf_dir)
+    _land(raw, etl.SALES_JOB.feed, root)
+    etl.run_job(spark, etl.SALES_JOB, root, out)
+    tables.rebalanced(raw, etl.SALES_JOB.feed.partitions).write.mode("append").partitionBy(*etl.SALES_JOB.feed.partitions).json(root)
+    etl.run_job(spark, etl.SALES_JOB, root, out, levels="year = 1998 AND month = 6")
+    return etl.read_table(spark, out, etl.SALES_JOB).groupBy("year", "month").agg(F.count(F.lit(1)).alias("sales"))
+
+
+def _land_rosters(spark, sf_dir, root):
+    lines = s.landed_rosters(spark, sf_dir)
+    tables.rebalanced(lines, ("year", "month")).write.partitionBy("year", "month").text(root)
+
+
 @register
 def etl_rosters(spark, sf_dir):
     root, out = fresh_dir(spark, "landing-rosters"), fresh_dir(spark, "rosters")
-    _land(s.raw_rosters(spark, sf_dir), etl.ROSTERS_JOB.feed, root)
+    _land_rosters(spark, sf_dir, root)
     etl.run_job(spark, etl.ROSTERS_JOB, root, out)
     return etl.read_table(spark, out, etl.ROSTERS_JOB)
 
 
+@register
+def etl_rosters_audit(spark, sf_dir):
+    """What the job counts, and the lines it set aside."""
+    root, out = fresh_dir(spark, "landing-rosters"), fresh_dir(spark, "rosters")
+    _land_rosters(spark, sf_dir, root)
+    audit = etl.run_job(spark, etl.ROSTERS_JOB, root, out)
+    set_aside = spark.read.schema("line string, year int, month int").parquet(etl.malformed_path(out))
+    counts = [F.lit(audit[name]).cast("bigint").alias(name) for name in ("records", "rows", "malformed", "unparsed_times", "unparsed_values")]
+    return set_aside.agg(F.count("line").alias("set_aside")).select("set_aside", *counts)
+
+
 @register
 def etl_timesheets(spark, sf_dir):
     root, out = fresh_dir(spark, "landing-timesheets"), fresh_dir(spark, "timesheets")
@@ -510,7 +557,7 @@ def sql_top_products(spark, sf_dir):
 def sql_lake_tables(spark, sf_dir):
     """Rosters loaded by their job, put into the catalog and asked by full name."""
     root, out = fresh_dir(spark, "landing-rosters"), fresh_dir(spark, "rosters")
-    _land(s.raw_rosters(spark, sf_dir), etl.ROSTERS_JOB.feed, root)
+    _land_rosters(spark, sf_dir, root)
     etl.run_job(spark, etl.ROSTERS_JOB, root, out)
     tables.register_lake(spark, "venue_lake", fresh_dir(spark, "lake"), {"rosters": out})
     return _ask(spark, HOURLY_PLAN, location=VENUE)

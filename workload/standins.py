@@ -157,6 +157,25 @@ def raw_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def landed_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rosters as feeds really come: one cost in 83 has a decimal comma, one line in 89 is cut off.
+
+    ``line`` is what lies in the landing file.
+    """
+    rows = rosters(spark, sf_dir).selectExpr("event_id", "year(roster_start_time) AS year", "month(roster_start_time) AS month")
+    raw = rosters(spark, sf_dir).selectExpr(
+        "event_id AS id",
+        f"""to_json(named_struct('location_name', location_name,
+            'Roster_Start_Time', date_format(roster_start_time, "{WITHOUT_MILLIS}"),
+            'Roster_End_Time', CASE WHEN event_id % 97 = 0 THEN ''
+                ELSE date_format(roster_end_time, "{WITHOUT_MILLIS}") END,
+            'roster_cost', CASE WHEN event_id % 83 = 0 THEN '12,50' ELSE cast(roster_cost AS string) END)) AS whole""",
+    )
+    return rows.join(raw, F.col("event_id") == F.col("id")).selectExpr(
+        "CASE WHEN event_id % 89 = 0 THEN left(whole, 40) ELSE whole END AS line", "year", "month"
+    )
+
+
 def raw_timesheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paid and clocked times come with and without milliseconds."""
     either = f"""CASE WHEN event_id % 2 = 0 THEN date_format({{0}}, "{WITH_MILLIS}")
@@ -179,17 +198,23 @@ def raw_timesheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def egm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Machine readings as in the CSV feed, with two columns nobody keeps."""
+    """Machine readings as text in the CSV feed, with two columns nobody keeps.
+
+    One date in three has the day first, one amount in four a comma between
+    thousands, and one reading in 79 has a mark instead of its wins.
+    """
     return (
         table(spark, sf_dir, "events")
         .where("event_type = 'click'")
         .selectExpr(
             "event_id AS Serial",
             "cast(user_id % 25 AS int) AS Venue",
-            "cast(ts - INTERVAL '24' YEAR AS date) AS Date",
+            """date_format(ts - INTERVAL '24' YEAR,
+                CASE WHEN event_id % 3 = 0 THEN 'dd/MM/yyyy' ELSE 'yyyy-MM-dd' END) AS Date""",
             "date_format(ts, 'HH:mm:ss') AS Time",
-            "cast(value * 10 AS decimal(14,2)) AS `EGM Turnover`",
-            "cast(value AS decimal(14,2)) AS `EGM Wins`",
+            """CASE WHEN event_id % 4 = 0 THEN format_number(cast(value * 10 AS decimal(14,2)), 2)
+                ELSE cast(cast(value * 10 AS decimal(14,2)) AS string) END AS `EGM Turnover`""",
+            "CASE WHEN event_id % 79 = 0 THEN 'n/a' ELSE cast(cast(value AS decimal(14,2)) AS string) END AS `EGM Wins`",
             "event_type AS Kind",
         )
     )
