@@ -1 +1 @@
-"""Hospitality venue analytics on Spark DataFrames."""
+"""Venue operations analytics on Spark DataFrames."""

@@ -14,7 +14,7 @@ _SOLD = """
       AND Sales_Details.Transaction_Date < cast(:stop AS timestamp_ntz)"""
 
 
-def _per_hour(table: str, begun: str, ended: str, cost: str, name: str) -> str:
+def per_hour(table: str, begun: str, ended: str, cost: str, name: str) -> str:
     """Cost of the shifts touching the day, spread over the hours they count."""
     return f"""
     SELECT date_format(slot, 'yyyy-MM-dd HH:00:00') AS hour, round(sum(cost / worked), 6) AS {name}
@@ -45,8 +45,8 @@ WORKED_SQL = {
     "hourly_roster_vs_timesheet": f"""
         SELECT hour, coalesce(timesheet_wages, 0) AS timesheet_wages,
                coalesce(roster_wages, 0) AS roster_wages
-        FROM ({_per_hour("rosters", "roster_start_time", "roster_end_time", "roster_cost", "roster_wages")})
-        FULL JOIN ({_per_hour(
+        FROM ({per_hour("rosters", "roster_start_time", "roster_end_time", "roster_cost", "roster_wages")})
+        FULL JOIN ({per_hour(
             "timesheets",
             "coalesce(clocked_start_time, pay_start_time)",
             "coalesce(clocked_end_time, pay_end_time)",

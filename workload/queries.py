@@ -17,7 +17,7 @@ from tallyhouse.functions import calendar, hours, text, timeparse
 from tallyhouse.operators import access, context, items, nearest, shifts, snapshots
 from tallyhouse.plans import dashboard, etl, grain, reports
 from tallyhouse.plans.sql_surface import run_sql
-from tallyhouse.plans.worked_sql import WORKED_SQL
+from tallyhouse.plans.worked_sql import WORKED_SQL, per_hour
 from tallyhouse.session import configure, fresh_dir
 from tallyhouse.sources import landing, tables
 from tallyhouse.streaming import ingest
@@ -493,18 +493,7 @@ def dashboard_daily(spark, sf_dir):
 
 # --- SQL surface -------------------------------------------------------------
 
-HOURLY_PLAN = """
-    SELECT date_format(slot, 'yyyy-MM-dd HH:00:00') AS hour, round(sum(cost / worked), 6) AS roster_wages
-    FROM (
-      SELECT roster_cost AS cost,
-             greatest(1, timestampdiff(HOUR, roster_start_time, roster_end_time)) AS worked,
-             explode(sequence(
-               roster_start_time,
-               greatest(roster_start_time, roster_end_time - INTERVAL 1 HOUR),
-               INTERVAL 1 HOUR)) AS slot
-      FROM venue_lake.rosters WHERE location_name = :location AND roster_end_time IS NOT NULL)
-    GROUP BY ALL
-"""
+HOURLY_PLAN = per_hour("venue_lake.rosters", "roster_start_time", "roster_end_time", "roster_cost", "roster_wages")
 
 
 def _ask(spark: SparkSession, sql: str, **parameters: object) -> DataFrame:
@@ -560,7 +549,7 @@ def sql_lake_tables(spark, sf_dir):
     _land_rosters(spark, sf_dir, root)
     etl.run_job(spark, etl.ROSTERS_JOB, root, out)
     tables.register_lake(spark, "venue_lake", fresh_dir(spark, "lake"), {"rosters": out})
-    return _ask(spark, HOURLY_PLAN, location=VENUE)
+    return _ask(spark, HOURLY_PLAN, location=VENUE, start="1900-01-01", stop="2100-01-01")
 
 
 # --- text, vectors, access ---------------------------------------------------
