@@ -47,20 +47,22 @@ def codes(text: str) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _distinct(with_part: bool, counted: bool):
+def _distinct(with_part: bool, counted: bool, packed: bool = False):
     """Distinct n-grams by language of all texts of a partition."""
 
     def distinct(batches):
+        unpack = zstandard.ZstdDecompressor()
         held: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
 
         def add(lang, found):
             if len(found):
                 held[lang] = _merged([held[lang], *found]) if lang in held else _merged(found)
 
-        for b in sliced(batches):
+        column = "packed" if packed else "text"
+        for b in sliced(batches, column, (1 << 20) if packed else (4 << 20)):
             new: dict[str | None, list] = {}
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                new.setdefault(lang, []).append(codes(text))
+            for lang, text in zip(b.column("lang").to_pylist(), b.column(column).to_pylist(), strict=True):
+                new.setdefault(lang, []).append(codes(unpack.decompress(text).decode() if packed else text))
             for lang, arrays in new.items():
                 add(lang, [np.unique(np.concatenate(arrays), return_counts=True)])
         part = TaskContext.get().partitionId()
@@ -203,14 +205,16 @@ def quality(
     marks = picked(labels, id=id_col, good=label_col).select(F.col("id").cast("long").alias("id"), "good")
     trusted = marks.groupBy("id").agg(F.min("good").alias("good")).filter("id IS NOT NULL AND good > 0").select("id")
     fold = F.crc32(F.col("id").cast("string")) % 5
-    learned = docs.filter(fold.isin(*LEARN)).join(trusted, "id", "left_semi").select("lang", "text")
-    counted = learned.mapInArrow(_distinct(False, True), "lang string, gram long, n long")
+    rows = "part long, id long, lang string, packed binary"
+    candidates = docs.filter(fold.isin(*LEARN)).mapInArrow(_with_part, rows)  # packed before the join may shuffle them
+    learned = candidates.join(trusted, "id", "left_semi").select("lang", "packed")
+    counted = learned.mapInArrow(_distinct(False, True, packed=True), "lang string, gram long, n long")
     counts = stored(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     # The same columns as below, so that both passes see the same partitions.
     asked = stored(docs.mapInArrow(_distinct(True, False), "part long, lang string, gram long"), "asked")
     known = probabilities(counts, asked.select("lang", "gram").distinct())
     answers = _left(asked, known, "lang", "gram")
-    packed = docs.mapInArrow(_with_part, "part long, id long, lang string, packed binary")
+    packed = docs.mapInArrow(_with_part, rows)
     scores = stored(
         packed.groupBy("part")
         .cogroup(answers.groupBy("part"))
