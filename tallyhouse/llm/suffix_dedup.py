@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import partitions, sliced
-from tallyhouse.session import fresh_dir, stored
+from tallyhouse.session import discard, fresh_dir, stored
 
 GRAM = 0.32  # of a window
 CELLS = 8  # of a bundle at most
@@ -179,7 +179,8 @@ def _passed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of bundles with their digits: spans settled as repeated, and one of each class that needs a deeper digit."""
     # Stored before it is joined back: a join on top of a sum cannot be split at a crowded digit.
     alike = stored(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "alike")
-    found = stored(found.join(alike, "core", "left_semi"), "alike")
+    whole, found = found, stored(found.join(alike, "core", "left_semi"), "alike")
+    discard(whole)  # most bundles occur once; what goes on is stored anew
     place = [F.first(c).alias(c) for c in ("row", "low", "high", "anchor")]  # all of the same bundle
     classes = stored(found.groupBy("core", "cover").agg(F.count(F.lit(1)).alias("n"), *place), "classes")
     settled = found.join(classes.filter("n > 1").select("cover"), "cover", "left_semi").select("row", "low", "high")
