@@ -40,8 +40,8 @@ def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that still occur elsewhere."""
-    cut = suffix_dedup(docs, as_text=True, carry=("lang", "source"))
+    """All documents, without the passages of over 50 words, or of 400 bytes, that still occur elsewhere."""
+    cut = suffix_dedup(docs, words=51, as_text=True, carry=("lang", "source"))
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 

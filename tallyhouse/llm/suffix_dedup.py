@@ -17,6 +17,10 @@ its windows are repeated, and one of each such class stands for it further on.
 Digits are 128-bit fingerprints, so a pass is a count by digit that starts in the
 tasks, and neither a crowded gram nor a group of copies is ever brought together.
 
+A window is a number of bytes, or of words with what stands between them, from the
+start of its first to the end of its last word. Words are runs of anything but
+ASCII white space. Positions of bundles, cells and windows count in that unit.
+
 Bytes are those of the UTF-8 text; a null text is empty. Windows never cross
 texts, overlaps count, a text shorter than a window keeps all, and everything is
 judged on the input. Repeated rows repeat each other's windows and a null id is a
@@ -42,6 +46,8 @@ CHUNK = 1 << 20  # bytes whose grams are hashed at a time
 _PLACE = 24  # bits of a sort key that hold the place, so that the first of equal grams is chosen
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUE = np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 BUNDLE = "row long, low int, high int, anchor int, core binary, cover binary"
 
 
@@ -63,16 +69,35 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end."""
+    change = np.flatnonzero(np.diff(_SPACE[np.frombuffer(data, np.uint8)], prepend=True, append=True))
+    return change[::2], change[1::2]
+
+
+def _word_values(data: bytes, starts: np.ndarray, ends: np.ndarray, powers) -> np.ndarray:
+    ahead, back = powers
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[np.frombuffer(data, np.uint8)] * ahead[: len(data)], out=sums[1:])
+    values = (sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)
+    values ^= values >> np.uint64(32)
+    return values * np.uint64(0xD6E8FEB86659FD93)
+
+
 def bundles(data: bytes, begins: np.ndarray, window: int, powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(low, high, anchor) of the bundles in some texts one after another: windows low..high share the anchor."""
+    return _bundles(_VALUE[np.frombuffer(data, np.uint8)], begins, window, powers)
+
+
+def _bundles(values: np.ndarray, begins: np.ndarray, window: int, powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bundles of units, bytes or words, with these values."""
     gram = max(1, int(window * GRAM))
-    x = np.frombuffer(data, np.uint8)
-    if len(x) < window:
+    if len(values) < window:
         return (np.zeros(0, np.int64),) * 3
     ahead, back = powers
-    sums = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(_VALUE[x] * ahead[: len(x)], out=sums[1:])
-    n = len(x) - gram + 1
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * ahead[: len(values)], out=sums[1:])
+    n = len(values) - gram + 1
     hashed = (sums[gram:] - sums[:n]) * back[:n]
     hashed ^= hashed >> np.uint64(32)
     hashed *= np.uint64(0xD6E8FEB86659FD93)
@@ -104,32 +129,66 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def _first_digit(window: int):
+def _reader(text: bytes, words: bool):
+    """The bytes from one unit up to another."""
+    if not words:
+        return lambda a, z: text[a:z]
+    starts, ends = (x.tolist() for x in word_places(text))
+    return lambda a, z: text[starts[a] : ends[z - 1]]
+
+
+def _pieces(text: bytes, window: int, words: bool, size: int):
+    """A long text in overlapping pieces, with the unit at which each begins."""
+    if not words:
+        for base in range(0, len(text) - window + 1, size):
+            yield base, text[base : base + size + window - 1]
+        return
+    starts, ends = word_places(text)
+    step = size // 8
+    for base in range(0, len(starts) - window + 1, step):
+        yield base, text[starts[base] : ends[min(base + step + window - 1, len(ends)) - 1]]
+
+
+def _first_digit(window: int, words: bool):
     def digits(batches):
         powers = _powers(CHUNK + 2 * window)
         gram = max(1, int(window * GRAM))
 
         def of(held):
-            data = b"".join(x for _, _, x in held)
-            sizes = np.array([len(x) for _, _, x in held])
-            ends = np.cumsum(sizes)
-            begins = ends - sizes
-            low, high, anchor = bundles(data, begins[1:], window, powers)
+            nonlocal powers
+            data = (b" " if words else b"").join(x for _, _, x in held)
+            ends = np.cumsum([len(x) + words for _, _, x in held])
+            begins = ends - np.array([len(x) + words for _, _, x in held])
+            if words:
+                if len(data) > len(powers[0]):
+                    powers = _powers(len(data))
+                first, last = word_places(data)
+                begins, ends = np.searchsorted(first, begins), np.searchsorted(first, ends)
+                low, high, anchor = _bundles(_word_values(data, first, last, powers), begins[1:], window, powers)
+                first, last = first.tolist(), last.tolist()
+
+                def between(a, z):
+                    return data[first[a] : last[z - 1]]
+            else:
+                low, high, anchor = bundles(data, begins[1:], window, powers)
+
+                def between(a, z):
+                    return data[a:z]
+
             out = []
             where = np.searchsorted(ends, anchor, side="right").tolist()
             for k, a, b, p in zip(where, low.tolist(), high.tolist(), anchor.tolist(), strict=True):
                 row, base, _ = held[k]
                 shift = base - int(begins[k])
-                core, cover = _digest(data[p : p + gram]), _digest(_offsets(p - a, p - b), data[a : b + window])
+                core, cover = _digest(between(p, p + gram)), _digest(_offsets(p - a, p - b), between(a, b + window))
                 out.append((row, a + shift, b + shift, p + shift, core, cover))
             return _batch(out)
 
         held, size = [], 0
         for b in sliced(batches):
             for row, text in zip(b.column("row").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                for base in range(0, len(text) - window + 1, CHUNK):  # a long text is read in overlapping pieces
-                    piece = text[base : base + CHUNK + window - 1]
-                    if size + len(piece) > CHUNK + 2 * window:
+                for base, piece in _pieces(text, window, words, CHUNK):
+                    if held and size + len(piece) > CHUNK + 2 * window:
                         yield of(held)
                         held, size = [], 0
                     held.append((row, base, piece))
@@ -140,7 +199,7 @@ def _first_digit(window: int):
     return digits
 
 
-def _cells(window: int):
+def _cells(window: int, words: bool):
     """The cells of bundles, by the bytes common to a whole cell of offsets."""
     offsets = window - max(1, int(window * GRAM)) + 1
     width = -(-offsets // CELLS)
@@ -149,26 +208,28 @@ def _cells(window: int):
         for b in sliced(batches, size=CHUNK):
             out = []
             for row, text, parts in zip(b.column("row").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("parts").to_pylist(), strict=True):
+                between = _reader(text, words)
                 for part in parts:
                     low, high, p = part["low"], part["high"], part["anchor"]
                     for cell in range((p - high) // width, (p - low) // width + 1):
                         near, far = cell * width, cell * width + width - 1  # distances from window to anchor
                         a, z = max(low, p - far), min(high, p - near)
-                        core = _digest(_offsets(cell), text[p - near : p - far + window])
-                        out.append((row, a, z, p, core, _digest(_offsets(p - a, p - z), text[a : z + window])))
+                        core = _digest(_offsets(cell), between(p - near, p - far + window))
+                        out.append((row, a, z, p, core, _digest(_offsets(p - a, p - z), between(a, z + window))))
             yield _batch(out)
 
     return digits
 
 
-def _windows(window: int):
+def _windows(window: int, words: bool):
     def digits(batches):
         for b in sliced(batches, size=CHUNK):
             out = []
             for row, text, parts in zip(b.column("row").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("parts").to_pylist(), strict=True):
+                between = _reader(text, words)
                 for part in parts:
                     for s in range(part["low"], part["high"] + 1):
-                        whole = _digest(text[s : s + window])
+                        whole = _digest(between(s, s + window))
                         out.append((row, s, s, part["anchor"], whole, whole))
             yield _batch(out)
 
@@ -188,17 +249,21 @@ def _passed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settled, classes.join(split, "core", "left_semi").select("row", "low", "high", "anchor")
 
 
-def _spans(window: int, kept: pa.DataType):
+def _spans(kept: pa.DataType):
     def cut(batches):
         for b in sliced(batches):
             out: dict[str, list] = {"n_bytes": [], "n_removed": [], "spans": [], "kept": []}
             for text, parts in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("parts").to_pylist(), strict=True):
                 spans: list[list[int]] = []
-                for low, high in sorted((p["low"], p["high"]) for p in parts or ()):
+                places = [(p["low"], p["stop"]) for p in parts or () if not p["words"]]
+                if len(places) < len(parts or ()):
+                    starts, ends = word_places(text)
+                    places += [(int(starts[p["low"]]), int(ends[p["stop"] - 1])) for p in parts if p["words"]]
+                for low, stop in sorted(places):
                     if spans and low <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], high + window)
+                        spans[-1][1] = max(spans[-1][1], stop)
                     else:
-                        spans.append([low, high + window])
+                        spans.append([low, stop])
                 edges = [0, *(e for s in spans for e in s), len(text)]
                 out["n_bytes"].append(len(text))
                 out["n_removed"].append(sum(e - s for s, e in spans))
@@ -221,9 +286,13 @@ def suffix_dedup(
     text_col: str = "text",
     as_text: bool = False,
     carry: tuple[str, ...] = (),
+    words: int | None = None,
 ) -> DataFrame:
     """``id_col``, n_bytes, n_removed, spans (start and stop of the removed runs), kept (the other bytes) and ``carry`` for every row.
 
+    Removed is every byte of a repeated run of ``window`` bytes and, if ``words`` is
+    given, of a repeated run of so many words, however short these are.
+
     With ``as_text`` the kept bytes are a text again, without the characters that
     a span has cut through. Texts are shuffled once, into a table bucketed by row;
     what each pass finds goes to them by row, so texts do not move again. Passes
@@ -248,19 +317,25 @@ def suffix_dedup(
         return docs.join(own, "row", how)
 
     place = ("low", "high", "anchor")
-    found = stored(docs.select("row", "text").mapInArrow(_first_digit(window), BUNDLE), "bundles")
-    settled, open_ = _passed(found)
-    spans = settled
-    for digit in (_cells(window), _windows(window)):
-        found = stored(at(open_, "inner", *place).select("row", "text", "parts").mapInArrow(digit, BUNDLE), "digits")
+    spans = None
+    for size, in_words in ((window, False), (words, True)):
+        if size is None:
+            continue
+        found = stored(docs.select("row", "text").mapInArrow(_first_digit(size, in_words), BUNDLE), "bundles")
         settled, open_ = _passed(found)
-        spans = spans.union(settled)
-    marked = at(spans, "left", "low", "high").select("id", "text", "parts", "carried")
+        own = settled
+        for digit in (_cells(size, in_words), _windows(size, in_words)):
+            found = stored(at(open_, "inner", *place).select("row", "text", "parts").mapInArrow(digit, BUNDLE), "digits")
+            settled, open_ = _passed(found)
+            own = own.union(settled)
+        own = own.select("row", "low", (F.col("high") + size).alias("stop"), F.lit(in_words).alias("words"))
+        spans = own if spans is None else spans.union(own)
+    marked = at(spans, "left", "low", "stop", "words").select("id", "text", "parts", "carried")
     kind, arrow = ("string", pa.string()) if as_text else ("binary", pa.binary())
     schema = (
         f"id long, carried {marked.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, "
         f"spans array<struct<start:long,stop:long>>, kept {kind}"
     )
-    result = marked.mapInArrow(_spans(window, arrow), schema)
+    result = marked.mapInArrow(_spans(arrow), schema)
     columns = [F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept"]
     return result.select(*columns, *[F.col("carried").getField(c).alias(c) for c in carry])

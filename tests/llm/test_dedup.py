@@ -105,6 +105,38 @@ def test_suffix_in_pieces_of_long_texts(documents, monkeypatch):
             assert all((s + at, int(p) + at) in windows for s in range(a, b + 1))
 
 
+def removed_words(texts, words):
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    windows = [[(w[i][0], w[i + words - 1][1]) for i in range(len(w) - words + 1)] for w in places]
+    seen = Counter(t[a:z] for t, own in zip(texts, windows, strict=True) for a, z in own)
+    for t, own in zip(texts, windows, strict=True):
+        gone = np.zeros(len(t), bool)
+        for a, z in own:
+            if seen[t[a:z]] > 1:
+                gone[a:z] = True
+        yield gone
+
+
+def test_suffix_by_words(documents, awkward, monkeypatch):
+    """Words and bytes together, long texts in pieces."""
+    from tallyhouse.llm import suffix_dedup as module
+
+    monkeypatch.setattr(module, "CHUNK", 1 << 12)
+    rng = random.Random(8)
+    passages = [rng.choice(" \n").join(rng.choices(["a", "bé", "cat", "\u00a0d"], k=rng.randint(3, 25))) for _ in range(12)]
+    rows = [(i, t and t[:9000]) for i, t in awkward]
+    for i in range(120):
+        parts = [rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choices("abcd é\t", k=rng.randint(1, 60))) for _ in range(6)]
+        rows.append((100 + i, " ".join(parts)))
+    rows += [(300 + i, rows[20][1]) for i in range(30)]
+    texts = [(t or "").encode() for _, t in rows]
+    expected = []
+    for (i, _), t, gone, also in zip(rows, texts, removed(texts, 60), removed_words(texts, 7), strict=True):
+        expected.append((i, int((gone | also).sum()), np.frombuffer(t, np.uint8)[~(gone | also)].tobytes()))
+    found = [(r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in suffix_dedup(documents(rows), window=60, words=7).collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
 def test_suffix_text_and_empty_table(documents):
     text = "é" * 30 + "tail"
     found = suffix_dedup(documents([(1, text), (2, "é" * 30)], lang="fr"), window=41, as_text=True, carry=("lang",))

@@ -56,3 +56,13 @@ def test_empty_corpus(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF_DIR), name)
     assert docs.count() == 0
+
+
+def test_passage_of_short_words(spark):
+    """A passage of 51 words goes although it has far less than 400 bytes; one of 50 stays."""
+    long, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 51), ("b", 50)))
+    rows = [(k, f"text own{k} {long} own{k} {short} own{k} end", "en", "web", 0) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(long) < 400
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_repeats(spark, docs, SF_DIR).collect()}
+    assert found == {k: f"text own{k}  own{k} {short} own{k} end" for k in range(3)}
