@@ -2,15 +2,15 @@
 
 A text is the set of its distinct word shingles. Each set has a pool of minhash
 values, and each tree of the forest orders the sets by the pool read from another
-place on. Sets with a common prefix in some order are neighbours; the prefix
-asked for is as short as the threshold allows, and longer wherever it is shared
-by a crowd. Neighbours chain up to regions, and inside a region every two sets
-are held against each other in full. So minhash only decides who meets: every
-link is confirmed on whole sets, and neighbours met by chance do no harm.
+place on. Sets with a common prefix in some order are neighbours, however many they
+are; the prefix asked for is as short as the threshold allows. Neighbours chain
+up to regions, and inside a region every two sets are held against each other in
+full. So minhash only decides who meets: every link is confirmed on whole sets,
+and neighbours met by chance do no harm.
 
 At the threshold a pair shares a prefix in at least one order with a probability
-of all but ``LOST``; more similar pairs miss less, and a pair separated in a
-crowd still meets in its region through the rest of it.
+of all but ``LOST``; more similar pairs miss less. Nothing else keeps a pair
+apart. A crowd makes a region as large as itself, which is compared in tiles.
 
 Words are runs of anything but ASCII white space, A-Z in lower case. A text with
 fewer words than a shingle has is one shingle; one without words, or null, has none
@@ -36,8 +36,7 @@ from tallyhouse.session import stored
 
 TREES = 40
 LOST = 1e-5  # of the pairs at the threshold, at most
-CROWD = 64  # sets with a common prefix from which on a longer one is asked for
-DEEPER = (3, 7)  # how much longer
+CROWD = 64  # no longer read: a crowd is linked as any other prefix; a test still sets it
 BLOCK = 256  # sets that are compared in one task; a larger region is cut into tiles of half as many
 CHUNK = 1 << 20  # bytes of text that are hashed at a time
 
@@ -132,21 +131,17 @@ def signatures(sets: list[np.ndarray], pool: int) -> np.ndarray:
     return out
 
 
-def prefixes(signature: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each tree, a key of the first ``depth`` values of its order, and one of both deeper prefixes, 32 bits each."""
+def prefixes(signature: np.ndarray, depth: int) -> np.ndarray:
+    """For each tree, a key of the first ``depth`` values of its order."""
     pool = signature.shape[1]
     begin = np.arange(TREES) * (pool // TREES)
     key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), (len(signature), TREES)).copy()
-    keys = {}
-    for i in range(depth + DEEPER[-1]):
+    for i in range(depth):
         key = _mixed(key * np.uint64(0x100000001B3) + signature[:, (begin + i) % pool])
-        keys[i + 1] = key
-    mask = np.uint64(0xFFFFFFFF)
-    deeper = (keys[depth + DEEPER[0]] & mask) << np.uint64(32) | (keys[depth + DEEPER[1]] & mask)
-    return keys[depth].view(np.int64), deeper.view(np.int64)
+    return key.view(np.int64)
 
 
-SCANNED = "id long, text_hash long, set_hash binary, n_shingles int, near array<long>, far array<long>"
+SCANNED = "id long, text_hash long, set_hash binary, n_shingles int, near array<long>"
 
 
 def _scan(width: int, depth: int):
@@ -155,16 +150,14 @@ def _scan(width: int, depth: int):
         for b in sliced(batches):
             sets: list[np.ndarray] = []
             near: list = []
-            far: list = []
             for chunk in _chunks(b.column("text").cast(pa.binary()).to_pylist()):
                 own = shingler.sets(chunk)
                 some = [i for i, x in enumerate(own) if len(x)]
                 keys = prefixes(signatures([own[i] for i in some], TREES * depth), depth)
-                for out, k in zip((near, far), keys, strict=True):
-                    rows: list = [None] * len(own)
-                    for i, row in zip(some, k, strict=True):
-                        rows[i] = row
-                    out.extend(rows)
+                rows: list = [None] * len(own)
+                for i, row in zip(some, keys, strict=True):
+                    rows[i] = row
+                near.extend(rows)
                 sets.extend(xxhash.xxh3_128_digest(x) + len(x).to_bytes(4, "little") if len(x) else b"" for x in own)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -173,7 +166,6 @@ def _scan(width: int, depth: int):
                     "set_hash": pa.array([x[:16] for x in sets], pa.binary()),
                     "n_shingles": pa.array([int.from_bytes(x[16:], "little") for x in sets], pa.int32()),
                     "near": pa.array(near, pa.list_(pa.int64())),
-                    "far": pa.array(far, pa.list_(pa.int64())),
                 }
             )
 
@@ -232,26 +224,10 @@ def _comparing(percent: int):
 
 def _regions(classes: DataFrame) -> DataFrame:
     """``class`` and ``region`` of every class that has a neighbour in some tree."""
-    tree = F.explode(F.arrays_zip("near", "far"))
-    forest = classes.select("class", tree.alias("tree")).select("class", F.col("tree.near").alias("key"), F.col("tree.far").alias("far"))
-
-    def crowded(rows: DataFrame, *keep: str) -> DataFrame:
-        shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("first")).filter("n > 1")
-        shared = stored(shared, "prefixes")  # a join on top of a sum cannot be split at a crowded prefix
-        return rows.join(shared, "key").select("class", "n", "first", "key", *keep)
-
-    at_first = stored(crowded(forest, "far"), "neighbours")
-    links = at_first.filter(F.col("n") <= CROWD).select("class", "first")
-    longer = at_first.filter(F.col("n") > CROWD).select("class", "key", "far")
-    for shift in (32, 0):
-        prefix = F.shiftrightunsigned("far", shift).bitwiseAND(0xFFFFFFFF)
-        rows = crowded(longer.withColumn("key", F.xxhash64("key", prefix)), "far")
-        if shift:
-            rows = stored(rows, "neighbours")
-            links = links.union(rows.filter(F.col("n") <= CROWD).select("class", "first"))
-            longer = rows.filter(F.col("n") > CROWD).select("class", "key", "far")
-        else:
-            links = links.union(rows.select("class", "first"))
+    forest = classes.select("class", F.explode("near").alias("key"))
+    shared = forest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("first")).filter("n > 1")
+    shared = stored(shared.select("key", "first"), "prefixes")  # a join on top of a sum cannot be split at a crowded prefix
+    links = forest.join(shared, "key").select("class", "first")
     return components(links.toDF("a", "b")).toDF("class", "region")
 
 
@@ -268,7 +244,7 @@ def minhash_dedup(
     depth = first_depth(percent / 100)
     docs = texts(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     scanned = stored(docs.mapInArrow(_scan(words, depth), SCANNED), "scanned")
-    place = [F.first(c).alias(c) for c in ("text_hash", "near", "far")]  # all of the same row
+    place = [F.first(c).alias(c) for c in ("text_hash", "near")]  # all of the same row
     classes = stored(
         scanned.filter("n_shingles > 0")
         .groupBy("set_hash")
@@ -276,7 +252,7 @@ def minhash_dedup(
         .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )
-    regions = _regions(classes.select("class", "near", "far"))
+    regions = _regions(classes.select("class", "near"))
     tiles = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / (BLOCK // 2))).cast("long")
     sizes = stored(regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")).select("region", tiles.alias("tiles")), "regions")
     members = regions.join(sizes, "region").join(classes.select("class", "set_hash", "text_hash"), "class")

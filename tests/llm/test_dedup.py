@@ -188,6 +188,20 @@ def test_near_in_a_crowd(documents, monkeypatch):
     assert by_id(minhash.minhash_dedup(documents(rows), 3, 85)) == sorted(near(rows, 3, 85), key=repr)
 
 
+def test_near_to_a_crowd_only(documents):
+    """Pages of a template that differ in a field, and one that lacks a part of it: near all the others, but only by what all share."""
+    rows = []
+    for template, lacking in ((11, 70), (17, 270)):  # two that a longer prefix in a crowd would lose
+        base = [f"t{template}w{i}" for i in range(400)]
+        pages = [base[:200] + [f"f{i}x{j}" for j in range(4)] + base[204:] for i in range(300)]
+        short = base[:200] + [f"gx{j}" for j in range(4)] + base[204:]
+        pages.append(short[:lacking] + short[lacking + 57 :])
+        rows += [(1000 * template + i, " ".join(words)) for i, words in enumerate(pages)]
+    expected = sorted(near(rows, 5, 80), key=repr)
+    assert {c for _, _, c, _ in expected} == {11_000, 17_000}
+    assert by_id(minhash.minhash_dedup(documents(rows), 5, 80)) == expected
+
+
 def test_prefix_length_follows_the_threshold():
     assert minhash.first_depth(0.85) > minhash.first_depth(0.8) > minhash.first_depth(0.5) >= 1
     assert (1 - 0.85 ** minhash.first_depth(0.85)) ** minhash.TREES <= minhash.LOST
