@@ -140,3 +140,21 @@ def test_a_json_file_is_one_document(spark, tmp_path):
     assert [r["value"] for r in docs.collect()] == [body]
     flat = context.flatten_documents(docs, "value").first()["value"]
     assert flat == '{{"tables": [{{"name": "sales"}}]}}'
+
+
+def test_search_saves_whole_versions(spark, monkeypatch):
+    """The saves that must lose hold every vector, at another scale."""
+    from workload.queries import QUERIES
+
+    saved, save = [], snapshots.save_vectors
+
+    def seen(vectors, *args):
+        saved.append({r["vec_id"]: r["embedding"] for r in vectors.collect()})
+        save(vectors, *args)
+
+    monkeypatch.setattr(snapshots, "save_vectors", seen)
+    QUERIES["embedding_search"](spark, "/root/testdata/sf0.001").collect()
+    older, replaced, last = saved
+    assert len(last) == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert older.keys() == replaced.keys() == last.keys()
+    assert all(older[i] != v and replaced[i] != v for i, v in last.items())

@@ -604,8 +604,9 @@ def embedding_search(spark, sf_dir):
     """Vectors saved twice under one version and once under an older one, the latest loaded and searched."""
     root = fresh_dir(spark, "vectors")
     vectors = s.table(spark, sf_dir, "embeddings")
-    snapshots.save_vectors(vectors.limit(1), root, "text:v1", "2024-05-13 20:45:46")
-    for saved in (vectors.limit(1), vectors):
+    older, replaced = (vectors.withColumn("embedding", F.transform("embedding", lambda x: (x * n).cast("float"))) for n in (2, 3))
+    snapshots.save_vectors(older, root, "text:v1", "2024-05-13 20:45:46")
+    for saved in (replaced, vectors):
         snapshots.save_vectors(saved, root, "text:v1", "2024-06-02 08:00:00")
     loaded = snapshots.load_vectors(spark, root, "text:v1")
     found = nearest.nearest(loaded.select("vec_id", "embedding"), _asked(loaded), 3)
