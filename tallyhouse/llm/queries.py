@@ -30,12 +30,15 @@ def register(query: Query) -> Query:
 
 @register
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # What stays, also as a text: U+FFFD stands for characters that a span has cut through.
+    kept = F.make_valid_utf8(F.col("kept").cast("string"))
     return suffix_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id",
         "n_bytes",
         "n_removed",
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        kept.alias("text"),
     )
 
 

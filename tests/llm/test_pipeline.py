@@ -7,7 +7,7 @@ import numpy as np
 import corpus_pipeline
 from tallyhouse.llm.word_tokens import encoder, vocabulary_path
 from tallyhouse.session import stored
-from tests.llm.test_dedup import lowered, near, removed
+from tests.llm.test_dedup import lowered, near, removed, removed_words
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -38,9 +38,9 @@ def test_stages(spark):
     texts = [r["text"].encode() for r in kept["minhash_dedup"]]
     cut = {r["doc_id"]: r for r in kept["suffix_dedup"]}
     assert len(cut) == len(texts)
-    for r, t, gone in zip(kept["minhash_dedup"], texts, removed(texts, 400), strict=True):
+    for r, t, gone, also in zip(kept["minhash_dedup"], texts, removed(texts, 400), removed_words(texts, 51), strict=True):
         own = cut[r["doc_id"]]
-        assert own["text"] == np.frombuffer(t, np.uint8)[~gone].tobytes().decode(errors="ignore")
+        assert own["text"] == np.frombuffer(t, np.uint8)[~(gone | also)].tobytes().decode(errors="ignore")
         assert (own["lang"], own["n_chars"]) == (r["lang"], len(own["text"]))
 
     ids = encoder(vocabulary_path()).library
