@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from tallyhouse.llm.embedding_dedup import embedding_dedup
 from tallyhouse.llm.exact_dedup import exact_dedup
 from tallyhouse.llm.minhash_dedup import minhash_dedup
 from tallyhouse.llm.packing import pack
+from tallyhouse.llm.periodic_runs import periodic_runs
 from tallyhouse.llm.quality import quality
 from tallyhouse.llm.suffix_dedup import suffix_dedup
 from tallyhouse.llm.token_shards import training_order
@@ -97,3 +99,33 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every slot of the training order: where it is, what it was made of, and the checksum of what is read there."""
     slots = training_order(table(spark, sf_dir, "documents"))
     return slots.select("slot", "shard", "offset", "sequence", "n_tokens", "doc_ids", "crc32", "read_crc32")
+
+
+def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth text by its id's checksum repeats a stretch of its words from some place on to its end."""
+    h, n = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@register
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document's words, the longest one, and the text without what repeats."""
+    found = periodic_runs(table(spark, sf_dir, "documents"), rewrite=looped)
+    # The greatest length, then the least start and period.
+    best = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select("*", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
