@@ -5,13 +5,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import byte_bpe
 from tallyhouse.llm.common import table
 from tallyhouse.llm.embedding_dedup import embedding_dedup
 from tallyhouse.llm.exact_dedup import exact_dedup
+from tallyhouse.llm.fingerprints import compared_to_next
 from tallyhouse.llm.minhash_dedup import minhash_dedup
 from tallyhouse.llm.packing import pack
 from tallyhouse.llm.periodic_runs import periodic_runs
@@ -101,6 +102,25 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("slot", "shard", "offset", "sequence", "n_tokens", "doc_ids", "crc32", "read_crc32")
 
 
+@register
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and of its edited text, as ``hash@place`` of each mark, and what it is like."""
+    found = compared_to_next(table(spark, sf_dir, "documents"))
+
+    def written(marks: str) -> Column:
+        return F.array_join(F.transform(marks, lambda m: F.concat(F.hex(m["hash"]), F.lit("@"), m["position"])), " ")
+
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        written("marks").alias("fingerprint"),
+        written("edited_marks").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """Every tenth text by its id's checksum repeats a stretch of its words from some place on to its end."""
     h, n = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)

@@ -1,0 +1,105 @@
+"""Winnowing against a plain loop over windows, its guarantee, and the registered query against its contract."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+import __spark_entry__ as driver
+from tallyhouse.llm import fingerprints as module
+from tallyhouse.llm.fingerprints import Winnower, compared_to_next, fingerprints, likeness
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def plain(text, gram, window):
+    """(hash, place) of the rightmost least gram of every window."""
+    if not text:
+        return []
+    gram = min(gram, len(text))
+    one = Winnower(gram, 1)
+    hashes = [int(one.marks(text[i : i + gram])[0][0]) for i in range(len(text) - gram + 1)]
+    window = min(window, len(hashes))
+    best = {max(range(s, s + window), key=lambda i: (-hashes[i], i)) for s in range(len(hashes) - window + 1)}
+    return [(hashes[i], i) for i in sorted(best)]
+
+
+@pytest.mark.parametrize(("gram", "window"), [(1, 1), (3, 4), (5, 7), (4, 40), (24, 40)])
+def test_marks(gram, window, monkeypatch):
+    monkeypatch.setattr(module, "PIECE", 64)
+    rng = random.Random(gram)
+    for _ in range(60):
+        text = "".join(rng.choices(rng.choice(["a", "ab", "abcdefghé🎉 "]), k=rng.choice([0, 1, 2, gram, gram + 1, 30, 90, 300])))
+        found = list(zip(*(x.tolist() for x in Winnower(gram, window).marks(text)), strict=True))
+        assert found == plain(text, gram, window)
+        assert all(0 <= h < 1 << 42 for h, _ in found)
+
+
+def test_guarantee():
+    """A shared stretch of gram + window - 1 leaves a common mark at the same place of the stretch, and marks are no further apart than a window."""
+    rng, winnower = random.Random(2), Winnower()
+    reach = winnower.gram + winnower.window - 1
+    for _ in range(200):
+        some = ["".join(rng.choices("abcdefghij ", k=rng.randint(0, 300))) for _ in range(4)]
+        shared = "".join(rng.choices("abcdefghij ", k=reach))
+        one, two = (dict(zip(*(x.tolist() for x in winnower.marks(a + shared + b)[::-1]), strict=True)) for a, b in (some[:2], some[2:]))
+        apart = len(some[2]) - len(some[0])
+        assert any(two.get(p + apart) == h for p, h in one.items() if len(some[0]) <= p <= len(some[0]) + reach - winnower.gram)
+        assert all(np.diff(sorted(one)) <= winnower.window)
+
+
+def test_likeness():
+    a, b, none = np.array([1, 1, 2]), np.array([2, 3]), np.zeros(0, int)
+    assert (likeness(a, b), likeness(a, a), likeness(none, none), likeness(a, none)) == (1 / 3, 1, 1, 0)
+
+
+def expected_rows(rows):
+    """Every row with the next one, by id; of one id only equal texts may occur."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    out = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        t, after = t or "", after or ""
+        new = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        marks = [plain(x, 24, 40) if len(x) < 4000 else list(zip(*(x.tolist() for x in Winnower().marks(x)), strict=True)) for x in (t, new, after)]
+        sets = [np.array([h for h, _ in m]) for m in marks]
+        out.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), marks[0], marks[1], likeness(sets[0], sets[1]), likeness(sets[0], sets[2])))
+    return sorted(out, key=repr)
+
+
+def found_rows(df):
+    rows = df.collect()
+    return sorted(((*r[:3], [tuple(m) for m in r[3]], [tuple(m) for m in r[4]], *r[5:]) for r in rows), key=repr)
+
+
+def test_awkward_texts(documents, awkward):
+    rows = [r for r in awkward if r != (None, None)] + [(300 + k, "same text " * 20) for k in range(40)] + [(-5, "first of all " * 9)]
+    assert found_rows(compared_to_next(documents(rows))) == expected_rows(rows)
+    marks = {r["doc_id"]: (r["n_chars"], [tuple(m) for m in r["marks"]]) for r in fingerprints(documents(rows)).collect()}
+    assert {r[0]: (r[1], r[3]) for r in expected_rows(rows)} == marks
+    assert marks[300] == marks[339] and marks[4] == (0, [])
+
+
+def test_few_rows(documents):
+    assert compared_to_next(documents([])).count() == fingerprints(documents([])).count() == 0
+    for rows in ([(7, "abcdefgh")], [(7, "abcdefgh"), (9, "xyz")], [(None, "ab" * 50), (1, None)]):
+        assert found_rows(compared_to_next(documents(rows))) == expected_rows(rows)
+
+
+def test_rows_that_repeat(documents):
+    """All but one of some equal rows are followed by themselves."""
+    found = compared_to_next(documents([(1, "abcd" * 30)] * 5 + [(2, "wxyz" * 30)])).collect()
+    assert sorted(r["near_next"] for r in found) == [0, 0, 1, 1, 1, 1]
+
+
+def test_registered_query(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+    found = driver.queries()["op12_fingerprints"](spark, SF_DIR)
+    assert found.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    written = [(*r[:3], *(" ".join(f"{h:X}@{p}" for h, p in m) for m in r[3:5]), *r[5:]) for r in expected_rows(rows)]
+    ours = [tuple(r) for r in found.collect()]
+    assert sorted(ours, key=repr) == sorted(written, key=repr)
+    texts, prints = dict(rows), {r[0]: r[3] for r in ours}
+    assert all((texts[a] == texts[b]) == (prints[a] == prints[b]) for a in prints for b in prints)
+    long = [r for r in ours if r[1] >= 400]
+    assert min(r[5] for r in long) > 0.3 and sorted(r[6] for r in long)[len(long) * 9 // 10] < 0.1
