@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import byte_bpe
+from tallyhouse.llm.alignment import align
 from tallyhouse.llm.common import table
 from tallyhouse.llm.embedding_dedup import embedding_dedup
 from tallyhouse.llm.exact_dedup import exact_dedup
@@ -102,6 +103,14 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("slot", "shard", "offset", "sequence", "n_tokens", "doc_ids", "crc32", "read_crc32")
 
 
+@register
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut by two tokenizers, and how well known its links are."""
+    numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    written = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return align(table(spark, sf_dir, "documents")).select("doc_id", *numbers, written)
+
+
 @register
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of every document and of its edited text, as ``hash@place`` of each mark, and what it is like."""
