@@ -21,6 +21,11 @@ class Outcome:
     frame: DataFrame | None = None
 
 
+def _query(text: str) -> str:
+    """The text without the semicolon it may end in, which a subquery cannot hold."""
+    return text.rstrip().removesuffix(";")
+
+
 def check_sql(spark: SparkSession, text: str, **parameters: object) -> str:
     """``Passed``, or why the text is no query that can be planned. Nothing is executed.
 
@@ -29,6 +34,7 @@ def check_sql(spark: SparkSession, text: str, **parameters: object) -> str:
     only tells that planning failed; text that got so far is a query, and asking
     for its frame gives the reason without executing it.
     """
+    text = _query(text)
     try:
         plan = spark.sql(f"EXPLAIN SELECT * FROM (\n{text}\n)", args=parameters).first()[0]
         if plan.startswith(_PLANNING_FAILED):

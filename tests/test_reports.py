@@ -1,4 +1,5 @@
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -6,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators import access, items, shifts
 from tallyhouse.plans import dashboard, grain, reports
+from tallyhouse.plans.sql_surface import run_sql
+from tallyhouse.plans.worked_sql import WORKED_SQL
+from tallyhouse.sources import tables
 
 SALE = """struct<Transaction_Id: bigint, Transaction_Date: timestamp_ntz, Member_Id: bigint,
     Member_Name: string, Member_Account_Balance: decimal(12,2), Member_Points_Balance: decimal(12,2),
@@ -252,10 +256,68 @@ def test_balances_without_a_sale_id(spark):
     assert (row["account_balance"], row["points_balance"], row["sales"]) == (Decimal("9.00"), Decimal("9.00"), 2)
 
 
-def test_an_impossible_shift_is_set_aside_and_stops_nothing(spark, rows):
-    shifts_ = spark.createDataFrame(
-        [("V", "2024-05-01 10:00:00", "2024-05-01 12:00:00"), ("V", "2024-05-01 10:00:00", "9999-12-31 00:00:00"), ("V", "2024-05-02 10:00:00", "2024-05-01 10:00:00")],
-        "location_name string, a string, b string",
-    ).selectExpr("location_name", "cast(a AS timestamp_ntz) AS shift_start", "cast(b AS timestamp_ntz) AS shift_end", "cast(10 AS decimal(12,2)) AS cost")
-    assert rows(shifts.hourly_cost(shifts_.limit(2)), "hour") == [("2024-05-01 10:00:00",), ("2024-05-01 11:00:00",)]
-    assert shifts.impossible_shifts(shifts_).count() == 2
+def spread_plainly(rows):
+    """Hour by hour, shift by shift."""
+    total = {}
+    for place, a, b, cost in rows:
+        if a is None or b is None:
+            continue
+        n = max(1, int((b - a).total_seconds() / 3600))
+        for k in range(n):
+            own = total.setdefault((place, (a + timedelta(hours=k)).strftime("%Y-%m-%d %H:00:00")), [])
+            own.extend([] if cost is None else [float(cost) / n])
+    return {k: sum(v) if v else None for k, v in total.items()}
+
+
+def shift_frame(spark, rows):
+    return spark.createDataFrame(rows, "location_name string, shift_start timestamp_ntz, shift_end timestamp_ntz, cost decimal(12,2)")
+
+
+def test_shifts_of_any_length(spark):
+    """Years, weeks to the hour, backward, without end, without cost, at no cost and long before 1970."""
+    rng = random.Random(3)
+    begin = datetime(2024, 5, 1)
+    rows = [("V", begin, begin + timedelta(days=800), Decimal(10)), ("V", begin, begin + timedelta(hours=168 * 3), Decimal("0.01"))]
+    rows += [("V", begin + timedelta(days=3), begin, Decimal(7)), ("V", begin, None, Decimal(1)), ("W", begin, begin + timedelta(hours=3), None)]
+    rows += [("W", begin + timedelta(hours=1), begin + timedelta(hours=2), Decimal(0)), ("X", datetime(1931, 1, 1, 0, 30), datetime(1931, 2, 1, 5), Decimal(3))]
+    for _ in range(400):
+        a = begin + timedelta(minutes=rng.randint(0, 60_000))
+        length = rng.choice([rng.randint(0, 700), rng.randint(0, 40_000), 60 * 168 * rng.randint(1, 4)])
+        rows.append((rng.choice("VWY"), a, a + timedelta(minutes=length), Decimal(rng.randint(0, 99_999)) / 100))
+    found = shifts.hourly_cost(shift_frame(spark, rows), ["location_name"]).collect()
+    expected = spread_plainly(rows)
+    assert len(found) == len(expected)
+    got = {(r["location_name"], r["hour"]): r["hourly_cost"] for r in found}
+    assert {k: v if v is None else pytest.approx(v, abs=2e-6) for k, v in expected.items()} == {k: v if v is None else float(v) for k, v in got.items()}
+    day = shifts.hourly_cost(shift_frame(spark, rows), ["location_name"], clip="2024-05-09").collect()
+    assert {(r["location_name"], r["hour"]): r["hourly_cost"] for r in day} == {k: v for k, v in got.items() if k[1].startswith("2024-05-09")}
+
+
+def test_a_shift_of_millennia(spark):
+    """It is spread like any other; a day of it is not dear."""
+    rows = [("V", datetime(2024, 5, 1, 10), datetime(2024, 5, 1, 12), Decimal(10)), ("V", datetime(2024, 5, 1, 10), datetime(4023, 12, 31), Decimal(10))]
+    day = shifts.hourly_cost(shift_frame(spark, rows), clip="2024-05-01").collect()
+    assert [float(r["hourly_cost"]) for r in sorted(day)] == [pytest.approx(5, abs=1e-4)] * 2 + [pytest.approx(0, abs=1e-4)] * 12
+    slots = shifts.shift_slots(shift_frame(spark, rows), F.col("shift_start"), F.col("shift_end"))
+    assert slots.count() == 2 + (datetime(4023, 12, 31) - datetime(2024, 5, 1, 10)).days * 24 + 14
+
+
+def test_backward_shifts_are_listed(spark):
+    rows = [("V", datetime(2024, 5, 2, 10), datetime(2024, 5, 1, 10), Decimal(10)), ("V", datetime(2024, 5, 2), datetime(2024, 5, 2), Decimal(1))]
+    assert [r["cost"] for r in shifts.backward_shifts(shift_frame(spark, rows)).collect()] == [10]
+
+
+def test_report_and_sql_agree_on_odd_shifts(spark):
+    """A shift of a year and one that ends before it starts, by the report and by the worked SQL."""
+    rows = [("V", datetime(2024, 5, 1, 9), datetime(2025, 5, 6, 9), Decimal("840.00")), ("V", datetime(2024, 5, 7, 9), datetime(2024, 5, 7, 7), Decimal(100))]
+    planned = shift_frame(spark, rows).toDF("location_name", "roster_start_time", "roster_end_time", "roster_cost")
+    worked = shift_frame(spark, rows[:1]).selectExpr(
+        "location_name", "shift_start AS timesheet_date", "shift_start AS pay_start_time", "shift_end AS pay_end_time",
+        "cast(NULL AS timestamp_ntz) AS clocked_start_time", "cast(NULL AS timestamp_ntz) AS clocked_end_time", "cost AS timesheet_cost",
+    )
+    tables.register_views({"rosters": planned, "timesheets": worked})
+    report = reports.hourly_roster_vs_timesheet(planned, worked, "V", "2024-05-07").collect()
+    asked = run_sql(spark, WORKED_SQL["hourly_roster_vs_timesheet"], location="V", start="2024-05-07", stop="2024-05-08").frame.collect()
+    assert len(report) == 370 * 24
+    assert sum(float(r["roster_wages"]) for r in report) == pytest.approx(940, abs=0.01)
+    assert [(r["hour"], *(pytest.approx(float(x), abs=2e-6) for x in r[1:])) for r in report] == [(r["hour"], *map(float, r[1:])) for r in asked]

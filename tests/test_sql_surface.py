@@ -37,7 +37,7 @@ def test_invalid_text_gives_its_message(spark, view, text, part):
 @pytest.mark.parametrize(
     "text",
     ["DROP VIEW shifts", "CREATE DATABASE probe_db", "INSERT INTO shifts VALUES (2, 'y')", "SET spark.x = 1",
-     "WITH a AS (SELECT 1 AS cost, 'x' AS note) INSERT INTO shifts SELECT * FROM a", "SELECT 1; DROP VIEW shifts"],
+     "WITH a AS (SELECT 1 AS cost, 'x' AS note) INSERT INTO shifts SELECT * FROM a", "SELECT 1; DROP VIEW shifts", "DROP VIEW shifts;", "SELECT 1;;"],
 )
 def test_commands_are_refused_and_nothing_runs(spark, view, text):
     assert sql_surface.check_sql(spark, text) != sql_surface.PASSED
@@ -48,7 +48,7 @@ def test_commands_are_refused_and_nothing_runs(spark, view, text):
     assert spark.conf.get("spark.x", None) is None
 
 
-@pytest.mark.parametrize("text", ["WITH a AS (SELECT 1 AS x) SELECT x FROM a ORDER BY x -- all", "VALUES (1)", "TABLE shifts"])
+@pytest.mark.parametrize("text", ["WITH a AS (SELECT 1 AS x) SELECT x FROM a ORDER BY x -- all", "VALUES (1)", "TABLE shifts", "select 1 as a;", "select ';' as a ; \n"])
 def test_every_kind_of_query_passes(spark, view, text):
     assert sql_surface.check_sql(spark, text) == sql_surface.PASSED
     assert sql_surface.run_sql(spark, text).frame.count() == 1

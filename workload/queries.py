@@ -165,8 +165,8 @@ def elapsed_hours(spark, sf_dir):
 
 @register
 def hour_slots(spark, sf_dir):
-    slots = hours.hour_slots(F.col("roster_start_time"), F.col("roster_end_time"))
-    return s.rosters(spark, sf_dir).select("event_id", F.explode(slots).alias("slot"))
+    slots = shifts.shift_slots(s.rosters(spark, sf_dir), F.col("roster_start_time"), F.col("roster_end_time"))
+    return slots.select("event_id", "slot")
 
 
 @register
@@ -402,6 +402,11 @@ def shift_overlap(spark, sf_dir):
     return shifts.shifts_on(shifts.timesheet_shifts(s.timesheets(spark, sf_dir)), SHIFT_DAY)
 
 
+@register
+def backward_shifts(spark, sf_dir):
+    return shifts.backward_shifts(shifts.roster_shifts(s.rosters(spark, sf_dir)))
+
+
 @register
 def hourly_wages(spark, sf_dir):
     """Worked cost per venue and hour over all shifts."""
@@ -588,15 +593,15 @@ def whole_file_documents(spark, sf_dir):
 
 @register
 def embedding_topk(spark, sf_dir):
-    """The ten nearest of all vectors to the first vector of each label, itself included."""
+    """The ten nearest of all vectors to every vector whose id 20 divides, itself included."""
     vectors = s.table(spark, sf_dir, "embeddings")
     found = nearest.nearest(vectors.select("vec_id", "embedding"), _asked(vectors), 10)
     return found.withColumn("distance", F.round("distance", 6))
 
 
 def _asked(vectors: DataFrame) -> DataFrame:
-    first = F.min_by("embedding", "vec_id").alias("embedding")
-    return vectors.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(first)
+    """The query set: all vectors whose id 20 divides."""
+    return vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @register

@@ -119,12 +119,16 @@ def _shift_events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(F.col("event_type") == kind).selectExpr("*", begun)
 
 
+# A shift of a year or more and one that ends before it starts, now and then; the others count up to ten hours.
+_SHIFT_MINUTES = "CASE event_id % 211 WHEN 7 THEN 527000 + event_id WHEN 9 THEN -150 ELSE 15 + event_id % 600 END"
+
+
 def rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shift_events(spark, sf_dir, "purchase").selectExpr(
         "event_id",
         "concat('NATION_', user_id % 25) AS location_name",
         "s AS roster_start_time",
-        "s + (15 + event_id % 600) * INTERVAL '1' MINUTE AS roster_end_time",
+        f"s + ({_SHIFT_MINUTES}) * INTERVAL '1' MINUTE AS roster_end_time",
         f"{_money('value')} AS roster_cost",
     )
 
@@ -137,7 +141,7 @@ def timesheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('NATION_', user_id % 25) AS location_name",
         "cast(cast(s AS date) AS timestamp_ntz) AS timesheet_date",
         "s AS pay_start_time",
-        "s + (15 + event_id % 600) * INTERVAL '1' MINUTE AS pay_end_time",
+        f"s + ({_SHIFT_MINUTES}) * INTERVAL '1' MINUTE AS pay_end_time",
         clocked.format("7") + " AS clocked_start_time",
         clocked.format("(20 + event_id % 600)") + " AS clocked_end_time",
         f"{_money('value')} AS timesheet_cost",
