@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.functions.conform import landed_type
+from tallyhouse.functions.rest import REST, rest_of, with_rest
+from tallyhouse.functions.timeparse import path_level
 from tallyhouse.schemas import MALFORMED, Feed
 
 
@@ -32,24 +35,57 @@ def read_landing(spark: SparkSession, root: str, feed: Feed, infer: bool = False
     return inferred.select(*rest, *missing, *levels)
 
 
+def read_whole(spark: SparkSession, root: str, feed: Feed) -> DataFrame:
+    """Landed records with everything they hold: declared fields as declared, the others in ``rest``.
+
+    Lines are read as text and parsed by the schema and as a VARIANT, which needs
+    no pass over the files to find out what else there is. Levels are those of
+    partition discovery, so a filter on them skips directories.
+    """
+    lines = spark.read.option("basePath", root).text(root)
+    levels = [(F.col(c) if c in lines.columns else F.lit(None)).cast("int").alias(c) for c in feed.partitions]
+    return whole_records(lines.select("value", *levels), feed)
+
+
+def whole_records(lines: DataFrame, feed: Feed) -> DataFrame:
+    """Records out of lines (``value`` and the levels).
+
+    A line may hold an array of records. One that is no record, or not readable
+    as a VARIANT, is kept as it is under ``MALFORMED``; empty lines are none.
+    """
+    value = F.col("value")
+    elements = F.transform(F.try_variant_get(F.try_parse_json(value), "$", "array<variant>"), lambda x: F.to_json(x))
+    several = F.coalesce(F.when(F.ltrim(value).startswith("["), elements), F.array(value))
+    single = lines.where(F.trim(value) != "").select(F.explode(several).alias("value"), *feed.partitions)
+    kind = T.StructType([*landed_type(feed.record).fields, T.StructField(MALFORMED, T.StringType())])
+    record = F.from_json(value, kind, {"columnNameOfCorruptRecord": MALFORMED})
+    parsed = single.select("value", record.alias("record"), F.try_parse_json(value).alias("whole"), *feed.partitions)
+    whole, names = F.col("whole"), [f.name for f in feed.record]
+    fields = [
+        with_rest(F.col("record")[f.name], F.try_variant_get(whole, f"$['{f.name}']", "variant"), landed_type(f.dataType)).alias(f.name)
+        for f in feed.record
+    ]
+    broken = F.when(whole.isNull(), value).otherwise(F.col("record")[MALFORMED]).alias(MALFORMED)
+    return parsed.select(*fields, broken, rest_of(whole, names).alias(REST), *feed.partitions)
+
+
 # Longer than any file has been lying there.
 ANY_AGE = "36500d"
 
 
-def stream_landing(
-    spark: SparkSession, root: str, feed: Feed, files_per_batch: int, archive: str | None = None
-) -> DataFrame:
-    """The same scan as a stream that picks up each file once, however old it is.
+def stream_landing(spark: SparkSession, root: str, feed: Feed, files_per_batch: int, archive: str | None = None) -> DataFrame:
+    """The same records as a stream that picks up each file once, however old it is.
 
     By default a file source passes over files a week older than the newest it
     has seen; a vendor sending last month again would lose them. With ``archive``
-    loaded files are moved there, which keeps the listing short.
+    loaded files are moved there, which keeps the listing short. Levels come from
+    the path of each file, as a stream may begin before there is any directory.
     """
-    reader = spark.readStream.schema(feed.schema).option("basePath", root).option("columnNameOfCorruptRecord", MALFORMED)
-    reader = reader.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", ANY_AGE)
+    reader = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", ANY_AGE)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return reader.json(root)
+    path = F.col("_metadata.file_path")
+    return whole_records(reader.text(root).select("value", *[path_level(path, c).alias(c) for c in feed.partitions]), feed)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.functions.rest import rest_field
 from tallyhouse.plans import etl
 from tallyhouse.schemas import ROSTERS, SALES
 from tallyhouse.sources import landing, tables
@@ -137,9 +138,11 @@ def test_a_job_on_an_empty_landing(spark, tmp_path, job):
 def test_a_table_has_the_columns_of_its_job(spark, tmp_path, sales_landing):
     out = str(tmp_path / "sales")
     etl.run_job(spark, etl.SALES_JOB, str(sales_landing), out)
-    stated = etl.read_table(spark, out, etl.SALES_JOB)
+    stated = etl.read_table(spark, out, etl.SALES_JOB, rest=True)
     found = spark.read.parquet(out)
     assert set(stated.dtypes) == set(found.dtypes)
+    declared = etl.read_table(spark, out, etl.SALES_JOB)
+    assert "rest" not in declared.columns and "rest" not in declared.schema["Sales_Details"].dataType.names
 
 
 def test_timesheet_formats(spark, tmp_path, rows):
@@ -372,3 +375,73 @@ def test_a_range_prunes_directories(spark, tmp_path, sales_landing):
     audit = etl.run_job(spark, etl.SALES_JOB, str(sales_landing), out, levels="day = 1")
     assert audit["rows"] == 2
     assert etl.read_table(spark, out, etl.SALES_JOB).count() == 4
+
+
+def odd_sale():
+    sold = sale("2024-05-01T10:00:00.123", "ale", "tea") | {"Clerk": {"no": 7, "name": "Jo"}, "Discount": 1.50}
+    sold["Items"][1]["Size"] = "pot"
+    return sold
+
+
+def test_a_declared_run_keeps_unnamed_fields(spark, tmp_path, rows):
+    """At every level, through the load, a reload of the same directory and a compaction; other directories have none."""
+    root, out, few = tmp_path / "landing", str(tmp_path / "out"), str(tmp_path / "few")
+    land(root, "year=2024/month=5/day=1", venue(odd_sale(), sale("2024-05-01T11:00:00.000"), till="T1", rest=[1, None]), venue(sale("2024-05-01T12:00:00.000")))
+    land(root, "year=2024/month=5/day=2", venue(sale("2024-05-02T10:00:00.000", "ale")))
+
+    def kept(path):
+        table = etl.read_table(spark, path, etl.SALES_JOB, rest=True)
+        own, inner = F.col("rest"), F.col("Sales_Details.rest")
+        size = F.transform("Sales_Details.Items", lambda x: rest_field(x["rest"], "$.Size", "string"))
+        return rows(table.select(
+            "day", rest_field(own, "$.till", "string"), F.to_json(rest_field(own, "$.rest", "variant")),
+            rest_field(inner, "$.Clerk.no", "int"), rest_field(inner, "$.Discount", "decimal(12,2)"), size, own.isNull(), inner.isNull(),
+        ))
+
+    expected = sorted([
+        (1, "T1", "[1,null]", 7, Decimal("1.50"), [None, "pot"], False, False),
+        (1, "T1", "[1,null]", None, None, [], False, True),
+        (1, None, None, None, None, [], True, True),
+        (2, None, None, None, None, [None], True, True),
+    ], key=repr)
+    audit = etl.run_job(spark, etl.SALES_JOB, str(root), out)
+    assert audit == {**NOTHING, "records": 3, "rows": 4}
+    assert kept(out) == expected
+    etl.run_job(spark, etl.SALES_JOB, str(root), out, levels="day = 1")
+    tables.compact_table(spark, out, few, SALES.partitions)
+    assert kept(out) == kept(few) == expected
+    found = {r["level"]: r["fields"] for r in etl.rest_schemas(etl.read_table(spark, out, etl.SALES_JOB, rest=True)).collect()}
+    assert found == {
+        "record": "OBJECT<rest: ARRAY<BIGINT>, till: STRING>",
+        "sale": "OBJECT<Clerk: OBJECT<name: STRING, no: BIGINT>, Discount: DECIMAL(2,1)>",
+        "item": "OBJECT<Size: STRING>",
+    }
+
+
+def test_a_stream_keeps_unnamed_fields(spark, tmp_path):
+    root, out = tmp_path / "landing", str(tmp_path / "out")
+    land(root, "year=2024/month=05/day=1", venue(odd_sale(), till="T1"))
+    ingest.ingest_new_files(spark, etl.SALES_JOB, str(root), out, str(tmp_path / "checkpoint"))
+    row = etl.read_table(spark, out, etl.SALES_JOB, rest=True).select("month", rest_field(F.col("rest"), "$.till", "string"), rest_field(F.col("Sales_Details.rest"), "$.Clerk.name", "string")).first()
+    assert tuple(row) == (5, "T1", "Jo")
+
+
+def test_lines_of_every_kind(spark, tmp_path, rows):
+    """Arrays of records, empty lines, repeated keys, numbers, nulls, cut lines, awkward names: read or set aside, never lost."""
+    root, out = tmp_path / "landing", str(tmp_path / "out")
+    folder = root / "year=2024/month=5"
+    folder.mkdir(parents=True)
+    lines = [
+        '[{"location_name": "a", "x": 1}, {"location_name": "b"}]', "", "   ", "[]",
+        '{"location_name": "c", "location_name": "d"}', "5", "null", '{"location_name": "e", "roster_cost": {"no": 1}}', '{"location_name": "cu',
+        '{"location_name": "f", "it\'s": {"a.b": [true]}, "REST": 2}', '  {"location_name": "g", "roster_cost": "1,5"}', '{"h": null}', "{}", '[{"location_name": "h"}, 3]',
+    ]
+    (folder / "a.json").write_text("\n".join(lines))
+    audit = etl.run_job(spark, etl.ROSTERS_JOB, str(root), out)
+    loaded = etl.read_table(spark, out, etl.ROSTERS_JOB, rest=True)
+    assert rows(loaded.select("location_name", F.to_json("rest"))) == sorted(
+        [("a", '{"x":1}'), ("b", None), ("e", None), ("f", '{"REST":2,"it\'s":{"a.b":[true]}}'), ("g", None), (None, '{"h":null}'), (None, None), ("h", None)], key=repr
+    )
+    aside = sorted(r["line"] for r in spark.read.parquet(etl.malformed_path(out)).collect())
+    assert aside == sorted(["5", "null", '{"location_name": "cu', '{"location_name": "c", "location_name": "d"}', "3"])
+    assert (audit["records"], audit["rows"], audit["malformed"], audit["unparsed_values"]) == (13, 8, 5, 2)

@@ -262,6 +262,12 @@ ORACLES: dict[str, str] = {
                     FROM raw_sales GROUP BY ALL)
         SELECT year, month, venue_id, sales, points::double AS points, total_inc::double AS total_inc
         FROM counted JOIN totals USING (year, month, venue_id)""",
+    "etl_sales_rest": f"""WITH {RAW_SALES}
+        SELECT year, month, venue_id, transaction_id, points_balance::double AS points_balance,
+               CASE WHEN venue_id % 3 <> 0 THEN 'R' || venue_id END AS region,
+               CASE WHEN transaction_id // 2 % 4 <> 0 THEN 'C' || (transaction_id % 50) END AS clerk,
+               (transaction_id % 9)::int AS till, 'S' || (length(first_product) % 4) AS first_size
+        FROM raw_sales""",
     "etl_reload_month": f"""WITH {RAW_SALES}
         SELECT year, month, count(*) * CASE WHEN year = 1998 AND month = 6 THEN 2 ELSE 1 END AS sales
         FROM raw_sales GROUP BY year, month""",

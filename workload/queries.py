@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.functions import calendar, hours, text, timeparse
+from tallyhouse.functions import calendar, hours, rest, text, timeparse
 from tallyhouse.operators import access, context, items, nearest, shifts, snapshots
 from tallyhouse.plans import dashboard, etl, grain, reports
 from tallyhouse.plans.sql_surface import run_sql
@@ -317,6 +317,27 @@ def etl_reload_month(spark, sf_dir):
     return etl.read_table(spark, out, etl.SALES_JOB).groupBy("year", "month").agg(F.count(F.lit(1)).alias("sales"))
 
 
+@register
+def etl_sales_rest(spark, sf_dir):
+    """Fields that the feed does not name, out of a table loaded as declared, reloaded in part and compacted."""
+    root, out, few = (fresh_dir(spark, name) for name in ("landing-sales", "sales", "sales-compacted"))
+    _land(s.raw_sales_wide(spark, sf_dir), etl.SALES_JOB.feed, root)
+    etl.run_job(spark, etl.SALES_JOB, root, out)
+    etl.run_job(spark, etl.SALES_JOB, root, out, levels="year = 1998")
+    tables.compact_table(spark, out, few, etl.SALES_JOB.feed.partitions)
+    sale = F.col("Sales_Details")
+    size = rest.rest_field(F.try_element_at(sale["Items"], F.lit(1))[rest.REST], "$.Size", "string")
+    return etl.read_table(spark, few, etl.SALES_JOB, rest=True).select(
+        "year", "month", "venue_id",
+        sale["Transaction_Id"].alias("transaction_id"),
+        sale["Member_Points_Balance"].alias("points_balance"),
+        rest.rest_field(F.col(rest.REST), "$.region", "string").alias("region"),
+        rest.rest_field(sale[rest.REST], "$.Clerk", "string").alias("clerk"),
+        rest.rest_field(sale[rest.REST], "$.Till.no", "int").alias("till"),
+        size.alias("first_size"),
+    )
+
+
 def _land_rosters(spark, sf_dir, root):
     lines = s.landed_rosters(spark, sf_dir)
     tables.rebalanced(lines, ("year", "month")).write.partitionBy("year", "month").text(root)

@@ -114,6 +114,19 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_sales_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records with fields that the feed does not name, at every level; some records lack them."""
+    sold_by = "CASE WHEN sale.Transaction_Id div 2 % 4 <> 0 THEN concat('C', sale.Transaction_Id % 50) END"
+    sized = "transform(sale.Items, item -> named_struct({}, 'Size', concat('S', length(item.Product_Name) % 4)))"
+    of_item = ", ".join(f"'{c}', item.{c}" for c in ("Product_Name", "Master_Group_Id", "Quantity", "Total_Inc"))
+    names = ("Transaction_Id", "Transaction_Date", "Member_Id", "Member_Name", "Member_Account_Balance", "Member_Points_Balance")
+    of_sale = ", ".join(f"'{c}', sale.{c}" for c in names)
+    sales = f"""transform(Sales, sale -> named_struct({of_sale}, 'Items', {sized.format(of_item)},
+        'Clerk', {sold_by}, 'Till', named_struct('no', sale.Transaction_Id % 9)))"""
+    region = "CASE WHEN venue_id % 3 <> 0 THEN concat('R', venue_id) END"
+    return raw_sales(spark, sf_dir).selectExpr("venue_id", "venue_name", f"{sales} AS Sales", f"{region} AS region", "year", "month", "day")
+
+
 def _shift_events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     begun = "cast(date_trunc('minute', ts - INTERVAL '24' YEAR) AS timestamp_ntz) AS s"
     return table(spark, sf_dir, "events").where(F.col("event_type") == kind).selectExpr("*", begun)
