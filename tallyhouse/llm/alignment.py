@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +47,12 @@ from tallyhouse.session import stored
 SHARDS = 128  # of B ids
 BLOCK = 8 << 20  # bytes of text in a block
 FAN = 512  # vectors that one step of a tree takes
-KEPT = 1 << 18  # units whose alignment a worker remembers
+KEPT = 1 << 19  # units whose alignment a worker remembers
 LONGEST = 64  # characters of such a unit
+TOGETHER = 4096  # units that are encoded in one call
 _CUT = re.compile(r"(?<=\S)(?= )")
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "  # of the ASCII signs
+_ODD = re.compile(r"(?:^|\s) ")  # spaces at which no unit begins
 _PREFIX = "x"  # stands ahead of a unit, so that B adds its space there
 _aligners: dict[tuple[str, str], Aligner] = {}
 
@@ -64,7 +68,7 @@ def vocabulary_paths() -> tuple[str, str]:
 
 
 def aligner(paths: tuple[str, str]) -> Aligner:
-    """The aligner of this Python worker, kept between tasks."""
+    """The aligner of this Python worker, kept between tasks and passes."""
     if paths not in _aligners:
         _aligners[paths] = Aligner(*paths)
     return _aligners[paths]
@@ -83,10 +87,25 @@ def _of_piece(piece: str) -> bytes:
     return piece.replace("▁", " ").encode()
 
 
+def units_of(text: str) -> list[str]:
+    """The units of a text that has a space ahead, each without the space it begins with."""
+    if _ODD.search(text) is None:
+        return text.split(" ")
+    return [u[1:] for u in _CUT.split(" " + text)]
+
+
 class Aligner:
+    """Alignments of units: (A tokens, B tokens, groups as text, keys of the links), or None for one that does not join to its bytes.
+
+    Units of code points below 256 are cut by a faster library with the same ids,
+    whose order is that of A's merges; both agree on what these code points are.
+    """
+
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
@@ -95,56 +114,85 @@ class Aligner:
         signs = _byte_of_sign()
         words = self.a.get_vocab()
         self.a_bytes = [b""] * (max(words.values()) + 1)
+        ranks = {}
         for word, i in words.items():
-            self.a_bytes[i] = bytes(signs[c] for c in word) if all(c in signs for c in word) else word.encode()
+            if all(c in signs for c in word):
+                self.a_bytes[i] = bytes(signs[c] for c in word)
+                ranks[self.a_bytes[i]] = i
+            else:  # special spellings, which no text has
+                self.a_bytes[i] = word.encode()
+        ranks = {x: i for x, i in ranks.items() if i not in self.a.get_added_tokens_decoder()}
+        self.brief = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b_bytes = [_of_piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         if any(b" " in x.lstrip(b" ") for x in self.b_bytes) or max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
             raise ValueError("pieces reach across spaces, or ids across two bytes")
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
         self.ahead = len(self.b.encode(_PREFIX))
         self.known: dict[str, tuple | None] = {}
 
-    def _align(self, units: list[str]) -> list[tuple | None]:
-        """(ids of A, ids of B, groups as text, keys of the links) of units; none of one that does not join to its bytes."""
-        out: list[tuple | None] = []
-        all_b = self.b.encode([_PREFIX + u for u in units], num_threads=1)
-        for unit, a, b in zip(units, self.a.encode_batch_fast(units, add_special_tokens=False), all_b, strict=True):
-            a, b, data = a.ids, b[self.ahead :], unit.encode()
-            if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
-                out.append(None)
-                continue
-            a_ends, b_ends = (np.cumsum([len(own[i]) for i in ids]) for own, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-            _, a_last, b_last = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-            a_cuts, b_cuts = [0, *(a_last + 1).tolist()], [0, *(b_last + 1).tolist()]
-            a_words, b_words = list(map(str, a)), list(map(str, b))
-            groups = ";".join(
-                f"{','.join(a_words[i:j])}|{','.join(b_words[k:m])}"
-                for i, j, k, m in zip(a_cuts[:-1], a_cuts[1:], b_cuts[:-1], b_cuts[1:], strict=True)
-            )
-            keys = np.array(b, np.uint64)[b_last] << np.uint64(16) | np.array(a, np.uint64)[a_last]
-            out.append((len(a), len(b), groups, keys))
-        return out
+    def _align(self, units: list[str], simple: bool) -> list[tuple | None]:
+        """The alignments of some units, encoded one behind the other; only the last one may end in white space."""
+        text = " " + " ".join(units)
+        data = text.encode()
+        a = np.array(self.brief.encode_ordinary(text) if simple else self.a.encode(text, add_special_tokens=False).ids, np.int64)
+        b = np.array(self.b.encode(_PREFIX + text)[self.ahead :], np.int64)
+        whole = all(b"".join([own[i] for i in ids.tolist()]) == data for own, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+        if not whole:
+            if len(units) == 1:
+                return [None]
+            half = len(units) // 2
+            return self._align(units[:half], simple) + self._align(units[half:], simple)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_last, b_last = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        keys = (b[b_last] << 16 | a[a_last]).astype("<u8").tobytes()
+        bounds = np.cumsum([1 + len(u) if u.isascii() else 1 + len(u.encode()) for u in units])
+        edges = [np.concatenate([[0], np.searchsorted(x, bounds, side="right")]).tolist() for x in (a_ends, b_ends, ends)]
+        a_words, b_words = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        a_cuts, b_cuts = [0, *(a_last + 1).tolist()], [0, *(b_last + 1).tolist()]
+        groups = [
+            f"{a_words[i] if j - i == 1 else ','.join(a_words[i:j])}|{b_words[k] if m - k == 1 else ','.join(b_words[k:m])}"
+            for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:], strict=False)
+        ]
+        of_a, of_b, of_groups = edges
+        return [
+            (n, m, ";".join(groups[x:y]), keys[8 * x : 8 * y])
+            for n, m, x, y in zip(np.diff(of_a).tolist(), np.diff(of_b).tolist(), of_groups, of_groups[1:], strict=False)
+        ]
 
     def block(self, texts: list[str]) -> tuple[list[np.ndarray], list[tuple | None]]:
         """The units of each text, as places in a list of the distinct ones' alignments."""
         place: dict[str, int] = {}
-        rows = [np.array([place.setdefault(u, len(place)) for u in _CUT.split(" " + t)] if t else [], np.int64) for t in texts]
+        rows = [np.array([place.setdefault(u, len(place)) for u in units_of(t)] if t else [], np.int64) for t in texts]
         new = [u for u in place if u not in self.known]
         found: dict[str, tuple | None] = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            found.update(zip(some, self._align(some), strict=True))
+        simple, other = [], []
+        for u in new:
+            if u.isascii() and u and u[-1] not in _WHITE:
+                simple.append(u)
+            elif not u or u[-1].isspace():
+                found[u] = self._align([u], False)[0]
+            else:
+                (simple if max(u) < "\u0100" else other).append(u)
+        for units, plain in ((simple, True), (other, False)):
+            for at in range(0, len(units), TOGETHER):
+                some = units[at : at + TOGETHER]
+                found.update(zip(some, self._align(some, plain), strict=True))
         own = [found[u] if u in found else self.known[u] for u in place]
-        brief = {u: x for u, x in found.items() if len(u) <= LONGEST}
-        if len(self.known) + len(brief) > KEPT:
-            self.known = {}
-        if len(brief) <= KEPT:
-            self.known.update(brief)
+        if len(self.known) < KEPT:  # what comes first is kept, as frequent units do
+            self.known.update(islice(((u, x) for u, x in found.items() if len(u) <= LONGEST), KEPT - len(self.known)))
         return rows, own
 
 
+def _links(units: list[tuple | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all units' links and how many each has."""
+    packed = [u[3] if u is not None else b"" for u in units]
+    return np.frombuffer(b"".join(packed), "<u8"), np.array([len(x) // 8 for x in packed], np.int64)
+
+
 def _whole(rows: list[np.ndarray], valid: np.ndarray) -> list[np.ndarray]:
     """Texts that hold a unit which does not join to its bytes have no units."""
-    return [r if valid[r].all() else r[:0] for r in rows]
+    return rows if valid.all() else [r if valid[r].all() else r[:0] for r in rows]
 
 
 def _blocked(size: int):
@@ -172,9 +220,8 @@ def _counted(paths: tuple[str, str]):
         valid = np.array([u is not None for u in units], bool)
         rows = _whole(rows, valid)
         used = np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]), minlength=len(units))
-        links = [u[3] if u is not None else np.zeros(0, np.uint64) for u in units]
-        every = np.concatenate([np.zeros(0, np.uint64), *links])
-        times = np.repeat(used, [len(x) for x in links])
+        every, sizes = _links(units)
+        times = np.repeat(used, sizes)
         keys, at = np.unique(every[times > 0], return_inverse=True)
         counts = np.zeros(len(keys), np.int64)
         np.add.at(counts, at, times[times > 0])
@@ -287,15 +334,14 @@ def _aligned(paths: tuple[str, str]):
         rows, units = aligner(paths).block(docs.column("text").to_pylist())
         valid = np.array([u is not None for u in units], bool)
         rows = _whole(rows, valid)
-        units = [u if u is not None else (0, 0, "", np.zeros(0, np.uint64)) for u in units]
+        units = [u if u is not None else (0, 0, "", b"") for u in units]
         keys, counts, best = (
             np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in found.column(c).to_pylist())])
             for c, kind in (("keys", np.dtype("<u4")), ("counts", np.int64), ("best", bool))
         )
         order = np.argsort(keys, kind="stable")
         keys, counts, best = keys[order], counts[order], best[order]
-        sizes = np.array([len(u[3]) for u in units], np.int64)
-        links = np.concatenate([np.zeros(0, np.uint64), *(u[3] for u in units)])
+        links, sizes = _links(units)
         at = np.minimum(np.searchsorted(keys, links), max(0, len(keys) - 1))  # links of texts without tokens may be unknown
         known = keys[at] == links if len(keys) else np.zeros(len(links), bool)
         bounds = np.concatenate([[0], np.cumsum(sizes)])

@@ -115,6 +115,7 @@ def test_nothing_to_align(documents):
 def test_units_are_forgotten(monkeypatch):
     """A worker's memory is bounded and changes no result."""
     monkeypatch.setattr(alignment, "KEPT", 3)
+    monkeypatch.setattr(alignment, "TOGETHER", 2)
     own = alignment.Aligner(*alignment.vocabulary_paths())
     texts = ["one two three four", "two five six one seven", "one"]
     for _ in range(2):
@@ -123,6 +124,15 @@ def test_units_are_forgotten(monkeypatch):
         assert len(own.known) <= 3
 
 
+def test_both_libraries_cut_units_of_simple_signs_alike():
+    own = alignment.aligner(alignment.vocabulary_paths())
+    rng = random.Random(1)
+    signs = [chr(i) for i in range(1, 256) if not chr(i).isspace()]
+    units = ["".join(rng.choices(signs, k=rng.randint(1, 12))) for _ in range(4000)] + [f"{a}{b}" for a in signs for b in signs]
+    text = " " + " ".join(units)
+    assert own.brief.encode_ordinary(text) == own.a.encode(text, add_special_tokens=False).ids
+
+
 def test_registered_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
     found = driver.queries()["op11_alignment"](spark, SF_DIR)
