@@ -48,12 +48,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     left = dealt(vectors, "vec_id", "v", of_vectors, "q", of_queries)
     right = dealt(queries, "query_id", "q", of_queries, "v", of_vectors)
-    best = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(_best_of_block(k), RESULT)
+    best = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(best_of_block(k), RESULT)
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _best_of_block(k: int):
+def best_of_block(k: int):
     def best(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})

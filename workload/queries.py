@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.functions import calendar, hours, rest, text, timeparse
-from tallyhouse.operators import access, context, items, nearest, shifts, snapshots
+from tallyhouse.operators import access, context, items, nearest, shifts, snapshots, vector_index
 from tallyhouse.plans import dashboard, etl, grain, reports
 from tallyhouse.plans.sql_surface import run_sql
 from tallyhouse.plans.worked_sql import WORKED_SQL, per_hour
@@ -625,6 +625,31 @@ def _asked(vectors: DataFrame) -> DataFrame:
     return vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def _indexed(spark, sf_dir):
+    """An index that was built over all vectors and loaded again, and the query set."""
+    path = fresh_dir(spark, "vector-index")
+    vectors = s.table(spark, sf_dir, "embeddings")
+    vector_index.build_index(vectors, path)
+    return vector_index.load_index(spark, path), _asked(vectors)
+
+
+@register
+def index_search(spark, sf_dir):
+    """The same neighbours out of a stored index, exactly."""
+    index, asked = _indexed(spark, sf_dir)
+    return vector_index.search(index, asked, 10).withColumn("distance", F.round("distance", 6))
+
+
+@register
+def index_recall(spark, sf_dir):
+    """Neighbours that the query set has, and whether a search of some lists, their number tuned on 256 other queries, finds nine in ten."""
+    index, asked = _indexed(spark, sf_dir)
+    others = s.table(spark, sf_dir, "embeddings").where("vec_id % 20 = 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    probes = vector_index.probes_for(index, others.orderBy(F.xxhash64("query_id")).limit(256), 10, 0.95)
+    fast, exact = (vector_index.search(index, asked, 10, n) for n in (probes, None))
+    return vector_index.recall(fast, exact).select("neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @register
 def embedding_search(spark, sf_dir):
     """Vectors saved twice under one version and once under an older one, the latest loaded and searched."""
