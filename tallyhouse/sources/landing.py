@@ -47,8 +47,8 @@ def read_whole(spark: SparkSession, root: str, feed: Feed) -> DataFrame:
     return whole_records(lines.select("value", *levels), feed)
 
 
-def whole_records(lines: DataFrame, feed: Feed) -> DataFrame:
-    """Records out of lines (``value`` and the levels).
+def whole_records(lines: DataFrame, feed: Feed, *carried: str) -> DataFrame:
+    """Records out of lines (``value``, the levels, and columns that are carried along).
 
     A line may hold an array of records. One that is no record, or not readable
     as a VARIANT, is kept as it is under ``MALFORMED``; empty lines are none.
@@ -56,19 +56,22 @@ def whole_records(lines: DataFrame, feed: Feed) -> DataFrame:
     value = F.col("value")
     elements = F.transform(F.try_variant_get(F.try_parse_json(value), "$", "array<variant>"), lambda x: F.to_json(x))
     several = F.coalesce(F.when(F.ltrim(value).startswith("["), elements), F.array(value))
-    single = lines.where(F.trim(value) != "").select(F.explode(several).alias("value"), *feed.partitions)
+    single = lines.where(F.trim(value) != "").select(F.explode(several).alias("value"), *feed.partitions, *carried)
     kind = T.StructType([*landed_type(feed.record).fields, T.StructField(MALFORMED, T.StringType())])
     record = F.from_json(value, kind, {"columnNameOfCorruptRecord": MALFORMED})
-    parsed = single.select("value", record.alias("record"), F.try_parse_json(value).alias("whole"), *feed.partitions)
+    parsed = single.select("value", record.alias("record"), F.try_parse_json(value).alias("whole"), *feed.partitions, *carried)
     whole, names = F.col("whole"), [f.name for f in feed.record]
     fields = [
         with_rest(F.col("record")[f.name], F.try_variant_get(whole, f"$['{f.name}']", "variant"), landed_type(f.dataType)).alias(f.name)
         for f in feed.record
     ]
     broken = F.when(whole.isNull(), value).otherwise(F.col("record")[MALFORMED]).alias(MALFORMED)
-    return parsed.select(*fields, broken, rest_of(whole, names).alias(REST), *feed.partitions)
+    return parsed.select(*fields, broken, rest_of(whole, names).alias(REST), *feed.partitions, *carried)
 
 
+# When the file of a streamed record was written.
+LANDED = "_landed"
+
 # Longer than any file has been lying there.
 ANY_AGE = "36500d"
 
@@ -79,13 +82,15 @@ def stream_landing(spark: SparkSession, root: str, feed: Feed, files_per_batch:
     By default a file source passes over files a week older than the newest it
     has seen; a vendor sending last month again would lose them. With ``archive``
     loaded files are moved there, which keeps the listing short. Levels come from
-    the path of each file, as a stream may begin before there is any directory.
+    the path of each file, as a stream may begin before there is any directory;
+    ``LANDED`` has the time of the file.
     """
     reader = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", ANY_AGE)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     path = F.col("_metadata.file_path")
-    return whole_records(reader.text(root).select("value", *[path_level(path, c).alias(c) for c in feed.partitions]), feed)
+    levels = [path_level(path, c).alias(c) for c in feed.partitions]
+    return whole_records(reader.text(root).select("value", *levels, F.col("_metadata.file_modification_time").alias(LANDED)), feed, LANDED)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +61,47 @@ def _directories(spark: SparkSession, root: str, partition_by: Sequence[str], be
             continue
 
 
+# The innermost level of a table that a stream adds to: the number of its batch.
+BATCH = "batch"
+_LINE = "key string, value string"
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def log_line(spark: SparkSession, path: str, key: str, value: str) -> None:
+    """Note something; earlier notes stay."""
+    spark.createDataFrame([(key, value)], _LINE).coalesce(1).write.mode("append").parquet(path)
+
+
+def log_lines(spark: SparkSession, path: str, key: str) -> set[str]:
+    """All that was noted under a key."""
+    if not _there(spark, path):
+        return set()
+    return {r["value"] for r in spark.read.schema(_LINE).parquet(path).where(F.col("key") == key).collect()}
+
+
+def own_by_stream(spark: SparkSession, path: str, checkpoint: str) -> None:
+    """Note which checkpoint a table belongs to; another one could not know what is in it."""
+    owner = f"{path.rstrip('/')}/_owner"
+    if _there(spark, f"{path.rstrip('/')}/_spark_metadata"):
+        raise ValueError(f"{path} has the log of a file sink, which would hide what is added; use another output")
+    owners = log_lines(spark, owner, "checkpoint")
+    if not owners:
+        log_line(spark, owner, "checkpoint", checkpoint)
+    elif owners != {checkpoint}:
+        raise ValueError(f"{path} is written by a stream with another checkpoint")
+
+
 def owned_by_stream(spark: SparkSession, path: str) -> bool:
-    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_spark_metadata")
-    return log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log)
+    return any(_there(spark, f"{path.rstrip('/')}/{log}") for log in ("_owner", "_spark_metadata"))
 
 
 def level_files(spark: SparkSession, path: str, partition_by: Sequence[str]) -> dict[tuple[int, ...], set[str]]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import Moment, moment
-from tallyhouse.plans.etl import Job, malformed, malformed_path
-from tallyhouse.sources.landing import stream_landing
+from tallyhouse.plans.etl import Job, malformed, malformed_path, table_schema
+from tallyhouse.sources.landing import LANDED, stream_landing
+from tallyhouse.sources.tables import BATCH, log_line, log_lines, own_by_stream, write_table
 
 # Fixed value: how a stored mark is written.
 MARK_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSX"
@@ -15,6 +18,20 @@ MARK_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSX"
 # A backlog is taken in steps of this many files, each committed on its own.
 FILES_PER_BATCH = 10_000
 
+# What the commit log of an upserted table says of a batch.
+STAGED, DONE = "staged", "done"
+
+
+def _each_batch(stream: DataFrame, checkpoint: str, load: Callable[[DataFrame, int], None]) -> None:
+    query = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def _set_aside(raw: DataFrame, job: Job, out: str, batch: int) -> None:
+    """The lines of a batch that are no records, in directories of its own."""
+    lines = malformed(raw, job.feed).withColumn(BATCH, F.lit(batch))
+    write_table(lines, malformed_path(out), [*job.feed.partitions, BATCH], "replace_partitions", regroup=False)
+
 
 def ingest_new_files(
     spark: SparkSession,
@@ -27,26 +44,86 @@ def ingest_new_files(
 ) -> None:
     """Load every landed file not loaded yet, whatever its age, then stop.
 
-    The checkpoint knows the files taken and the sink's log the batches
-    committed, so a run that dies half way, or is repeated, adds each row once.
-    Schedule it as often as wanted; use one checkpoint and output per feed. The
-    output belongs to the stream: its log says which files count, so batch jobs
-    refuse to write there. ``archive`` names a folder that loaded files move to.
+    One stream writes rows and the lines that are no records, so both come from the
+    same files, also when ``archive`` names a folder that loaded files move to. A
+    batch has directories of its own below those of the levels and replaces them
+    when it is repeated, so a run that dies half way adds each row once. Schedule
+    it as often as wanted; use one checkpoint and output per feed. The output
+    belongs to the stream, and batch jobs refuse to write there.
+    """
+    own_by_stream(spark, out, checkpoint)
+
+    def load(raw: DataFrame, batch: int) -> None:
+        rows = job.transform(raw.drop(LANDED)).withColumn(BATCH, F.lit(batch))
+        write_table(rows, out, [*job.feed.partitions, BATCH], "replace_partitions", regroup=False)
+        _set_aside(raw, job, out, batch)
+
+    _each_batch(stream_landing(spark, landing, job.feed, files_per_batch, archive), checkpoint, load)
+
+
+def upsert_new_files(
+    spark: SparkSession,
+    job: Job,
+    key: str,
+    landing: str,
+    out: str,
+    checkpoint: str,
+    files_per_batch: int = FILES_PER_BATCH,
+    archive: str | None = None,
+) -> None:
+    """Load every landed file not loaded yet; a record sent again replaces the older one.
+
+    ``key``, a column or field of the job's table, tells records apart; a row
+    without one is only ever added. Of several in one batch the one whose file is
+    newest counts, of one file any. A record stays in the directory it first came
+    to, and only directories with new or replaced rows are written again.
+
+    A batch writes the new contents of these directories beside the table first and
+    notes that; then it puts them in place and notes that too. A batch that is
+    repeated goes on from what it has noted, so it changes nothing that it has
+    done, however far it came. Finding older rows reads the key column of the table.
     """
-    # Lines that are no records go first, in a stream of their own: the other one may move the files away.
-    broken = malformed(stream_landing(spark, landing, job.feed, files_per_batch), job.feed)
-    rows = job.transform(stream_landing(spark, landing, job.feed, files_per_batch, archive))
-    for stream, path, log in ((broken, malformed_path(out), f"{checkpoint.rstrip('/')}-malformed"), (rows, out, checkpoint)):
-        query = (
-            stream.writeStream.format("parquet")
-            .partitionBy(*job.feed.partitions)
-            .option("compression", "snappy")
-            .option("checkpointLocation", log)
-            .option("path", path)
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+    log, staging = f"{checkpoint.rstrip('/')}-commits", f"{checkpoint.rstrip('/')}-staged"
+    schema = table_schema(spark, job, rest=True)
+    levels = job.feed.partitions
+    own_by_stream(spark, out, checkpoint)
+    write_table(spark.createDataFrame([], schema), out, levels, regroup=False)  # so that there is a table
+
+    def load(raw: DataFrame, batch: int) -> None:
+        spark = raw.sparkSession
+        states = log_lines(spark, log, str(batch))
+        staged = f"{staging}/batch={batch}"
+        if DONE in states:
+            return
+        if STAGED not in states:
+            merged = _merged(spark.read.schema(schema).parquet(out), job.transform(raw), key, levels)
+            merged.select([f.name for f in schema]).write.mode("overwrite").partitionBy(*levels).parquet(staged)
+            _set_aside(raw, job, out, batch)
+            log_line(spark, log, str(batch), STAGED)
+        write_table(spark.read.schema(schema).parquet(staged), out, levels, "replace_partitions", regroup=False)
+        log_line(spark, log, str(batch), DONE)
+
+    _each_batch(stream_landing(spark, landing, job.feed, files_per_batch, archive), checkpoint, load)
+
+
+def _merged(table: DataFrame, rows: DataFrame, key: str, levels: tuple[str, ...]) -> DataFrame:
+    """All rows of the directories that the new rows touch, as they are to be."""
+    own: Column = F.col(key)
+    rows = rows.withColumn("_key", own)
+    columns = [c for c in rows.columns if c not in (LANDED, "_key")]
+    nameless = rows.where("_key IS NULL").select(columns)
+    whole = F.struct(*[F.col(c) for c in columns])
+    latest = rows.where("_key IS NOT NULL").groupBy("_key").agg(F.max_by(whole, LANDED).alias("row"))
+    place = F.struct(*levels)
+    known = table.where(own.isNotNull()).select(own.alias("_key"), place.alias("_place"))
+    first = known.join(latest.select("_key"), "_key").groupBy("_key").agg(F.min("_place").alias("_first"))
+    placed = latest.join(first, "_key", "left").select("_key", "row", F.coalesce("_first", F.struct(*[F.col(f"row.{c}").alias(c) for c in levels])).alias("_first"))
+    fresh = placed.select(*[(F.col(f"_first.{c}") if c in levels else F.col(f"row.{c}")).alias(c) for c in columns]).unionByName(nameless)
+    every = known.join(latest.select("_key"), "_key").select("_place.*").union(fresh.select(*levels))
+    touched = every.distinct()
+    old = table.join(touched, list(levels), "left_semi").withColumn("_key", own)
+    stays = old.join(latest.select("_key"), "_key", "left_anti")  # a null key is equal to none, so it stays
+    return stays.select(columns).unionByName(fresh)
 
 
 def rows_since(df: DataFrame, ts: str, mark: Moment | None) -> DataFrame:

@@ -445,3 +445,109 @@ def test_lines_of_every_kind(spark, tmp_path, rows):
     aside = sorted(r["line"] for r in spark.read.parquet(etl.malformed_path(out)).collect())
     assert aside == sorted(["5", "null", '{"location_name": "cu', '{"location_name": "c", "location_name": "d"}', "3"])
     assert (audit["records"], audit["rows"], audit["malformed"], audit["unparsed_values"]) == (13, 8, 5, 2)
+
+
+def test_no_broken_line_is_lost_with_an_archive(spark, tmp_path):
+    """Files that land while a load goes on, in several batches; what is archived has been read for good."""
+    root, out, checkpoint, archive = (tmp_path / n for n in ("landing", "out", "checkpoint", "archive"))
+    for i in range(5):
+        (root / "year=2024/month=5").mkdir(parents=True, exist_ok=True)
+        (root / f"year=2024/month=5/whole-{i}.json").write_text(json.dumps({"location_name": f"Inn {i}", "roster_cost": i}))
+        (root / f"year=2024/month=5/cut-{i}.json").write_text(f'{{"location_name": "Ba{i}')
+        ingest.ingest_new_files(spark, etl.ROSTERS_JOB, str(root), str(out), str(checkpoint), files_per_batch=1, archive=str(archive))
+    ingest.ingest_new_files(spark, etl.ROSTERS_JOB, str(root), str(out), str(checkpoint), files_per_batch=1, archive=str(archive))
+    loaded = etl.read_table(spark, str(out), etl.ROSTERS_JOB).collect()
+    assert sorted(r["location_name"] for r in loaded) == [f"Inn {i}" for i in range(5)]
+    lines = spark.read.parquet(etl.malformed_path(str(out))).collect()
+    assert sorted(r["line"] for r in lines) == [f'{{"location_name": "Ba{i}' for i in range(5)]
+    assert list(archive.rglob("*.json"))
+
+
+def test_a_batch_that_is_repeated_adds_nothing(spark, tmp_path, sales_landing, monkeypatch):
+    """A run that dies after the rows of its batch were written, before the batch counts as done."""
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+
+    def dies(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "_set_aside", dies)
+        with pytest.raises(Exception, match="lost"):
+            ingest.ingest_new_files(spark, etl.SALES_JOB, str(sales_landing), out, checkpoint)
+    assert spark.read.parquet(out).count() == 3
+    ingest.ingest_new_files(spark, etl.SALES_JOB, str(sales_landing), out, checkpoint)
+    assert etl.read_table(spark, out, etl.SALES_JOB).count() == 3
+
+
+def test_a_table_belongs_to_one_checkpoint(spark, tmp_path, sales_landing):
+    out = str(tmp_path / "out")
+    ingest.ingest_new_files(spark, etl.SALES_JOB, str(sales_landing), out, str(tmp_path / "one"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        ingest.ingest_new_files(spark, etl.SALES_JOB, str(sales_landing), out, str(tmp_path / "two"))
+
+
+def upserted(spark, root, tmp_path, rows):
+    ingest.upsert_new_files(spark, etl.SALES_JOB, "Sales_Details.Transaction_Id", str(root), str(tmp_path / "out"), str(tmp_path / "log" / "checkpoint"))
+    table = etl.read_table(spark, str(tmp_path / "out"), etl.SALES_JOB, rest=True)
+    sale = F.col("Sales_Details")
+    return rows(table.select("day", sale["Transaction_Id"], F.transform(sale["Items"], lambda x: x["Product_Name"]), rest_field(F.col("rest"), "$.till", "string")))
+
+
+def at_day(day, name, *sold):
+    return f"year=2024/month=5/day={day}", venue(*[sale("2024-05-01T10:00:00.123", name, sale_id=i) for i in sold], till=name)
+
+
+def test_a_record_sent_again_replaces_the_older_one(spark, tmp_path, rows):
+    root = tmp_path / "landing"
+    land(root, *at_day(1, "ale", 1, 2, None))
+    land(root, *at_day(2, "ale", 3))
+    land(root, *at_day(3, "ale", 5))
+    first = upserted(spark, root, tmp_path, rows)
+    assert len(first) == 5
+    untouched = {f.name for f in (tmp_path / "out").rglob("day=3/*.parquet")}
+    land(root, *at_day(2, "tea", 1, 4, None))  # the first sale comes again, another day
+    expected = sorted(
+        [(1, 1, ["tea"], "tea"), (1, 2, ["ale"], "ale"), (1, None, ["ale"], "ale"), (2, 3, ["ale"], "ale"), (2, 4, ["tea"], "tea"), (2, None, ["tea"], "tea"), (3, 5, ["ale"], "ale")],
+        key=repr,
+    )
+    assert upserted(spark, root, tmp_path, rows) == upserted(spark, root, tmp_path, rows) == expected
+    assert {f.name for f in (tmp_path / "out").rglob("day=3/*.parquet")} == untouched
+
+
+def test_of_two_in_one_batch_the_newest_file_counts(spark, tmp_path, rows):
+    root = tmp_path / "landing"
+    for k, name in enumerate(("ale", "tea", "gin")):
+        land(root, *at_day(1, name, 1))
+        file = root / f"year=2024/month=5/day=1/part-{k}.json"
+        os.utime(file, (1_700_000_000 + (50 if name == "tea" else k), 1_700_000_000 + (50 if name == "tea" else k)))
+    assert upserted(spark, root, tmp_path, rows) == [(1, 1, ["tea"], "tea")]
+
+
+@pytest.mark.parametrize("step", ["write_table", "log_line"])
+@pytest.mark.parametrize("call", [1, 2, 3])
+def test_an_upsert_that_dies_is_taken_up_again(spark, tmp_path, rows, monkeypatch, step, call):
+    """Wherever it stops, also half way through putting the directories in place, the next run ends with the same rows."""
+    root = tmp_path / "landing"
+    land(root, *at_day(1, "ale", 1, 2, None))
+    land(root, *at_day(2, "ale", 3))
+    upserted(spark, root, tmp_path, rows)
+    land(root, *at_day(2, "tea", 1, 4, None))
+    real, calls = getattr(ingest, step), []
+
+    def dies(*args, **more):
+        calls.append(args)
+        if len(calls) == call + (step == "write_table"):  # the first one only sees to it that there is a table
+            if step == "write_table" and len(args) > 3 and args[1].endswith("/out"):
+                for file in (tmp_path / "out").rglob("day=1/*.parquet"):
+                    file.unlink()  # the directory is gone, the new one not there yet
+            raise RuntimeError("lost")
+        return real(*args, **more)
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, step, dies)
+        try:
+            upserted(spark, root, tmp_path, rows)
+        except Exception as error:
+            assert "lost" in str(error)
+    expected = [(1, 1, ["tea"], "tea"), (1, 2, ["ale"], "ale"), (1, None, ["ale"], "ale"), (2, 3, ["ale"], "ale"), (2, 4, ["tea"], "tea"), (2, None, ["tea"], "tea")]
+    assert upserted(spark, root, tmp_path, rows) == sorted(expected, key=repr)

@@ -242,6 +242,13 @@ ORACLES: dict[str, str] = {
                unnest([0, 0, 0, 0, count(*) FILTER (event_id % 79 = 0)]) AS unread
         FROM events WHERE event_type = 'click'""",
     "incremental_ingest": f"WITH {TIMESHEETS} {TIMESHEET_TEXT}",
+    "upsert_sales": f"""WITH keyed AS (
+          SELECT *, date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS landed, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS id
+          FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+        SELECT year(landed) AS year, month(landed) AS month, 1::bigint AS day, c_nationkey AS venue_id, id AS transaction_id,
+               c_name || CASE WHEN id % 9 = 0 THEN ' *' ELSE '' END AS member_name,
+               CAST(o_totalprice AS {MONEY})::double AS points_balance
+        FROM keyed""",
     "pull_since_mark": """
         SELECT event_type, sum(event_id)::bigint AS id_sum, max(ts) AS next_mark FROM events
         WHERE ts > TIMESTAMP '2024-01-13 20:45:46.150' GROUP BY 1""",

@@ -255,6 +255,27 @@ def incremental_ingest(spark, sf_dir):
     return etl.read_table(spark, out, etl.TIMESHEETS_JOB)
 
 
+@register
+def upsert_sales(spark, sf_dir):
+    """Sales loaded file by file, then one sale in nine sent again with another member name, the next day's directory."""
+    root, out, checkpoint = (fresh_dir(spark, name) for name in ("landing-sales", "sales", "sales-checkpoint"))
+    feed, key = etl.SALES_JOB.feed, "Sales_Details.Transaction_Id"
+    raw = s.raw_sales_keyed(spark, sf_dir)
+    _land(raw, feed, root)
+    ingest.upsert_new_files(spark, etl.SALES_JOB, key, root, out, checkpoint)
+    again = s.corrected_sales(raw)
+    tables.rebalanced(again, feed.partitions).write.mode("append").partitionBy(*feed.partitions).json(root)
+    for _ in range(2):
+        ingest.upsert_new_files(spark, etl.SALES_JOB, key, root, out, checkpoint)
+    sale = F.col("Sales_Details")
+    return etl.read_table(spark, out, etl.SALES_JOB).select(
+        "year", "month", "day", "venue_id",
+        sale["Transaction_Id"].alias("transaction_id"),
+        sale["Member_Name"].alias("member_name"),
+        sale["Member_Points_Balance"].alias("points_balance"),
+    )
+
+
 @register
 def pull_since_mark(spark, sf_dir):
     """Daily sums of the rows after a stored mark, with the mark to store next."""

@@ -114,6 +114,34 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_sales_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one sale each, an order with its id, by landing month; every fifth has no id."""
+    landed = "add_months(trunc(o_orderdate, 'MM'), 1)"
+    sale_id, sold = "CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END", f"""date_format(o_orderdate, "{WITH_MILLIS}")"""
+    item = f"""array(named_struct('Product_Name', o_orderpriority, 'Master_Group_Id', 1,
+        'Quantity', {_money("1")}, 'Total_Inc', {_money("o_totalprice")}))"""
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    sold_by = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return sold_by.selectExpr(
+        "c_nationkey AS venue_id", "n_name AS venue_name", f"array({_sale_struct(sale_id, sold, item)}) AS Sales",
+        f"year({landed}) AS year", f"month({landed}) AS month", f"day({landed}) AS day",
+    )
+
+
+def corrected_sales(raw: DataFrame) -> DataFrame:
+    """Every ninth sale that has an id, with another member name, as it lands a day later."""
+    fixed = "transform(Sales, sale -> named_struct({}))".format(
+        ", ".join(
+            f"'{c}', " + ("concat(sale.Member_Name, ' *')" if c == "Member_Name" else f"sale.{c}")
+            for c in (
+                "Transaction_Id", "Transaction_Date", "Member_Id", "Member_Name",
+                "Member_Account_Balance", "Member_Points_Balance", "Items",
+            )
+        )
+    )
+    return raw.where("Sales[0].Transaction_Id % 9 = 0").selectExpr("venue_id", "venue_name", f"{fixed} AS Sales", "year", "month", "day + 1 AS day")
+
+
 def raw_sales_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records with fields that the feed does not name, at every level; some records lack them."""
     sold_by = "CASE WHEN sale.Transaction_Id div 2 % 4 <> 0 THEN concat('C', sale.Transaction_Id % 50) END"
