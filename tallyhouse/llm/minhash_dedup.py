@@ -2,15 +2,23 @@
 
 A text is the set of its distinct word shingles. Each set has a pool of minhash
 values, and each tree of the forest orders the sets by the pool read from another
-place on. Sets with a common prefix in some order are neighbours, however many they
-are; the prefix asked for is as short as the threshold allows. Neighbours chain
-up to regions, and inside a region every two sets are held against each other in
-full. So minhash only decides who meets: every link is confirmed on whole sets,
-and neighbours met by chance do no harm.
-
-At the threshold a pair shares a prefix in at least one order with a probability
-of all but ``LOST``; more similar pairs miss less. Nothing else keeps a pair
-apart. A crowd makes a region as large as itself, which is compared in tiles.
+place on. Sets that stand together in some order with a long enough common prefix
+are neighbours; the prefix asked for is as short as the threshold allows, so that a
+pair at the threshold shares one in at least one order with a probability of all
+but ``LOST``. Neighbours chain up to regions.
+
+The depth adapts to the region. In one of up to ``BLOCK`` sets every two are held
+against each other in full. In a larger one, such as that of pages with much text
+in common, longer minhash prefixes would need ever more orders to lose nothing.
+So its sets are ordered anew, each by its own shingles with those that are rare in
+the region ahead: a pair at the threshold must share one of the first few, for
+each set as many as it may lack, plus one. That is exact, whatever the order. Sets
+that only share what the whole region does part company, what still hangs together
+is a region of its own, and this goes on while regions fall apart.
+
+Minhash and rare shingles only decide who meets: every link is confirmed on whole
+sets, and neighbours met by chance do no harm. Large regions that remain are
+families of near copies, which are compared in tiles.
 
 Words are runs of anything but ASCII white space, A-Z in lower case. A text with
 fewer words than a shingle has is one shingle; one without words, or null, has none
@@ -36,14 +44,17 @@ from tallyhouse.session import stored
 
 TREES = 40
 LOST = 1e-5  # of the pairs at the threshold, at most
-CROWD = 64  # no longer read: a crowd is linked as any other prefix; a test still sets it
-BLOCK = 256  # sets that are compared in one task; a larger region is cut into tiles of half as many
+BLOCK = 256  # sets that are compared in one task; a larger region is parted, or cut into tiles of half as many
+SEEN = 64  # sets of a region, about, that tell which of its shingles are common; that only steers the order
+PARTED = 0.9  # a larger share of its large regions' sets left in such ones ends the parting
+LONG = 32  # bytes of a word beyond which it has a hash of another kind
 CHUNK = 1 << 20  # bytes of text that are hashed at a time
 
 _random = np.random.default_rng(11)
 _VALUE = _random.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -84,6 +95,9 @@ class Shingler:
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_VALUE[np.where((data >= 65) & (data <= 90), data + 32, data)] * self.ahead[: len(data)], out=sums[1:])
         words = _mixed((sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+        raw = data.tobytes()
+        for i in np.flatnonzero(ends - starts > LONG).tolist():  # long words can be made that sums of powers do not tell apart
+            words[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].translate(_LOWER))
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
         cuts = np.searchsorted(starts, bounds)
         rolled = np.zeros(len(words), np.uint64)
@@ -223,7 +237,7 @@ def _comparing(percent: int):
 
 
 def _regions(classes: DataFrame) -> DataFrame:
-    """``class`` and ``region`` of every class that has a neighbour in some tree."""
+    """``class`` and ``region`` of every class that has a neighbour by one of its keys."""
     forest = classes.select("class", F.explode("near").alias("key"))
     shared = forest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("first")).filter("n > 1")
     shared = stored(shared.select("key", "first"), "prefixes")  # a join on top of a sum cannot be split at a crowded prefix
@@ -231,6 +245,65 @@ def _regions(classes: DataFrame) -> DataFrame:
     return components(links.toDF("a", "b")).toDF("class", "region")
 
 
+def _sized(regions: DataFrame) -> DataFrame:
+    sizes = stored(regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "regions")
+    return stored(regions.join(sizes, "region").select("class", "region", "n"), "members")
+
+
+def _common(rows: pd.DataFrame) -> pd.DataFrame:
+    """The shingles that several of some sets of a region have, and how many do."""
+    values, counts = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["set"]]), return_counts=True)
+    several = counts > 1
+    packed = values[several].tobytes(), counts[several].astype("<u4").tobytes()
+    return pd.DataFrame({"region": rows["region"].iloc[:1], "common": [packed[0]], "counts": [packed[1]]})
+
+
+def rare_first(own: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set, rare ones ahead, as far as a set at the threshold must have one of them too."""
+    weight = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        weight = np.where(common[at] == own, counts[at], 0)
+    lacking = len(own) + (-percent * len(own)) // 100  # how many of them another one may lack
+    return own[np.argsort(weight, kind="stable")[: lacking + 1]]
+
+
+def _rare(percent: int):
+    def keys(batches):
+        for b in sliced(batches, "set"):
+            near = []
+            for region, own, common, counts in zip(*(b.column(c).to_pylist() for c in ("region", "set", "common", "counts")), strict=True):
+                known = np.frombuffer(common or b"", np.uint64), np.frombuffer(counts or b"", "<u4")
+                place = np.uint64(region * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)  # keys of one region are its own
+                near.append(_mixed(rare_first(np.frombuffer(own, np.uint64), *known, percent) ^ place).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(near, pa.list_(pa.int64()))], names=["class", "near"])
+
+    return keys
+
+
+def _parted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Large regions parted by rare shingles: ``class``, ``region`` and ``n`` anew."""
+    one_in = F.ceil(F.col("n") / SEEN).cast("long")
+    some = members.filter(F.pmod(F.xxhash64("class", "region"), one_in) == 0).join(sets, "class")
+    common = stored(some.groupBy("region").applyInPandas(_common, "region long, common binary, counts binary"), "common")
+    with_sets = members.select("class", "region").join(sets, "class").join(common, "region", "left")
+    return _sized(_regions(stored(with_sets.mapInArrow(_rare(percent), "class long, near array<long>"), "rare")))
+
+
+def neighbourhoods(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Regions (``class``, ``region`` and ``n``) as small as rare shingles make them."""
+    large, left = members.filter(F.col("n") > BLOCK), None
+    done = members.filter(F.col("n") <= BLOCK)
+    while (before := large.count() if left is None else left) > 0:
+        fresh = _parted(large, sets, percent)
+        done = done.unionByName(fresh.filter(F.col("n") <= BLOCK))
+        large = fresh.filter(F.col("n") > BLOCK)
+        left = large.count()
+        if left > PARTED * before:
+            break
+    return done.unionByName(large)
+
+
 def minhash_dedup(
     df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -238,8 +311,8 @@ def minhash_dedup(
 
     Sets are linked if their intersection is at least ``percent`` hundredths of
     their union. Only keys and prefixes of all sets are shuffled, and whole texts
-    once, to those classes that have neighbours; sets then go to the tiles of their
-    region. A task returns one link per set that it joined to another.
+    once, to those classes that have neighbours; their sets are stored and go to the
+    tiles of their region. A task returns one link per set that it joined to another.
     """
     depth = first_depth(percent / 100)
     docs = texts(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
@@ -252,20 +325,20 @@ def minhash_dedup(
         .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )
-    regions = _regions(classes.select("class", "near"))
-    tiles = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / (BLOCK // 2))).cast("long")
-    sizes = stored(regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")).select("region", tiles.alias("tiles")), "regions")
-    members = regions.join(sizes, "region").join(classes.select("class", "set_hash", "text_hash"), "class")
-    members = members.withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")))
-    wanted = members.select("class", "set_hash", "text_hash")
-    sets = (
+    members = _sized(_regions(classes.select("class", "near")))
+    wanted = members.select("class").join(classes.select("class", "set_hash", "text_hash"), "class")
+    sets = stored(
         docs.select("text_hash", "text")
         .join(wanted, "text_hash")
         .select("class", "set_hash", "text")
         .mapInArrow(_sets(words), "class long, set binary")
         .groupBy("class")
-        .agg(F.first("set").alias("set"))
+        .agg(F.first("set").alias("set")),
+        "sets",
     )
+    tiles = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / (BLOCK // 2))).cast("long")
+    members = neighbourhoods(members, sets, percent).select("class", "region", tiles.alias("tiles"))
+    members = members.withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")))
     partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     placed = members.select("class", "region", "tile", partner.alias("partner")).join(sets, "class")
     blocks = placed.select(

@@ -175,7 +175,6 @@ def test_near_on_awkward_texts(documents, awkward):
 def test_near_in_a_crowd(documents, monkeypatch):
     """Copies with few to many changes; a region larger than a task compares, in tiles."""
     monkeypatch.setattr(minhash, "BLOCK", 64)
-    monkeypatch.setattr(minhash, "CROWD", 8)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -202,6 +201,58 @@ def test_near_to_a_crowd_only(documents):
     assert by_id(minhash.minhash_dedup(documents(rows), 5, 80)) == expected
 
 
+def test_pages_with_much_text_in_common_part(documents, monkeypatch):
+    """No two of them are near, though neighbours by minhash; among them are families of near copies. Few sets are held together."""
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    rng = random.Random(9)
+    shared, rows = [f"s{i}" for i in range(60)], []
+    for i in range(400):
+        words = shared + [f"p{i}w{j}" for j in range(rng.randint(14, 50))]  # up to some four fifths in common
+        rows.append((1000 + i, " ".join(words)))
+        if i % 20 == 0:
+            for k in range(1, 4):
+                rows.append((5000 + 10 * i + k, " ".join([*words[:-1], f"x{i}k{k}"])))
+    compared, compare = [], minhash.neighbourhoods
+
+    def seen(members, sets, percent):
+        compared.append(members.groupBy("region").count().collect())
+        out = compare(members, sets, percent)
+        compared.append(out.groupBy("region").count().collect())
+        return out
+
+    monkeypatch.setattr(minhash, "neighbourhoods", seen)
+    expected = sorted(near(rows, 5, 80), key=repr)
+    assert by_id(minhash.minhash_dedup(documents(rows), 5, 80)) == expected
+    first, last = ([r["count"] for r in sizes] for sizes in compared)
+    assert max(first) > 300
+    assert sum(n * n for n in last) < 0.1 * sum(n * n for n in first)
+
+
+def test_rare_shingles_lose_no_pair():
+    """Whatever is taken for common, sets at the threshold share one of the first shingles."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        percent = int(rng.integers(50, 100))
+        pool = np.unique(rng.integers(0, 400, 300).astype(np.uint64))
+        a = np.unique(rng.choice(pool, rng.integers(1, 120)))
+        b = np.unique(np.concatenate([rng.choice(a, rng.integers(1, len(a) + 1)), rng.choice(pool, rng.integers(0, 9))]))
+        common = np.unique(rng.choice(pool, 100))
+        counts = rng.integers(2, 60, len(common))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            assert len(np.intersect1d(minhash.rare_first(a, common, counts, percent), minhash.rare_first(b, common, counts, percent)))
+
+
+def test_long_words_are_told_apart(documents):
+    """A word of 2,048 letters and its complement, which running sums of powers take for equal."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"one {word} two"), (4, f"one {other} two"), (5, word.upper())]
+    assert by_id(minhash.minhash_dedup(documents(rows), 3, 85)) == sorted(near(rows, 3, 85), key=repr)
+
+
 def test_prefix_length_follows_the_threshold():
     assert minhash.first_depth(0.85) > minhash.first_depth(0.8) > minhash.first_depth(0.5) >= 1
     assert (1 - 0.85 ** minhash.first_depth(0.85)) ** minhash.TREES <= minhash.LOST
