@@ -32,7 +32,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their spellings are ordinary text
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]  # ids of their own, wherever they stand
         words = self.library.get_vocab()
         if len(words) > 1 << 16:
             raise ValueError("ids are kept in two bytes")
@@ -70,8 +70,10 @@ class WordEncoder:
         for i, text in enumerate(texts):
             for part in _parts(text):
                 try:
+                    if any(word in part for word in self.special):
+                        raise ValueError
                     held.append((i, part.lower().encode("latin-1")))
-                except UnicodeEncodeError:  # any other letters: the library sees the text as it is
+                except ValueError:  # special spellings, or any other letters: the library sees the text as it is
                     flush()
                     ids = self.library.encode(part, add_special_tokens=False).ids
                     packed[i].append(np.array(ids, "<u2").tobytes())
