@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.calendar import Moment, moment
+from tallyhouse.functions.calendar import Moment, as_moment, moment
 from tallyhouse.plans.etl import Job, malformed, malformed_path, table_schema
-from tallyhouse.sources.landing import LANDED, stream_landing
+from tallyhouse.sources.landing import ANY_AGE, LANDED, stream_landing
 from tallyhouse.sources.tables import BATCH, log_line, log_lines, own_by_stream, write_table
 
 # Fixed value: how a stored mark is written.
@@ -134,8 +135,8 @@ def rows_since(df: DataFrame, ts: str, mark: Moment | None) -> DataFrame:
 def next_mark(df: DataFrame, ts: str) -> DataFrame:
     """A single row with the mark to store after loading ``df``.
 
-    A row landing late with a time before the mark is not seen again; where
-    that can happen load by file instead.
+    A row that appears late, with a time before the mark, is not in the next pull;
+    where that can happen use ``overlapping`` pulls, or load by file.
     """
     return df.agg(F.max(ts).alias("mark"))
 
@@ -150,3 +151,34 @@ def write_mark(mark: DataFrame, path: str) -> None:
     """Add a mark; earlier ones stay, so a failed write never loses the last."""
     text = F.concat(F.date_format("mark", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("Z"))
     mark.where("mark IS NOT NULL").select(text.alias("value")).write.mode("append").text(path)
+
+
+def overlapping(df: DataFrame, ts: str, mark: Moment | None, reach: timedelta) -> DataFrame:
+    """Rows since ``reach`` before the last run's mark: late ones, and others that were pulled before."""
+    return df if mark is None else df.where(F.col(ts) > moment(as_moment(mark) - reach))
+
+
+def ingest_pulls(
+    spark: SparkSession, pulls: str, schema: str, key: str, ts: str, overlap: timedelta, out: str, checkpoint: str
+) -> None:
+    """Add the rows of landed pulls to a table, each once, then stop.
+
+    Pulls overlap, so a row comes as often as it lies within their reach. Its key is
+    remembered in the stream's state until the newest time seen is more than
+    ``overlap`` past its own; by then a row of that time counts as too late, whether
+    it was loaded or not. So state holds the keys of one overlap, however long the
+    table is. Let pulls reach back at least as far as the overlap; what they bring
+    that is older and was not loaded is in ``missed_rows``.
+    """
+    rows = spark.readStream.schema(schema).option("maxFileAge", ANY_AGE).parquet(pulls)
+    late = f"{int(overlap.total_seconds() * 1000)} milliseconds"
+    # A watermark needs an instant; the zone of the session is that of the rows' clock.
+    timed = rows.withColumn("_instant", F.col(ts).cast("timestamp_ltz")).withWatermark("_instant", late)
+    once = timed.dropDuplicatesWithinWatermark([key]).drop("_instant")
+    query = once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def missed_rows(pulled: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
+    """Rows that pulls have brought too late to be loaded, each once."""
+    return pulled.join(loaded.select(key), key, "left_anti").dropDuplicates([key])

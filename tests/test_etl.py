@@ -1,6 +1,6 @@
 import json
 import os
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -551,3 +551,27 @@ def test_an_upsert_that_dies_is_taken_up_again(spark, tmp_path, rows, monkeypatc
             assert "lost" in str(error)
     expected = [(1, 1, ["tea"], "tea"), (1, 2, ["ale"], "ale"), (1, None, ["ale"], "ale"), (2, 3, ["ale"], "ale"), (2, 4, ["tea"], "tea"), (2, None, ["tea"], "tea")]
     assert upserted(spark, root, tmp_path, rows) == sorted(expected, key=repr)
+
+
+def test_overlapping_pulls_lose_no_late_row(spark, tmp_path):
+    """A row late by less than the overlap comes once, however often it is pulled; a later one is told."""
+    pulls, out, checkpoint = (str(tmp_path / n) for n in ("pulls", "out", "checkpoint"))
+    schema = "id bigint, at timestamp_ntz, amount int"
+    begin = datetime(2024, 5, 1)
+
+    def pull(*hours):
+        rows = [(h, begin + timedelta(hours=h), 1) for h in hours]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(pulls)
+        ingest.ingest_pulls(spark, pulls, schema, "id", "at", timedelta(hours=10), out, checkpoint)
+        loaded = spark.read.schema(schema).parquet(out)
+        missed = ingest.missed_rows(spark.read.schema(schema).parquet(pulls), loaded, "id")
+        return sorted(r["id"] for r in loaded.collect()), sorted(r["id"] for r in missed.collect())
+
+    assert pull(0, 20) == ([0, 20], [])
+    assert pull(12, 20, 0, 12) == ([0, 12, 20], [])  # eight hours late, twice in one pull
+    assert pull(12, 3, 30) == ([0, 12, 20, 30], [3])  # seventeen hours late
+    assert pull() == ([0, 12, 20, 30], [3])
+    assert pull(21, 30, 25, 3, 20) == ([0, 12, 20, 21, 25, 30], [3])
+    df = spark.createDataFrame([(1, begin), (2, begin + timedelta(hours=3))], "id bigint, at timestamp_ntz")
+    assert ingest.overlapping(df, "at", None, timedelta(hours=1)).count() == 2
+    assert [r["id"] for r in ingest.overlapping(df, "at", begin + timedelta(hours=4), timedelta(hours=2)).collect()] == [2]

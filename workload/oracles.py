@@ -181,6 +181,24 @@ def auto_grain(grain: str, start: str, end: str) -> str:
       FROM sw FULL JOIN r ON sw.p = r.p"""
 
 
+def _pulls(times: tuple[str, ...]) -> str:
+    """Each pull has what was there and lies within nine days of the newest row loaded; too late is what lies two days behind the newest pulled."""
+    parts = [
+        """seen AS (SELECT *, ts + (CASE WHEN event_id % 97 = 5 THEN 7 WHEN event_id % 10 = 3 THEN 1 ELSE 0 END) * INTERVAL 1 DAY AS seen_at
+            FROM events)""",
+        f"p0 AS (SELECT *, true AS fits FROM seen WHERE seen_at <= TIMESTAMP '{times[0]}')",
+    ]
+    for k, at in enumerate(times[1:], 1):
+        before = " UNION ALL ".join(f"SELECT ts FROM p{i}" for i in range(k))
+        parts.append(f"m{k} AS (SELECT max(ts) AS newest FROM ({before}))")
+        parts.append(f"""p{k} AS (SELECT seen.*, ts > newest - INTERVAL 2 DAY AS fits FROM seen, m{k}
+            WHERE seen_at <= TIMESTAMP '{at}' AND ts > newest - INTERVAL 9 DAY)""")
+    every = " UNION ALL ".join(f"SELECT event_id, event_type, fits FROM p{i}" for i in range(len(times)))
+    return f"""WITH {', '.join(parts)}, rows AS (SELECT event_id, event_type, bool_or(fits) AS fits FROM ({every}) GROUP BY 1, 2)
+        SELECT event_type, count(*) FILTER (fits) AS loaded, sum(event_id) FILTER (fits)::bigint AS id_sum,
+               count(*) FILTER (NOT fits) AS missed FROM rows GROUP BY 1"""
+
+
 STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 FIRST_FENCED = "split_part(text, '```', 2)"
 BODY = f"CASE WHEN contains(text, '```') THEN {FIRST_FENCED} ELSE text END"
@@ -249,6 +267,7 @@ ORACLES: dict[str, str] = {
                c_name || CASE WHEN id % 9 = 0 THEN ' *' ELSE '' END AS member_name,
                CAST(o_totalprice AS {MONEY})::double AS points_balance
         FROM keyed""",
+    "pull_overlapping": _pulls(("2024-01-08 00:00:00", "2024-01-09 12:00:00", "2024-01-16 06:00:00", "2024-03-01 00:00:00")),
     "pull_since_mark": """
         SELECT event_type, sum(event_id)::bigint AS id_sum, max(ts) AS next_mark FROM events
         WHERE ts > TIMESTAMP '2024-01-13 20:45:46.150' GROUP BY 1""",

@@ -7,6 +7,7 @@ print them alike; everything else is the operator's own result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -289,6 +290,29 @@ def pull_since_mark(spark, sf_dir):
     )
 
 
+PULLED_AT = ("2024-01-08 00:00:00", "2024-01-09 12:00:00", "2024-01-16 06:00:00", "2024-03-01 00:00:00")
+
+
+@register
+def pull_overlapping(spark, sf_dir):
+    """Events pulled four times, a day's and a week's delay among them: what was loaded, once each, and what came too late."""
+    landed, out, checkpoint = (fresh_dir(spark, name) for name in ("pulls", "events", "events-checkpoint"))
+    schema, mark = s.SCHEMAS["events"], None
+    for at in PULLED_AT:
+        there = s.events_seen(spark, sf_dir).where(F.col("seen_at") <= F.lit(at).cast("timestamp_ntz")).drop("seen_at")
+        ingest.overlapping(there, "ts", mark, timedelta(days=9)).write.mode("append").parquet(landed)
+        ingest.ingest_pulls(spark, landed, schema, "event_id", "ts", timedelta(days=2), out, checkpoint)
+        mark = ingest.next_mark(spark.read.schema(schema).parquet(out), "ts").first()["mark"]
+    loaded, pulled = (spark.read.schema(schema).parquet(path) for path in (out, landed))
+    rows = loaded.select("event_type", "event_id", F.lit(0).alias("late"))
+    rows = rows.unionByName(ingest.missed_rows(pulled, loaded, "event_id").select("event_type", "event_id", F.lit(1).alias("late")))
+    return rows.groupBy("event_type").agg(
+        F.count_if(F.col("late") == 0).alias("loaded"),
+        F.sum(F.when(F.col("late") == 0, F.col("event_id"))).alias("id_sum"),
+        F.count_if(F.col("late") == 1).alias("missed"),
+    )
+
+
 # --- jobs --------------------------------------------------------------------
 
 

@@ -265,6 +265,12 @@ def egm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the time a pull can first see them: one in ten a day late, one in 97 a week."""
+    delay = "CASE WHEN event_id % 97 = 5 THEN 7 WHEN event_id % 10 = 3 THEN 1 ELSE 0 END"
+    return table(spark, sf_dir, "events").selectExpr("*", f"ts + ({delay}) * INTERVAL '1' DAY AS seen_at")
+
+
 def user_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A role per supplier number; most users of the events have none."""
     return table(spark, sf_dir, "supplier").selectExpr(
