@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -158,3 +159,27 @@ def test_search_saves_whole_versions(spark, monkeypatch):
     assert len(last) == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
     assert older.keys() == replaced.keys() == last.keys()
     assert all(older[i] != v and replaced[i] != v for i, v in last.items())
+
+
+@pytest.mark.parametrize("chunk", [7, 64, 1 << 20])
+def test_any_range_of_the_context(spark, tmp_path, chunk):
+    """Whole, parts of characters, ranges beyond the end, repeated and empty documents, one id on a third of all rows."""
+    rng = random.Random(chunk)
+    texts = [(i if i % 3 else 9, rng.choice(["", "é" * 9, "a\n  b", "{日本}"]) + str(i)) for i in range(90)] + [(5, "twice"), (5, "twice"), (None, "no id"), (7, None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)
+    context.write_addressable(docs, str(tmp_path / "context"), chunk)
+    places = context.document_places(docs).orderBy("begin").collect()
+    assert [r["doc_id"] for r in places] == sorted((i for i, t in texts if t is not None), key=lambda i: (i is not None, i or 0))
+    whole_size = places[-1]["begin"] + places[-1]["size"]
+    asked = [(0, 0, whole_size + 50), (1, 5, 6), (2, 9, 9), (3, whole_size + 5, whole_size + 9)]
+    asked += [(10 + k, a := rng.randint(0, whole_size), a + rng.randint(1, 200)) for k in range(20)]
+    ranges = spark.createDataFrame(asked, "range_id bigint, begin bigint, stop bigint")
+    found = {r["range_id"]: bytes(r["bytes"]) for r in context.read_ranges(spark, str(tmp_path / "context"), ranges, chunk).collect()}
+    whole = found[0]
+    assert len(whole) == whole_size
+    flat = [r["text"] for r in context.flatten_documents(docs).collect() if r["text"] is not None]
+    assert sorted(whole.decode().removesuffix("\n").split("\n")) == sorted(flat)
+    assert {i: b for i, b in found.items() if b} == {i: whole[a:b] for i, a, b in asked if whole[a:b]}
+    pages = context.context_pages(docs, page_docs=10).orderBy("page").collect()
+    assert [p["docs"] for p in pages] == [10] * 9 + [3]
+    assert "\n".join(p["context"] for p in pages) + "\n" == whole.decode()

@@ -401,6 +401,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id // 64 AS page, count(*)::int AS docs,
                string_agg({flat('text')}, chr(10) ORDER BY doc_id) AS context
         FROM docs GROUP BY 1""",
+    "context_ranges": f"""WITH {DOCS},
+        flat AS MATERIALIZED (SELECT doc_id, {flat('text')} || chr(10) AS text FROM docs),
+        placed AS MATERIALIZED (
+          SELECT doc_id, hex(encode(text)) AS own, (sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text))::bigint AS begin FROM flat),
+        pairs AS (SELECT p.doc_id, q.begin AS start, q.own, greatest(p.begin - 1000, 0) AS a, p.begin + 1000 AS b
+                  FROM placed p JOIN placed q ON q.begin < p.begin + 1000 AND q.begin + length(q.own) // 2 > greatest(p.begin - 1000, 0)
+                  WHERE p.doc_id % 20 = 0),
+        cut AS (SELECT doc_id, start, substr(own, 2 * (greatest(a, start) - start) + 1, 2 * (least(b, start + length(own) // 2) - greatest(a, start))) AS part
+                FROM pairs)
+        SELECT doc_id, string_agg(part, '' ORDER BY start) AS bytes, (sum(length(part)) // 2)::bigint AS n FROM cut GROUP BY doc_id""",
     "whole_file_documents": f"""WITH {DOCS},
         files AS (SELECT doc_id // 64 AS page, string_agg(text, chr(10) ORDER BY doc_id) AS text
                   FROM docs GROUP BY 1)

@@ -649,6 +649,18 @@ def document_context(spark, sf_dir):
     return context.context_pages(s.indented_documents(spark, sf_dir))
 
 
+@register
+def context_ranges(spark, sf_dir):
+    """Two thousand bytes around the beginning of every twentieth document, out of the stored whole context."""
+    path, docs = fresh_dir(spark, "context"), s.indented_documents(spark, sf_dir)
+    context.write_addressable(docs, path, chunk=1 << 20)
+    places = context.document_places(docs).where("doc_id % 20 = 0")
+    begin = F.greatest(F.col("begin") - 1000, F.lit(0))
+    ranges = places.select(F.col("doc_id").alias("range_id"), begin.alias("begin"), (F.col("begin") + 1000).alias("stop"))
+    found = context.read_ranges(spark, path, ranges, chunk=1 << 20)
+    return found.select(F.col("range_id").alias("doc_id"), F.octet_length("bytes").cast("bigint").alias("n"), F.hex("bytes").alias("bytes"))
+
+
 @register
 def whole_file_documents(spark, sf_dir):
     """Pages of documents as files, each read as one text and flattened."""
