@@ -183,3 +183,45 @@ def test_any_range_of_the_context(spark, tmp_path, chunk):
     pages = context.context_pages(docs, page_docs=10).orderBy("page").collect()
     assert [p["docs"] for p in pages] == [10] * 9 + [3]
     assert "\n".join(p["context"] for p in pages) + "\n" == whole.decode()
+
+
+def test_changes_to_versions(spark, tmp_path):
+    """Added, replaced, removed, added again; read by version, folded, and changed after that."""
+    root, schema = str(tmp_path / "store"), "vec_id bigint, embedding array<float>, label int"
+
+    def some(**rows):
+        return spark.createDataFrame([(int(k[1:]), [float(v)], v) for k, v in rows.items()], schema)
+
+    def held(as_of=None):
+        loaded = snapshots.load_vectors(spark, root, "m", as_of)
+        assert loaded.columns == ["vec_id", "embedding", "label", "model_id", "version"]
+        return {r["vec_id"]: r["label"] for r in loaded.collect()}
+
+    none = some(v0=0).limit(0)
+    snapshots.save_vectors(some(v1=1, v2=2, v3=3), root, "m", "2024-05-01 00:00:00")
+    snapshots.save_vectors(some(v9=9), root, "other", "2024-06-01 00:00:00")
+    snapshots.save_changes(some(v2=22, v4=4), some(v3=0, v8=0), root, "m", "2024-05-02 00:00:00")
+    snapshots.save_changes(some(v3=33), some(v2=0), root, "m", "2024-05-03 00:00:00")
+    snapshots.save_changes(some(v2=222, v1=11), some(v1=0), root, "m", "2024-05-03 00:00:00")  # the same version once more
+    latest = {1: 11, 2: 222, 3: 33, 4: 4}
+    assert held("2024-05-01 12:00:00") == {1: 1, 2: 2, 3: 3}
+    assert held("2024-05-02 00:00:00") == {1: 1, 2: 22, 4: 4}
+    assert held() == latest
+    assert snapshots.fold_vectors(spark, root, "m") == "20240503000000"
+    assert held() == latest and held("2024-05-02 00:00:00") == {1: 1, 2: 22, 4: 4}
+    snapshots.save_changes(none, some(v1=0, v2=0, v3=0, v4=0), root, "m", "2024-05-04 00:00:00")
+    assert held() == {}
+    assert snapshots.fold_vectors(spark, root, "m") == "20240504000000"
+    assert held() == {} and held("2024-05-03 00:00:00") == latest
+    snapshots.save_changes(some(v5=5), none, root, "m", "2024-05-05 00:00:00")
+    assert held() == {5: 5}
+
+
+def test_changes_that_fail_are_not_listed(spark, tmp_path):
+    root = str(tmp_path / "store")
+    v = spark.createDataFrame([(1, [1.0])], "vec_id bigint, embedding array<float>")
+    snapshots.save_vectors(v, root, "m", "2024-05-13 20:45:46")
+    broken = v.selectExpr("vec_id", "if(vec_id = 1, raise_error('lost'), embedding) AS embedding")
+    with pytest.raises(Exception, match="lost"):
+        snapshots.save_changes(broken, v, root, "m", "2024-05-14 00:00:00")
+    assert [r["vec_id"] for r in snapshots.load_vectors(spark, root, "m").collect()] == [1]

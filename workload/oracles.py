@@ -427,6 +427,16 @@ ORACLES: dict[str, str] = {
           SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank
           FROM asked, embeddings v, LATERAL (SELECT list_distance(e, v.embedding::double[]) AS d))
         WHERE rank <= 3""",
+    "embedding_changes": """
+        WITH asked AS (SELECT vec_id AS query_id, embedding::double[] AS e FROM embeddings WHERE vec_id % 20 = 0),
+        first AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding::double[], lambda x: -x) ELSE embedding::double[] END AS v
+                  FROM embeddings WHERE vec_id % 11 <> 0 OR vec_id % 7 = 0),
+        second AS (SELECT vec_id, v FROM first WHERE vec_id % 13 <> 0 AND vec_id % 22 <> 0
+                   UNION ALL SELECT vec_id, embedding::double[] FROM embeddings WHERE vec_id % 22 = 0)
+        SELECT '20240602080000' AS version, query_id, vec_id, round(d, 6) AS distance, rank::int AS rank FROM (
+          SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank
+          FROM asked, second, LATERAL (SELECT list_distance(e, v) AS d))
+        WHERE rank <= 3""",
     "embedding_snapshot": """
         SELECT 'text:v1' AS model_id, '20240602080000' AS version, vec_id, label + 100 AS label,
                embedding[1]::double AS first FROM embeddings""",

@@ -722,6 +722,21 @@ def embedding_search(spark, sf_dir):
     return found.withColumn("distance", F.round("distance", 6)).withColumn("version", version.scalar())
 
 
+@register
+def embedding_changes(spark, sf_dir):
+    """A whole version, two sets of changes, folded into one, and its neighbours of the query set."""
+    root = fresh_dir(spark, "vectors")
+    vectors = s.table(spark, sf_dir, "embeddings")
+    turned = vectors.where("vec_id % 7 = 0").withColumn("embedding", F.transform("embedding", lambda x: (-x).cast("float")))
+    snapshots.save_vectors(vectors, root, "text:v1", "2024-05-13 20:45:46")
+    snapshots.save_changes(turned, vectors.where("vec_id % 11 = 0"), root, "text:v1", "2024-05-20 08:00:00")
+    snapshots.save_changes(vectors.where("vec_id % 22 = 0"), vectors.where("vec_id % 13 = 0"), root, "text:v1", "2024-06-02 08:00:00")
+    snapshots.fold_vectors(spark, root, "text:v1")
+    loaded = snapshots.load_vectors(spark, root, "text:v1")
+    found = nearest.nearest(loaded.select("vec_id", "embedding"), _asked(vectors), 3)
+    return found.withColumn("distance", F.round("distance", 6)).withColumn("version", loaded.select("version").distinct().scalar())
+
+
 @register
 def embedding_snapshot(spark, sf_dir):
     """Two versions of one model and one of another; the latest is loaded."""
