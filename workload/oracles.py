@@ -366,6 +366,14 @@ ORACLES: dict[str, str] = {
     "auto_grain_total": auto_grain("total", "1999-12-01", "2000-05-17"),
     "auto_grain_day": auto_grain("day", "2000-01-01", "2000-01-31"),
     "auto_grain_hour": auto_grain("hour", "2000-01-17", "2000-01-17"),
+    "rollup_ranges": f"""WITH {ITEMS}, {ROSTERS}, {TIMESHEETS},
+        asked AS (SELECT k AS range_id, 'NATION_' || (k % 25) AS venue, a, a + k * k // 2 * INTERVAL 1 DAY + (11 * k + 5) * INTERVAL 1 MINUTE AS b
+                  FROM (SELECT k, TIMESTAMP '1996-01-01 00:07:00' + 29 * k * INTERVAL 1 DAY + 37 * k * INTERVAL 1 MINUTE AS a FROM range(50) t(k)))
+        SELECT range_id,
+               (SELECT coalesce(sum(total_inc), 0) FROM items WHERE venue_name = venue AND transaction_date >= a AND transaction_date < b)::double AS sales,
+               (SELECT coalesce(sum(timesheet_cost), 0) FROM timesheets WHERE location_name = venue AND timesheet_date >= a AND timesheet_date < b)::double AS timesheet_wages,
+               (SELECT coalesce(sum(roster_cost), 0) FROM rosters WHERE location_name = venue AND roster_start_time >= a AND roster_start_time < b)::double AS roster_wages
+        FROM asked""",
     "dashboard_daily": f"""WITH {ITEMS}, {ROSTERS}, {TIMESHEETS}, {EGM},
         s AS (SELECT venue_name AS v, CAST(transaction_date AS date) AS d, sum(total_inc) AS c FROM items
               WHERE {within("transaction_date", "1995-01-01", "2001-12-31")} GROUP BY 1, 2),

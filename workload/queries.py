@@ -7,7 +7,7 @@ print them alike; everything else is the operator's own result.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tallyhouse.functions import calendar, hours, rest, text, timeparse
 from tallyhouse.operators import access, context, items, nearest, shifts, snapshots, vector_index
-from tallyhouse.plans import dashboard, etl, grain, reports
+from tallyhouse.plans import dashboard, etl, grain, reports, rollup
 from tallyhouse.plans.sql_surface import run_sql
 from tallyhouse.plans.worked_sql import WORKED_SQL, per_hour
 from tallyhouse.session import configure, fresh_dir
@@ -554,6 +554,18 @@ def auto_grain_report(spark, sf_dir):
     return whole.unionByName(daily).unionByName(hourly)
 
 
+@register
+def rollup_ranges(spark, sf_dir):
+    """Fifty ranges of minutes to years out of stored sums."""
+    path = fresh_dir(spark, "rollups")
+    feeds = rollup.Feeds(_items(spark, sf_dir), s.timesheets(spark, sf_dir), s.rosters(spark, sf_dir))
+    rollup.build_rollups(feeds, path)
+    begin = datetime(1996, 1, 1, 0, 7)
+    starts = [begin + timedelta(days=29 * k, minutes=37 * k) for k in range(50)]
+    ranges = [rollup.Range(k, f"NATION_{k % 25}", a, a + timedelta(days=k * k // 2, minutes=11 * k + 5)) for k, a in enumerate(starts)]
+    return rollup.range_totals(spark, path, feeds, ranges)
+
+
 @register
 def dashboard_daily(spark, sf_dir):
     return dashboard.dashboard_daily(
