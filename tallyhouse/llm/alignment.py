@@ -45,9 +45,9 @@ from tallyhouse.llm.perfect_hash import build, numbers, verified
 from tallyhouse.session import stored
 
 SHARDS = 128  # of B ids
-BLOCK = 8 << 20  # bytes of text in a block
+BLOCK = 4 << 20  # bytes of text in a block
 FAN = 512  # vectors that one step of a tree takes
-KEPT = 1 << 19  # units whose alignment a worker remembers
+KEPT = 3 << 17  # units whose alignment a worker remembers
 LONGEST = 64  # characters of such a unit
 TOGETHER = 4096  # units that are encoded in one call
 _CUT = re.compile(r"(?<=\S)(?= )")
