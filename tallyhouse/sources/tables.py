@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def rebalanced(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
@@ -175,3 +178,52 @@ def register_lake(
 def _location(spark: SparkSession, table: str) -> str:
     described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()
     return described["data_type"].removeprefix("file:").rstrip("/")
+
+
+# What a compaction aims at, and below half of which a file is small.
+FILE_BYTES = 128 << 20
+
+
+def directory_files(table: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """A row per directory of a table that rows were found in: its files, its bytes and how many of its files are small.
+
+    The tasks that read a file tell its size, without reading a column, so nobody
+    lists the table beyond what a scan of it needs.
+    """
+    files = table.select(*partition_by, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    sizes = files.groupBy(*partition_by, "file").agg(F.max("bytes").alias("bytes"))
+    return sizes.groupBy(*partition_by).agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("bytes").alias("bytes"),
+        F.count_if(F.col("bytes") < F.lit(FILE_BYTES // 2)).alias("small"),
+    )
+
+
+def compact_lake(spark: SparkSession, table: str, location: str, at_least: int = 2) -> int:
+    """Merge the files of those directories of a catalog table that have ``at_least`` small ones; how many directories that were.
+
+    Their rows are written to directories of their own below ``location``; then the
+    catalog points each partition there. Until that moment readers find the old
+    files, after it the new ones with the same rows, and a reader that is under way
+    keeps the old ones, which stay. A run that dies before it is done leaves files
+    that nothing points to. Directories without small files are not touched.
+    """
+    levels = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    frame = spark.table(table)
+    found = directory_files(frame, levels).where(F.col("small") >= at_least).select(levels)
+    chosen = [tuple(r) for r in found.collect()]  # a row for each directory that will be moved
+    if not chosen:
+        return 0
+    path = f"{location.rstrip('/')}/compaction={uuid.uuid4().hex}"
+    wanted = F.broadcast(spark.createDataFrame(chosen, T.StructType([frame.schema[c] for c in levels])))
+    write_table(frame.join(wanted, levels, "left_semi").select(frame.columns), path, levels, regroup=True)
+    folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")
+    for *values, folder in spark.read.schema(frame.schema).parquet(path).select(*levels, folder).distinct().collect():
+        spec = ", ".join(f"`{c}` = {_literal(v)}" for c, v in zip(levels, values, strict=True))
+        spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET LOCATION {_quoted(unquote(folder))}")
+    spark.catalog.refreshTable(table)
+    return len(chosen)
+
+
+def _literal(value: object) -> str:
+    return _quoted(value) if isinstance(value, str) else str(value)

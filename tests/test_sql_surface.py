@@ -90,3 +90,25 @@ def test_tables_by_their_full_name(spark, tmp_path):
         )
     assert spark.sql("SELECT count(*) FROM lake_db.plain").first()[0] == 3
     assert spark.sql("SELECT count(*) FROM lake_db.levelled WHERE month = 1").first()[0] == 2
+
+
+def test_compaction_by_size(spark, tmp_path):
+    """Only directories with small files are written again; a reader under way and one that begins later find the same rows."""
+    path = tmp_path / "t"
+    df = spark.range(600).selectExpr("id", "parse_json(concat('{\"a\":', id, '}')) AS rest", "2024 AS year", "concat('m ', id % 3, '/x') AS month")
+    df.where("month <> 'm 2/x'").repartition(5).write.partitionBy("year", "month").parquet(str(path))
+    df.where("month = 'm 2/x'").coalesce(1).write.mode("append").partitionBy("year", "month").parquet(str(path))
+    tables.register_lake(spark, "compact_db", str(tmp_path / "db"), {"t": str(path)})
+    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    reader = spark.table("compact_db.t")
+    assert reader.count() == 600
+    files = {r["month"]: (r["files"], r["small"]) for r in tables.directory_files(reader, ["year", "month"]).collect()}
+    assert files == {"m 0/x": (5, 5), "m 1/x": (5, 5), "m 2/x": (1, 1)}
+    assert tables.compact_lake(spark, "compact_db.t", str(tmp_path / "compacted")) == 2
+    assert {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")} == before
+    rows = spark.table("compact_db.t").selectExpr("id", "month", "variant_get(rest, '$.a', 'bigint') AS a").collect()
+    assert sorted((r["id"], r["month"], r["a"]) for r in rows) == [(i, f"m {i % 3}/x", i) for i in range(600)]
+    assert reader.count() == 600
+    files = {r["month"]: r["files"] for r in tables.directory_files(spark.table("compact_db.t"), ["year", "month"]).collect()}
+    assert files == {"m 0/x": 1, "m 1/x": 1, "m 2/x": 1}
+    assert tables.compact_lake(spark, "compact_db.t", str(tmp_path / "compacted")) == 0

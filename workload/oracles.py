@@ -392,6 +392,10 @@ ORACLES: dict[str, str] = {
                coalesce(planned, 0)::double AS roster_cost, coalesce(e.c, 0)::double AS egm_turnover,
                coalesce(e.c2, 0)::double AS egm_wins
         FROM st_r x FULL JOIN e ON x.v = e.v AND x.d = e.d""",
+    "compacted_rosters": f"""WITH {ROSTERS}
+        SELECT year(roster_start_time) AS year, month(roster_start_time) AS month, count(*) AS shifts, sum(roster_cost)::double AS cost,
+               1 AS files, true AS scattered
+        FROM rosters GROUP BY 1, 2""",
     "sql_lake_tables": f"""WITH {ROSTERS}, loaded AS ({ROSTER_TEXT}),
         planned AS (SELECT location_name, Roster_Start_Time AS a, Roster_End_Time AS b, roster_cost AS cost
                     FROM loaded WHERE Roster_End_Time IS NOT NULL AND location_name = 'NATION_2')

@@ -635,6 +635,23 @@ def sql_lake_tables(spark, sf_dir):
     return _ask(spark, HOURLY_PLAN, location=VENUE, start="1900-01-01", stop="2100-01-01")
 
 
+@register
+def compacted_rosters(spark, sf_dir):
+    """Rosters in many small files, merged where the catalog points to; cost and files by month."""
+    out, lake = fresh_dir(spark, "rosters"), fresh_dir(spark, "lake")
+    keyed = s.rosters(spark, sf_dir).selectExpr("*", "year(roster_start_time) AS year", "month(roster_start_time) AS month")
+    keyed.repartition(6).write.partitionBy("year", "month").parquet(out)
+    tables.register_lake(spark, "venue_lake", lake, {"scattered": out})
+    before = tables.directory_files(spark.table("venue_lake.scattered"), ["year", "month"]).selectExpr("year", "month", "files > 1 AS scattered")
+    path = fresh_dir(spark, "files-before")
+    before.write.parquet(path)
+    tables.compact_lake(spark, "venue_lake.scattered", f"{lake}/compacted")
+    whole = spark.table("venue_lake.scattered")
+    sums = whole.groupBy("year", "month").agg(F.count(F.lit(1)).alias("shifts"), F.sum("roster_cost").alias("cost"))
+    files = tables.directory_files(whole, ["year", "month"]).select("year", "month", "files")
+    return sums.join(files, ["year", "month"]).join(spark.read.parquet(path), ["year", "month"])
+
+
 # --- text, vectors, access ---------------------------------------------------
 
 
