@@ -463,6 +463,7 @@ ORACLES: dict[str, str] = {
         SELECT event_id, username FROM requests WHERE username NOT IN (
           SELECT username FROM user_role WHERE role IN ('analysis', 'admin'))""",
 }
+ORACLES["dashboard_upkeep"] = ORACLES["dashboard_daily"]
 # A stored index finds what a search of all vectors finds.
 ORACLES["index_search"] = ORACLES["embedding_topk"]
 ORACLES["index_recall"] = f"SELECT count(*) AS neighbours, true AS enough FROM ({ORACLES['embedding_topk']})"

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tallyhouse.functions import calendar, hours, rest, text, timeparse
 from tallyhouse.operators import access, context, items, nearest, shifts, snapshots, vector_index
-from tallyhouse.plans import dashboard, etl, grain, reports, rollup
+from tallyhouse.plans import dashboard, etl, grain, reports, rollup, upkeep
 from tallyhouse.plans.sql_surface import run_sql
 from tallyhouse.plans.worked_sql import WORKED_SQL, per_hour
 from tallyhouse.session import configure, fresh_dir
@@ -574,6 +574,31 @@ def dashboard_daily(spark, sf_dir):
     )
 
 
+@register
+def dashboard_upkeep(spark, sf_dir):
+    """The stored dashboard after the feeds have come in two parts, each followed by a refresh."""
+    root, out, state = (fresh_dir(spark, name) for name in ("feeds", "dashboard", "dashboard-state"))
+    feeds = {
+        "items": _items(spark, sf_dir).where("sale_date IS NOT NULL"),
+        "timesheets": s.timesheets(spark, sf_dir).withColumn("day", F.to_date("timesheet_date")),
+        "rosters": s.rosters(spark, sf_dir).withColumn("day", F.to_date("roster_start_time")),
+        "egm": _egm(spark, sf_dir).withColumn("day", F.trunc("Date", "month")).withColumnsRenamed({"EGM Turnover": "turnover", "EGM Wins": "wins"}),
+    }
+    levels = {"items": "year", "timesheets": "day", "rosters": "day", "egm": "day"}
+    feeds["items"] = feeds["items"].withColumn("year", F.year("sale_date"))
+    early = {"items": "year < 1998", "timesheets": "day < '2000-01-16'", "rosters": "day < '2000-01-20'", "egm": "Date < '2000-01-12'"}
+    for part in (True, False):
+        for name, frame in feeds.items():
+            own = frame.where(early[name] if part else f"NOT ({early[name]})")
+            tables.write_table(own, f"{root}/{name}", [levels[name]])
+        stored = {name: spark.read.schema(frame.schema).parquet(f"{root}/{name}") for name, frame in feeds.items()}
+        stored["egm"] = stored["egm"].withColumnsRenamed({"turnover": "EGM Turnover", "wins": "EGM Wins"})
+        days = {"items": "sale_date", "timesheets": "day", "rosters": "day", "egm": "Date"}
+        sources = {name: upkeep.Source(frame, [levels[name]], F.col(days[name])) for name, frame in stored.items()}
+        upkeep.refresh_dashboard(spark, sources, s.venues(spark, sf_dir), out, state)
+    return upkeep.read_dashboard(spark, out).where(F.col("date").between(FIRST_DAY, LAST_DAY))
+
+
 # --- SQL surface -------------------------------------------------------------
 
 HOURLY_PLAN = per_hour("venue_lake.rosters", "roster_start_time", "roster_end_time", "roster_cost", "roster_wages")
