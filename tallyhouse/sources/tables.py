@@ -52,18 +52,6 @@ def write_table(
         raise ValueError(f"unknown write mode {mode!r}")
 
 
-def _directories(spark: SparkSession, root: str, partition_by: Sequence[str], below: str = ""):
-    """Paths at the depth of the partitions, with their levels as numbers."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path("/".join([root.rstrip("/"), *[f"{c}=*" for c in partition_by]]) + below)
-    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in files.globStatus(pattern) or ():
-        levels = dict(part.split("=", 1) for part in status.getPath().toString().split("/") if "=" in part)
-        try:
-            yield files, status.getPath(), tuple(int(levels[c]) for c in partition_by)
-        except (KeyError, ValueError):  # no directory of the table
-            continue
-
-
 # The innermost level of a table that a stream adds to: the number of its batch.
 BATCH = "batch"
 _LINE = "key string, value string"
@@ -107,33 +95,57 @@ def owned_by_stream(spark: SparkSession, path: str) -> bool:
     return any(_there(spark, f"{path.rstrip('/')}/{log}") for log in ("_owner", "_spark_metadata"))
 
 
-def level_files(spark: SparkSession, path: str, partition_by: Sequence[str]) -> dict[tuple[int, ...], set[str]]:
-    """Names of the data files by directory level."""
-    found: dict[tuple[int, ...], set[str]] = {}
-    for _, file, levels in _directories(spark, path, partition_by, "/*.parquet"):
-        found.setdefault(levels, set()).add(file.getName())
-    return found
+def _listed(spark: SparkSession, path: str, partition_by: Sequence[str], condition: str | None) -> DataFrame | None:
+    """A row per file with its levels as numbers, of the directories that meet a condition; nothing is opened.
+
+    Spark lists the directories in parallel and the rows stay in the tasks. None if
+    there is no directory of all levels.
+    """
+    if not _there(spark, path):
+        return None
+    files = spark.read.format("binaryFile").load(path)
+    if not set(partition_by) <= set(files.columns):
+        return None
+    files = files.select(*[F.col(c).try_cast("int").alias(c) for c in partition_by], "path")
+    return files if condition is None else files.where(condition)
+
+
+def directory_marks(
+    spark: SparkSession, path: str, partition_by: Sequence[str], condition: str | None = None
+) -> dict[tuple[int, ...], tuple[int, int]]:
+    """What tells the files of a directory apart from others, a number or two for each directory."""
+    files = _listed(spark, path, partition_by, condition)
+    if files is None:
+        return {}
+    marks = files.where(F.col("path").endswith(".parquet")).groupBy(*partition_by).agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path")))
+    return {tuple(r[:-2]): tuple(r[-2:]) for r in marks.collect()}
 
 
 def clear_levels(
     spark: SparkSession, landing: str, out: str, partition_by: Sequence[str],
-    before: Mapping[tuple[int, ...], set[str]], condition: str | None = None,
+    before: Mapping[tuple[int, ...], tuple[int, int]], condition: str | None = None,
 ) -> int:
     """Remove the table's directories that were to be replaced and got no rows.
 
     A replaced directory has new files; one whose files are those of before,
     though its landing directory was among those read, has lost all its rows.
     """
-    read = {levels for _, _, levels in _directories(spark, landing, partition_by)}
-    same = [x for x, names in level_files(spark, out, partition_by).items() if x in read and before.get(x) == names]
-    if condition is not None and same:
-        rows = spark.createDataFrame(same, ", ".join(f"{c} int" for c in partition_by))
-        same = [tuple(r) for r in rows.where(condition).collect()]
-    cleared = set(same)
-    for files, path, levels in list(_directories(spark, out, partition_by)):
-        if levels in cleared:
-            files.delete(path, True)
-    return len(cleared)
+    read = _listed(spark, landing, partition_by, condition)
+    if read is None or not before:
+        return 0
+    after = directory_marks(spark, out, partition_by, condition)
+    same = {x for x, mark in after.items() if before.get(x) == mark}
+    if not same:
+        return 0
+    kind = ", ".join(f"{c} int" for c in partition_by)
+    cleared = read.select(*partition_by).distinct().join(spark.createDataFrame(sorted(same), kind), list(partition_by), "left_semi")
+    folder = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
+    gone = _listed(spark, out, partition_by, condition).join(F.broadcast(cleared), list(partition_by), "left_semi").select(folder, *partition_by)
+    folders = gone.distinct().collect()  # a row for each directory that goes
+    for row in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(row["folder"])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len({tuple(r[1:]) for r in folders})
 
 
 def compact_table(spark: SparkSession, path: str, out: str, partition_by: Sequence[str]) -> None:
