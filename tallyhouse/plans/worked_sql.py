@@ -37,8 +37,8 @@ WORKED_SQL = {
               WHERE venue_id = :venue_id GROUP BY ALL)
         FULL JOIN
              (SELECT to_date(timesheet_date) AS date, sum(timesheet_cost) AS wages FROM timesheets
-              WHERE location_name = (SELECT min(venue_name) FROM sales WHERE venue_id = :venue_id)
-                AND timesheet_date >= cast(:start AS timestamp_ntz)
+              JOIN (SELECT min(venue_name) AS named FROM sales WHERE venue_id = :venue_id) ON location_name = named
+              WHERE timesheet_date >= cast(:start AS timestamp_ntz)
                 AND timesheet_date < cast(:stop AS timestamp_ntz)
               GROUP BY ALL)
         USING (date) ORDER BY date""",

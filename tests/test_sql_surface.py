@@ -1,6 +1,6 @@
 import pytest
 
-from tallyhouse.plans import sql_surface
+from tallyhouse.plans import sql_functions, sql_surface
 from tallyhouse.plans.worked_sql import WORKED_SQL
 from tallyhouse.session import fresh_dir
 from tallyhouse.sources import tables
@@ -112,3 +112,26 @@ def test_compaction_by_size(spark, tmp_path):
     files = {r["month"]: r["files"] for r in tables.directory_files(spark.table("compact_db.t"), ["year", "month"]).collect()}
     assert files == {"m 0/x": 1, "m 1/x": 1, "m 2/x": 1}
     assert tables.compact_lake(spark, "compact_db.t", str(tmp_path / "compacted")) == 0
+
+
+def test_questions_as_table_functions(spark, tmp_path):
+    """Each is called in a larger query, with the rows of the text itself; arguments reach the scan as filters."""
+    sf_dir = "/root/testdata/sf0.001"
+    frames = {"sales": s.sales(spark, sf_dir), "timesheets": s.timesheets(spark, sf_dir), "rosters": s.rosters(spark, sf_dir)}
+    for name, frame in frames.items():
+        frame.write.parquet(str(tmp_path / name))
+    tables.register_views({name: spark.read.parquet(str(tmp_path / name)) for name in frames})
+    assert sorted(sql_functions.register_questions(spark)) == sorted(WORKED_SQL)
+    values = {"venue_id": 2, "location": "NATION_2", "start": "1996-01-01", "stop": "2002-01-01", "as_of": "2000-03-31 12:00:00"}
+    for name, text in WORKED_SQL.items():
+        own = {k: values[k] for k in sql_functions.parameters(name)}
+        call = f"{name}({', '.join(f'{k} => :{k}' for k in own)})"
+        called = sql_surface.run_sql(spark, f"SELECT q.* FROM {call} AS q JOIN (SELECT 1 AS one) ON one = 1;", **own)
+        assert called.status == "success", called.message
+        assert sorted(map(repr, called.frame.collect())) == sorted(map(repr, spark.sql(text, args=own).collect()))
+    plan = spark.sql("SELECT * FROM total_roster_vs_timesheet(location => 'NATION_2', start => '2000-01-01', stop => '2000-02-01')")
+    scans = [x for x in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    assert len(scans) == 2 and all("EqualTo(location_name,NATION_2)" in x and "GreaterThanOrEqual" in x for x in scans)
+    lateral = spark.sql("""SELECT v, b.* FROM VALUES (1), (2), (3) AS x(v), LATERAL beverage_sales_total(venue_id => x.v, start => '1996-05-01', stop => '1999-05-18') AS b""")
+    direct = {v: spark.sql(WORKED_SQL["beverage_sales_total"], args={"venue_id": v, "start": "1996-05-01", "stop": "1999-05-18"}).first()[0] for v in (1, 2, 3)}
+    assert {r["v"]: r["beverage_sale_inc"] for r in lateral.collect()} == direct

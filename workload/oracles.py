@@ -464,6 +464,13 @@ ORACLES: dict[str, str] = {
           SELECT username FROM user_role WHERE role IN ('analysis', 'admin'))""",
 }
 ORACLES["dashboard_upkeep"] = ORACLES["dashboard_daily"]
+ORACLES["sql_questions"] = f"""
+    SELECT d.date, d.sales - d.wages AS margin, b.beverage_sale_inc, t.roster_wages, p.product_name, p.total_quantity
+    FROM ({ORACLES['daily_sales_vs_wages']}) d,
+         (WITH {ITEMS} SELECT sum(total_inc)::double AS beverage_sale_inc FROM items
+          WHERE venue_id = 2 AND master_group_id = 1 AND {within("transaction_date", "1995-01-01", "2001-12-31")}) b,
+         ({ORACLES['total_roster_vs_timesheet']}) t, ({ORACLES['top_products']}) p
+    WHERE d.sales > d.wages"""
 # A stored index finds what a search of all vectors finds.
 ORACLES["index_search"] = ORACLES["embedding_topk"]
 ORACLES["index_recall"] = f"SELECT count(*) AS neighbours, true AS enough FROM ({ORACLES['embedding_topk']})"

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tallyhouse.functions import calendar, hours, rest, text, timeparse
 from tallyhouse.operators import access, context, items, nearest, shifts, snapshots, vector_index
 from tallyhouse.plans import dashboard, etl, grain, reports, rollup, upkeep
+from tallyhouse.plans.sql_functions import register_questions
 from tallyhouse.plans.sql_surface import run_sql
 from tallyhouse.plans.worked_sql import WORKED_SQL, per_hour
 from tallyhouse.session import configure, fresh_dir
@@ -650,6 +651,24 @@ def sql_top_products(spark, sf_dir):
     return _ask_worked(spark, sf_dir, "top_products", as_of=AS_OF)
 
 
+@register
+def sql_questions(spark, sf_dir):
+    """Worked questions called and joined inside a larger query."""
+    views = {"sales": s.sales, "timesheets": s.timesheets, "rosters": s.rosters}
+    tables.register_views({view: make(spark, sf_dir) for view, make in views.items()})
+    register_questions(spark)
+    return _ask(
+        spark,
+        """SELECT d.date, d.sales - d.wages AS margin, b.beverage_sale_inc, t.roster_wages, p.product_name, p.total_quantity
+        FROM daily_sales_vs_wages(venue_id => 2, start => :start, stop => :stop) AS d
+        CROSS JOIN beverage_sales_total(venue_id => 2, start => :start, stop => :stop) AS b
+        CROSS JOIN total_roster_vs_timesheet(location => 'NATION_2', start => '1999-12-01', stop => '2000-05-18') AS t
+        JOIN top_products(as_of => '2000-03-31 12:00:00') AS p ON p.total_quantity > 0
+        WHERE d.sales > d.wages;""",
+        start=FIRST_DAY, stop="2002-01-01",
+    )
+
+
 @register
 def sql_lake_tables(spark, sf_dir):
     """Rosters loaded by their job, put into the catalog and asked by full name."""
