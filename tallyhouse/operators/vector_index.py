@@ -8,9 +8,12 @@ its radius and that bound together cannot hold a better one. An exact search rea
 all the others; a fast one stops after some lists and may miss neighbours. How many
 lists that takes depends on how far the rows lie apart, so it is measured on a sample.
 
-Lists are directories, so only those asked for are read. A list that holds most
-rows is cut into blocks like any other. The driver keeps the centroids, of which
-there are at most ``LISTS``.
+Lists are directories, so only those asked for are read. Lists that lie side by
+side share a block of bounded size, and so do queries; a block of queries meets
+each block of lists that any of them looks at once, and a list too large for one
+is cut into several. A query carries a bit for each list, so what it looks at takes
+no more room however many lists that are. The driver keeps the centroids, of
+which there are at most ``LISTS``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.nearest import BLOCK_QUERIES, BLOCK_VECTORS, RESULT, best_of_block
+from tallyhouse.operators.nearest import BLOCK_QUERIES, BLOCK_VECTORS, RESULT
+from tallyhouse.operators.nearest import STRIDE as ASKED
+from tallyhouse.operators.nearest import _nearest_of
 from tallyhouse.session import stored
 from tallyhouse.sources.tables import write_table
 
@@ -133,10 +138,43 @@ def _first_lists(distance: np.ndarray, n: np.ndarray, k: int, probes: int | None
     return order[: int(np.searchsorted(np.cumsum(n[order]), k)) + 1]
 
 
-def _choosing(lists: np.ndarray, centroids: np.ndarray, n: np.ndarray, radius: np.ndarray, k: int, probes: int | None, more: bool):
-    """The lists each query has to look at: the first ones, or of the others those within its bound."""
+def _side_by_side(centroids: np.ndarray) -> np.ndarray:
+    """An order in which near centroids stand close to each other: halved along the widest coordinate, again and again."""
+
+    def halved(at: np.ndarray) -> list[np.ndarray]:
+        if len(at) < 3:
+            return [at]
+        x = centroids[at]
+        at = at[np.argsort(x[:, (x.max(0) - x.min(0)).argmax()], kind="stable")]
+        return halved(at[: len(at) // 2]) + halved(at[len(at) // 2 :])
+
+    return np.concatenate(halved(np.arange(len(centroids))))
+
+
+def _dealt(sizes: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each place and how many it has: small ones share one, in this order, larger ones have some of their own."""
+    first, count = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    block = filled = 0
+    for i in order.tolist():
+        size = int(sizes[i])
+        if filled and filled + size > most:
+            block, filled = block + 1, 0
+        first[i], count[i] = block, max(1, -(-size // most))
+        block, filled = (block, filled + size) if size <= most else (block + int(count[i]), 0)
+    return first, count
+
+
+def _choosing(
+    lists: np.ndarray, centroids: np.ndarray, n: np.ndarray, radius: np.ndarray, k: int, probes: int | None, more: bool,
+    blocks: tuple[np.ndarray, np.ndarray] | None = None,
+):
+    """The lists each query has to look at, a bit for each: the first ones, or of the others those within its bound.
+
+    With the first block of each list and how many it has, the blocks of these too; without, every list is one.
+    """
 
     longest = np.sqrt((centroids**2).sum(1)).max()
+    first, count = blocks or (np.arange(len(lists)), np.ones(len(lists), np.int64))
 
     def choose(batches):
         for rows in batches:
@@ -144,29 +182,74 @@ def _choosing(lists: np.ndarray, centroids: np.ndarray, n: np.ndarray, radius: n
                 some = rows.iloc[a : a + STRIDE]
                 y = _matrix(some["embedding"])
                 distances = _near_lists(y, centroids)
-                out = []
+                marked = np.zeros(distances.shape, bool)
                 for i, distance in enumerate(distances):
                     chosen = _first_lists(distance, n, k, probes)
                     if more:
                         reach = some["reach"].iloc[i] + SLACK * (1 + np.sqrt((y[i] ** 2).sum()) + longest)
-                        chosen = np.setdiff1d(np.flatnonzero(distance - radius <= reach), chosen)
-                    out.append(chosen)
-                at = np.repeat(np.arange(len(some)), [len(c) for c in out])
-                own = np.concatenate(out) if out else np.zeros(0, int)
+                        marked[i] = distance - radius <= reach
+                        marked[i, chosen] = False
+                    else:
+                        marked[i, chosen] = True
                 yield pd.DataFrame(
                     {
-                        "query_id": some["query_id"].to_numpy()[at],
-                        "embedding": some["embedding"].to_numpy()[at],
-                        "home": lists[distances.argmin(1)][at] if len(at) else at,
-                        "list": lists[own],
-                        "blocks": -(-n[own] // BLOCK_VECTORS),
+                        "query_id": some["query_id"],
+                        "embedding": some["embedding"],
+                        "home": distances.argmin(1) if len(some) else np.zeros(0, int),
+                        "lists": [x.tobytes() for x in np.packbits(marked, axis=1)],
+                        "blocks": [_blocks_of(first, count, x) for x in marked],
                     }
                 )
 
     return choose
 
 
-CHOSEN = "query_id bigint, embedding array<float>, home int, list int, blocks bigint"
+def _blocks_of(first: np.ndarray, count: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """The blocks that hold the marked lists, each once."""
+    first, count = first[marked], count[marked]
+    return np.unique(np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum()))
+
+
+CHOSEN = "query_id bigint, embedding array<float>, home int, lists binary, blocks array<bigint>"
+
+
+def _any_of(batches):
+    """The lists that any query looks at, one row for a task."""
+    found = None
+    for rows in batches:
+        for lists in rows["lists"]:
+            own = np.frombuffer(lists, np.uint8)
+            found = own.copy() if found is None else found | own
+    if found is not None:
+        yield pd.DataFrame({"lists": [found.tobytes()]})
+
+
+def _best_of_lists(k: int):
+    """The best ``k`` of each query in a block, of the lists it looks at."""
+
+    def best(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors) or not len(queries):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+        vectors, queries = vectors.sort_values("vec_id"), queries.sort_values(["home", "query_id"])
+        ids, asked, x = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy(), _matrix(vectors["embedding"])
+        places, own = np.unique(vectors["place"].to_numpy(), return_inverse=True)
+        parts = []
+        for a in range(0, len(asked), ASKED):
+            some = queries.iloc[a : a + ASKED]
+            y = _matrix(some["embedding"])
+            if x.shape[1] != y.shape[1]:
+                raise ValueError(f"embeddings of different length: {x.shape[1]} and {y.shape[1]}")
+            marks = np.frombuffer(b"".join(some["lists"]), np.uint8).reshape(len(some), -1)
+            marked = np.unpackbits(marks, axis=1)[:, places].astype(bool)
+            used = marked.any(0)[own]
+            if used.any():
+                parts.append(_nearest_of(asked[a : a + ASKED], y, ids[used], x[used], k, marked[:, own[used]]))
+        if not parts:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+        query, vec, distance = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pd.DataFrame({"query_id": query, "vec_id": vec, "distance": distance})
+
+    return best
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
@@ -180,15 +263,18 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
     known = index.centroids.orderBy("list").collect()
     if not known:
         return spark.createDataFrame([], f"{RESULT}, rank int")
-    lists, n, radius = (np.array([r[c] for r in known]) for c in ("list", "n", "radius"))
-    of_lists = (lists, np.array([r["centroid"] for r in known]), n, radius, k, probes)
-    first = _visited(index, queries.mapInPandas(_choosing(*of_lists, more=False), CHOSEN), k)
+    lists, n, radius, centroids = (np.array([r[c] for r in known]) for c in ("list", "n", "radius", "centroid"))
+    order = _side_by_side(centroids)
+    blocks = _dealt(n, order, BLOCK_VECTORS)
+    of_lists = (lists, centroids, n, radius, k, probes)
+    of_blocks = (lists, order, *blocks)
+    first = _visited(index, queries.mapInPandas(_choosing(*of_lists, more=False, blocks=blocks), CHOSEN), of_blocks, k)
     if probes is None:
         first = stored(first, "first-neighbours")
         reached = _ranked(first, k).groupBy("query_id").agg(F.max("distance").alias("reach"), F.count(F.lit(1)).alias("found"))
         bound = F.when(F.col("found") >= k, F.col("reach")).otherwise(F.lit(float("inf"))).alias("reach")
         bounded = queries.join(reached.select("query_id", bound), "query_id")
-        first = first.unionByName(_visited(index, bounded.mapInPandas(_choosing(*of_lists, more=True), CHOSEN), k))
+        first = first.unionByName(_visited(index, bounded.mapInPandas(_choosing(*of_lists, more=True, blocks=blocks), CHOSEN), of_blocks, k))
     return _ranked(first, k)
 
 
@@ -197,31 +283,35 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _visited(index: VectorIndex, chosen: DataFrame, k: int) -> DataFrame:
+def _visited(index: VectorIndex, chosen: DataFrame, of_blocks: tuple[np.ndarray, ...], k: int) -> DataFrame:
     """The best ``k`` of each query in every block of the lists it looks at.
 
-    Queries meet a block together with others of the same home list, which look
-    at about the same lists, at most about ``BLOCK_QUERIES`` at once.
+    Queries meet a block together with others of near home lists, which look at
+    about the same lists, at most about ``BLOCK_QUERIES`` at once.
     """
+    spark = chosen.sparkSession
+    lists, order, first, count = of_blocks
     chosen = stored(chosen, "chosen-lists")
-    homes = chosen.groupBy("home", "list").agg(F.count(F.lit(1)).alias("m"), F.max("blocks").alias("blocks"))
-    homes = homes.select(
-        F.col("home").alias("of_home"), F.col("list").alias("of_list"), "blocks", F.ceil(F.col("m") / BLOCK_QUERIES).alias("parts")
-    )
-    here = F.col("list") == F.col("of_list")
-    vectors = index.rows.join(homes, here).select(
-        "vec_id", "embedding", "of_home", "of_list",
-        F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("of_block"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("of_part"),
-    )
-    parts = homes.select("of_home", "of_list", "parts")
-    asked = chosen.join(parts, here & (F.col("home") == F.col("of_home"))).select(
-        "query_id", "embedding", "home", "list",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part"),
-    )
-    met = vectors.groupBy("of_home", "of_list", "of_block", "of_part").cogroup(asked.groupBy("home", "list", "block", "part"))
-    return met.applyInPandas(best_of_block(k), RESULT)
+    looked = [np.frombuffer(r["lists"], np.uint8) for r in chosen.select("lists").mapInPandas(_any_of, "lists binary").collect()]
+    if not looked:
+        return spark.createDataFrame([], RESULT)
+    places = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(looked))[: len(lists)]).tolist()
+    asking = np.zeros(len(lists), np.int64)
+    for r in chosen.groupBy("home").count().collect():  # a row for each list at most
+        asking[r["home"]] = r["count"]
+    of_queries = _dealt(asking, order, BLOCK_QUERIES)
+    homes = [(i, int(of_queries[0][i]), int(of_queries[1][i])) for i in np.flatnonzero(asking).tolist()]
+    dealt = F.broadcast(spark.createDataFrame(homes, "home int, first_part bigint, parts bigint"))
+    part = (F.col("first_part") + F.pmod(F.xxhash64("query_id"), F.col("parts"))).alias("part")
+    asked = chosen.join(dealt, "home").select("query_id", "embedding", "home", "lists", part, F.explode("blocks").alias("block"))
+    own = [(int(lists[i]), i, int(first[i]), int(count[i])) for i in places]
+    dealt = F.broadcast(spark.createDataFrame(own, "list int, place int, first_block bigint, of_list bigint"))
+    rows = index.rows if len(places) == len(lists) else index.rows.where(F.col("list").isin([int(lists[i]) for i in places]))
+    block = (F.col("first_block") + F.pmod(F.xxhash64("vec_id"), F.col("of_list"))).alias("block")
+    met = asked.select(F.col("block").alias("of_block"), F.col("part").alias("of_part")).distinct()
+    vectors = rows.join(dealt, "list").select("vec_id", "embedding", "place", block).join(met, F.col("block") == F.col("of_block"))
+    vectors = vectors.select("vec_id", "embedding", "place", "of_block", "of_part")
+    return vectors.groupBy("of_block", "of_part").cogroup(asked.groupBy("block", "part")).applyInPandas(_best_of_lists(k), RESULT)
 
 
 def _list_ranks(lists: np.ndarray, centroids: np.ndarray):

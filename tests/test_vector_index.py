@@ -1,6 +1,7 @@
 """A stored vector index against plain comparison of everything."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,27 @@ def test_same_as_the_search_of_all(spark, tmp_path):
     queries = vectors.where("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id")
     index = vector_index.build_index(vectors, str(tmp_path / "index"))
     assert found(vector_index.search(index, queries, 10)) == found(nearest.nearest(vectors, queries, 10))
+
+
+def test_a_query_is_one_row_however_many_lists_it_looks_at():
+    """What a task holds and writes of a query does not grow with the number of lists, and near lists share a block."""
+    rng = np.random.default_rng(8)
+    x, lists = rng.normal(0, 1, (300, 8)), np.arange(300)
+    n, radius = np.full(300, 40), np.full(300, 5.0)
+    blocks = vector_index._dealt(n, vector_index._side_by_side(x), 400)
+    some = pd.DataFrame({"query_id": lists, "embedding": list(x), "reach": 100.0})
+    (rows,) = vector_index._choosing(lists, x, n, radius, 5, None, True, blocks)([some])
+    marked = np.unpackbits(np.frombuffer(b"".join(rows["lists"]), np.uint8).reshape(300, -1), axis=1)[:, :300]
+    assert len(rows) == 300 and (marked.sum(1) == 299).all()  # all but the one that was read first
+    assert rows["blocks"].map(len).max() == 30 and rows["lists"].map(len).max() == 38
+    some["reach"] = -4.0
+    (rows,) = vector_index._choosing(lists, x, n, radius, 5, None, True, blocks)([some])
+    marked = np.unpackbits(np.frombuffer(b"".join(rows["lists"]), np.uint8).reshape(300, -1), axis=1)[:, :300]
+    assert 0 < marked.sum() < 300 * 299 // 3
+
+
+def test_large_lists_have_blocks_of_their_own():
+    first, count = vector_index._dealt(np.array([3, 100, 4, 5, 0, 9]), np.array([0, 2, 1, 4, 3, 5]), 10)
+    assert count.tolist() == [1, 10, 1, 1, 1, 1]
+    assert first.tolist() == [0, 1, 0, 11, 11, 12]
+    assert vector_index._blocks_of(first, count, np.array([True, True, True, False, False, True])).tolist() == [*range(11), 12]
