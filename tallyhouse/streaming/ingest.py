@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import Moment, as_moment, moment
 from tallyhouse.plans.etl import Job, malformed, malformed_path, table_schema
+from tallyhouse.schemas import MALFORMED
 from tallyhouse.sources.landing import ANY_AGE, LANDED, stream_landing
 from tallyhouse.sources.tables import BATCH, log_line, log_lines, own_by_stream, write_table
 
@@ -28,8 +29,15 @@ def _each_batch(stream: DataFrame, checkpoint: str, load: Callable[[DataFrame, i
     query.awaitTermination()
 
 
-def _set_aside(raw: DataFrame, job: Job, out: str, batch: int) -> None:
-    """The lines of a batch that are no records, in directories of its own."""
+def _counted(raw: DataFrame) -> tuple[DataFrame, Observation]:
+    """Records whose broken lines are counted along with the pass that first reads them."""
+    seen = Observation()
+    return raw.observe(seen, F.count(MALFORMED).alias("malformed")), seen
+
+
+def _set_aside(raw: DataFrame, seen: Observation, job: Job, out: str, batch: int) -> None:
+    """The lines of a batch that are no records, in directories of its own; read again only if there are any."""
+    raw = raw if seen.get["malformed"] else raw.limit(0)
     lines = malformed(raw, job.feed).withColumn(BATCH, F.lit(batch))
     write_table(lines, malformed_path(out), [*job.feed.partitions, BATCH], "replace_partitions", regroup=False)
 
@@ -55,9 +63,10 @@ def ingest_new_files(
     own_by_stream(spark, out, checkpoint)
 
     def load(raw: DataFrame, batch: int) -> None:
-        rows = job.transform(raw.drop(LANDED)).withColumn(BATCH, F.lit(batch))
+        counted, seen = _counted(raw)
+        rows = job.transform(counted.drop(LANDED)).withColumn(BATCH, F.lit(batch))
         write_table(rows, out, [*job.feed.partitions, BATCH], "replace_partitions", regroup=False)
-        _set_aside(raw, job, out, batch)
+        _set_aside(raw, seen, job, out, batch)
 
     _each_batch(stream_landing(spark, landing, job.feed, files_per_batch, archive), checkpoint, load)
 
@@ -83,6 +92,7 @@ def upsert_new_files(
     notes that; then it puts them in place and notes that too. A batch that is
     repeated goes on from what it has noted, so it changes nothing that it has
     done, however far it came. Finding older rows reads the key column of the table.
+    The records of a batch are parsed once, and stored as typed rows for the rest.
     """
     log, staging = f"{checkpoint.rstrip('/')}-commits", f"{checkpoint.rstrip('/')}-staged"
     schema = table_schema(spark, job, rest=True)
@@ -97,9 +107,12 @@ def upsert_new_files(
         if DONE in states:
             return
         if STAGED not in states:
-            merged = _merged(spark.read.schema(schema).parquet(out), job.transform(raw), key, levels)
+            counted, seen = _counted(raw)
+            typed, parsed = job.transform(counted), f"{staging}/rows-of-batch={batch}"
+            typed.write.mode("overwrite").parquet(parsed)
+            merged = _merged(spark.read.schema(schema).parquet(out), spark.read.schema(typed.schema).parquet(parsed), key, levels)
             merged.select([f.name for f in schema]).write.mode("overwrite").partitionBy(*levels).parquet(staged)
-            _set_aside(raw, job, out, batch)
+            _set_aside(raw, seen, job, out, batch)
             log_line(spark, log, str(batch), STAGED)
         write_table(spark.read.schema(schema).parquet(staged), out, levels, "replace_partitions", regroup=False)
         log_line(spark, log, str(batch), DONE)

@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse.plans import etl
 from tallyhouse.schemas import SALES
 from tallyhouse.sources import landing
+from tallyhouse.streaming import ingest
 
 ITEM = {"Product_Name": "pot", "Master_Group_Id": 1, "Quantity": "1", "Total_Inc": 2.50, "Size": "L"}
 SALE = {"Transaction_Id": 7, "Transaction_Date": "2024-05-02T10:00:00.000", "Member_Name": "a", "Items": [ITEM, None, {"Product_Name": "cup"}], "Clerk": "Jo"}
@@ -32,3 +34,19 @@ def test_nested_records_are_taken_apart_once(spark, landed):
         F.transform("Sales", lambda x: F.transform(x["Items"], lambda y: F.to_json(y["rest"]))),
     ).first()
     assert tuple(found) == ('{"till":3}', ['{"Clerk":"Jo"}', None, None], [['{"Size":"L"}', None, None], None, None])
+
+
+def test_a_batch_that_replaces_is_parsed_once(spark, tmp_path, landed, monkeypatch):
+    merged, plans = ingest._merged, []
+
+    def watched(table, rows, key, levels):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return merged(table, rows, key, levels)
+
+    monkeypatch.setattr(ingest, "_merged", watched)
+    out = str(tmp_path / "sales")
+    ingest.upsert_new_files(spark, etl.SALES_JOB, "Sales_Details.Transaction_Id", landed, out, str(tmp_path / "checkpoint"))
+    assert len(plans) == 1 and "from_json" not in plans[0]
+    rows = etl.read_table(spark, out, etl.SALES_JOB, rest=True).select("Sales_Details.Transaction_Id", F.to_json("rest")).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted([(7, '{"till":3}'), (8, '{"till":3}'), (None, '{"till":3}')], key=repr)
+    assert spark.read.schema("line string, year int").parquet(etl.malformed_path(out)).count() == 0
