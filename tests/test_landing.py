@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyhouse.plans import etl
 from tallyhouse.schemas import SALES
-from tallyhouse.sources import landing
+from tallyhouse.sources import landing, tables
 from tallyhouse.streaming import ingest
+from workload import queries, standins
 
 ITEM = {"Product_Name": "pot", "Master_Group_Id": 1, "Quantity": "1", "Total_Inc": 2.50, "Size": "L"}
 SALE = {"Transaction_Id": 7, "Transaction_Date": "2024-05-02T10:00:00.000", "Member_Name": "a", "Items": [ITEM, None, {"Product_Name": "cup"}], "Clerk": "Jo"}
@@ -50,3 +51,16 @@ def test_a_batch_that_replaces_is_parsed_once(spark, tmp_path, landed, monkeypat
     rows = etl.read_table(spark, out, etl.SALES_JOB, rest=True).select("Sales_Details.Transaction_Id", F.to_json("rest")).collect()
     assert sorted(map(tuple, rows), key=repr) == sorted([(7, '{"till":3}'), (8, '{"till":3}'), (None, '{"till":3}')], key=repr)
     assert spark.read.schema("line string, year int").parquet(etl.malformed_path(out)).count() == 0
+
+
+def test_landings_are_packed_and_lines_meet_orders_once(spark, tmp_path):
+    tables_at = "/root/testdata/sf0.001"
+    records = standins.raw_sales(spark, tables_at)
+    queries._land(records, SALES, str(tmp_path / "packed"))
+    tables.rebalanced(records, SALES.partitions).write.partitionBy(*SALES.partitions).json(str(tmp_path / "plain"))
+    packed, plain = (sum(f.stat().st_size for f in (tmp_path / name).rglob("part-*")) for name in ("packed", "plain"))
+    assert 2 * packed < plain
+    assert spark.read.text(str(tmp_path / "packed")).exceptAll(spark.read.text(str(tmp_path / "plain"))).count() == 0
+    assert spark.read.text(str(tmp_path / "packed")).count() == records.count()
+    last = records._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1]
+    assert "l_orderkey" in last.split("\n")[0]
