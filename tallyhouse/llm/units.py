@@ -2,7 +2,8 @@
 
 Texts of code points below 256 are cut by array operations on one byte per
 character. The memory knows each distinct match by its length and a 64-bit hash,
-and asks for the ids of new ones only.
+and asks for the ids of new ones only. A table over leading bits of the hash tells
+where most known ones are; those that it does not are searched for.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ LONGEST = 64  # longer matches are not remembered
 _VALUE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_TABLE_BITS = 22
+_LEADING = np.uint64(64 - _TABLE_BITS)
 
 
 def cut(data: np.ndarray, begins: np.ndarray, join_space: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +88,7 @@ class Memory:
     def _forget(self) -> None:
         self.hashes, self.offsets = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.sizes, self.pool = np.zeros(0, np.int32), np.zeros(0, self.dtype)
+        self.table = np.zeros(1 << _TABLE_BITS, np.int32)
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of each match: differences of running sums, taken back to the match's own first power."""
@@ -105,6 +109,14 @@ class Memory:
         self.hashes = np.insert(self.hashes, where, hashes)
         self.offsets = np.insert(self.offsets, where, offsets)
         self.sizes = np.insert(self.sizes, where, sizes)
+        self.table[(self.hashes >> _LEADING).astype(np.int64)] = np.arange(len(self.hashes), dtype=np.int32)
+
+    def _guess(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash as the table has it, and those for which that is not their place."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.arange(len(hashes))
+        place = self.table[(hashes >> _LEADING).astype(np.int64)]
+        return place, np.flatnonzero(self.hashes[place] != hashes)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (one byte a character), flat, and how many each text has."""
@@ -117,20 +129,28 @@ class Memory:
         sizes = ends - starts
         brief = sizes <= LONGEST
         some, which = starts[brief], sizes[brief]
-        distinct, at, back = np.unique(self._hashes(data, some, some + which), return_index=True, return_inverse=True)
+        hashes = self._hashes(data, some, some + which)
         raw = data.tobytes()
-        place = np.searchsorted(self.hashes, distinct)
-        new = np.flatnonzero(np.append(self.hashes, np.uint64(0))[place] != distinct)
-        new = new if len(self.hashes) else np.arange(len(distinct))
-        if len(new):
-            if len(self.hashes) + len(new) > self.most:  # more than fits: begin again with what this call needs
-                self._forget()
-                new = np.arange(len(distinct))
-            self._add(distinct[new], [raw[s : s + n] for s, n in zip(some[at[new]].tolist(), which[at[new]].tolist(), strict=True)])
-            place = np.searchsorted(self.hashes, distinct)
+        place, missed = self._guess(hashes)
+        if len(missed):
+            distinct, at = np.unique(hashes[missed], return_index=True)
+            known = np.searchsorted(self.hashes, distinct)
+            new = np.flatnonzero(np.append(self.hashes, np.uint64(0))[known] != distinct)
+            new = new if len(self.hashes) else np.arange(len(distinct))
+            if len(new):
+                if len(self.hashes) + len(new) > self.most:  # more than fits: begin again with what this call needs
+                    self._forget()
+                    missed = np.arange(len(hashes))
+                    distinct, at = np.unique(hashes, return_index=True)
+                    new = np.arange(len(distinct))
+                first = missed[at[new]]
+                self._add(distinct[new], [raw[s : s + n] for s, n in zip(some[first].tolist(), which[first].tolist(), strict=True)])
+                place, missed = self._guess(hashes)
+            distinct, back = np.unique(hashes[missed], return_inverse=True)
+            place[missed] = np.searchsorted(self.hashes, distinct)[back]
         counts = np.empty(len(starts), np.int64)
         offsets = np.empty(len(starts), np.int64)
-        counts[brief], offsets[brief] = self.sizes[place][back], self.offsets[place][back]
+        counts[brief], offsets[brief] = self.sizes[place], self.offsets[place]
         pool = self.pool
         if not brief.all():
             long = np.flatnonzero(~brief)

@@ -9,7 +9,7 @@ import numpy as np
 
 from tallyhouse.llm.units import Memory
 
-CHUNK = 2 << 20  # characters that are cut at a time; a longer text is cut at spaces
+CHUNK = 1 << 19  # characters that are cut at a time; a longer text is cut at spaces
 _encoders: dict[str, WordEncoder] = {}
 
 

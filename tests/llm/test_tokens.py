@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyhouse.llm import byte_bpe, packing, token_shards, word_tokens
+from tallyhouse.llm import byte_bpe, packing, token_shards, units, word_tokens
 from tallyhouse.session import fresh_dir
 
 SIGNS = "ab'stmdrevl  \n\t,.1½éÀ\x1c\x85"
@@ -119,3 +119,25 @@ def test_shards(spark, documents, awkward):
     later = token_shards.read_shards(spark, index, folder, 16, begin=13).agg(F.min("slot"), F.count("slot")).first()
     assert tuple(later) == (13, len(rows) - 13)
     assert token_shards.training_order(documents([])).count() == 0
+
+
+def test_known_matches_are_found_without_sorting_them(monkeypatch):
+    """Known matches come from a table; those that share an entry of it are still told apart, also after a new beginning."""
+    learned = []
+
+    monkeypatch.setattr(units, "_TABLE_BITS", 6)
+    monkeypatch.setattr(units, "_LEADING", np.uint64(58))
+    memory = units.Memory(None, join_space=False, dtype=np.int64, most=600)
+    numbers = np.random.default_rng(3).integers(0, 10, 500)
+    words = [chr(97 + n).encode() * (i % 50 + 1) for i, n in enumerate(numbers.tolist())]
+    memory.learn = lambda matches: (learned.extend(matches), (np.array([len(m) * 256 + m[0] for m in matches]), np.ones(len(matches), int)))[1]
+    texts = [b" ".join(words[a : a + 50]) for a in range(0, 500, 50)]
+    expected = [len(w) * 256 + w[0] for w in words]
+    for _ in range(2):
+        flat, sizes = memory.encode(texts)
+        assert flat.tolist() == expected and sizes.tolist() == [50] * 10
+    assert len(learned) == len(set(words))
+    place, missed = memory._guess(memory.hashes)
+    assert len(place) - len(missed) == len(set((memory.hashes >> np.uint64(58)).tolist()))
+    memory.most = len(memory.hashes)
+    assert memory.encode([b"zzz a", texts[0]])[0].tolist() == [3 * 256 + 122, 256 + 97, *expected[:50]]
