@@ -80,15 +80,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Memory:
     """Ids of matches. ``learn`` gets distinct matches as bytes and returns their ids, flat, and how many each has."""
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], join_space: bool, dtype, most: int = 1 << 20):
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], join_space: bool, dtype, most: int = 1 << 21):
         self.learn, self.join_space, self.dtype, self.most = learn, join_space, dtype, most
         self.powers = _powers(1)
         self._forget()
 
-    def _forget(self) -> None:
-        self.hashes, self.offsets = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.sizes, self.pool = np.zeros(0, np.int32), np.zeros(0, self.dtype)
-        self.table = np.zeros(1 << _TABLE_BITS, np.int32)
+    def _forget(self, most: int = 0) -> None:
+        room = max(self.most, most)
+        self.known = 0  # entries are added behind each other; room that is not used is never touched
+        self.hashes, self.offsets, self.sizes = np.empty(room, np.uint64), np.empty(room, np.int64), np.empty(room, np.int32)
+        self.pool = np.zeros(0, self.dtype)
+        self.table = np.full(1 << _TABLE_BITS, -1, np.int32)
+        self.others, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # by hash, those whose entry of the table is another's
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of each match: differences of running sums, taken back to the match's own first power."""
@@ -103,20 +106,30 @@ class Memory:
 
     def _add(self, hashes: np.ndarray, matches: list[bytes]) -> None:
         ids, sizes = self.learn(matches)
-        offsets = len(self.pool) + np.cumsum(sizes) - sizes
+        begin, end = self.known, self.known + len(hashes)
+        self.hashes[begin:end], self.sizes[begin:end] = hashes, sizes
+        self.offsets[begin:end] = len(self.pool) + np.cumsum(sizes) - sizes
         self.pool = np.concatenate([self.pool, ids.astype(self.dtype)])
-        where = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, where, hashes)
-        self.offsets = np.insert(self.offsets, where, offsets)
-        self.sizes = np.insert(self.sizes, where, sizes)
-        self.table[(self.hashes >> _LEADING).astype(np.int64)] = np.arange(len(self.hashes), dtype=np.int32)
+        self.known = end
+        entries = (hashes >> _LEADING).astype(np.int64)
+        free = np.flatnonzero(self.table[entries] < 0)
+        self.table[entries[free]] = begin + free
+        other = np.flatnonzero(self.table[entries] != np.arange(begin, end))
+        where = np.searchsorted(self.others, hashes[other])
+        self.others = np.insert(self.others, where, hashes[other])
+        self.places = np.insert(self.places, where, begin + other)
 
     def _guess(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each hash as the table has it, and those for which that is not their place."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.arange(len(hashes))
-        place = self.table[(hashes >> _LEADING).astype(np.int64)]
-        return place, np.flatnonzero(self.hashes[place] != hashes)
+        place = self.table[(hashes >> _LEADING).astype(np.int64)].astype(np.int64)
+        return place, np.flatnonzero((place < 0) | (self.hashes[place] != hashes))
+
+    def _search(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash that has none in the table, below 0 if it is not known."""
+        where = np.searchsorted(self.others, hashes)
+        found = np.append(self.others, np.uint64(0))[where] == hashes
+        found &= where < len(self.others)
+        return np.where(found, np.append(self.places, -1)[where], -1)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (one byte a character), flat, and how many each text has."""
@@ -133,21 +146,19 @@ class Memory:
         raw = data.tobytes()
         place, missed = self._guess(hashes)
         if len(missed):
-            distinct, at = np.unique(hashes[missed], return_index=True)
-            known = np.searchsorted(self.hashes, distinct)
-            new = np.flatnonzero(np.append(self.hashes, np.uint64(0))[known] != distinct)
-            new = new if len(self.hashes) else np.arange(len(distinct))
+            distinct, at, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            found = self._search(distinct)
+            new = np.flatnonzero(found < 0)
             if len(new):
-                if len(self.hashes) + len(new) > self.most:  # more than fits: begin again with what this call needs
-                    self._forget()
+                if self.known + len(new) > self.most:  # more than fits: begin again with what this call needs
                     missed = np.arange(len(hashes))
-                    distinct, at = np.unique(hashes, return_index=True)
-                    new = np.arange(len(distinct))
+                    distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+                    found, new = np.empty(len(distinct), np.int64), np.arange(len(distinct))
+                    self._forget(len(new))
+                found[new] = self.known + np.arange(len(new))
                 first = missed[at[new]]
                 self._add(distinct[new], [raw[s : s + n] for s, n in zip(some[first].tolist(), which[first].tolist(), strict=True)])
-                place, missed = self._guess(hashes)
-            distinct, back = np.unique(hashes[missed], return_inverse=True)
-            place[missed] = np.searchsorted(self.hashes, distinct)[back]
+            place[missed] = found[back]
         counts = np.empty(len(starts), np.int64)
         offsets = np.empty(len(starts), np.int64)
         counts[brief], offsets[brief] = self.sizes[place], self.offsets[place]
