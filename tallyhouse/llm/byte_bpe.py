@@ -24,8 +24,13 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.common import picked, sliced, texts
 from tallyhouse.llm.units import Memory
 
-CHUNK = 2 << 20  # characters that are cut at a time
-CELLS = 1 << 20  # leaves of the trees worked on at a time
+# A task has a worker that encodes and one that decodes, and any worker may be given either part: what one holds counts
+# four times in an executor of two cores.
+CHUNK = 1 << 18  # characters that are cut at a time
+CELLS = 1 << 17  # leaves of the trees worked on at a time
+SLICE = 1 << 20  # bytes of text or ids taken from a batch at a time
+DECODED = 1 << 16  # ids of a text that are decoded at a time
+MATCHES = 1 << 19  # remembered matches
 OTHER_MATCHES = 1 << 17  # remembered matches of texts with code points over 255
 NONE = np.int64(1) << 62
 # Fixed: what the pattern calls \s.
@@ -33,6 +38,7 @@ WHITE_SPACE = r"\t-\r \x85\xa0" + "".join(
     f"\\u{c:04x}" for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 )
 _encoders: dict[str, ByteEncoder] = {}
+_decoders: dict[str, ByteDecoder] = {}
 
 
 def vocabulary_path() -> str:
@@ -54,6 +60,15 @@ def encoder(path: str) -> ByteEncoder:
     return _encoders[path]
 
 
+def decoder(path: str) -> ByteDecoder:
+    """The decoder of this Python worker, its encoder if it has one."""
+    if path in _encoders:
+        return _encoders[path]
+    if path not in _decoders:
+        _decoders[path] = ByteDecoder(read_ranks(path))
+    return _decoders[path]
+
+
 class Merges:
     """Ranks of adjacent parts, and the merging of whole batches of matches."""
 
@@ -155,21 +170,37 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class ByteEncoder:
+class ByteDecoder:
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, packed: list[bytes]) -> list[bytes]:
+        return [b"".join(self._decoded(np.frombuffer(x, "<u4"))) for x in packed]
+
+    def _decoded(self, all_ids: np.ndarray) -> Iterator[bytes]:
+        for at in range(0, len(all_ids), DECODED):
+            ids = all_ids[at : at + DECODED]
+            sizes = self.sizes[ids]
+            ends = np.cumsum(sizes)
+            place = np.repeat(self.offsets[ids] - (ends - sizes), sizes)
+            yield self.bytes[place + np.arange(len(place))].tobytes()
+
+
+class ByteEncoder(ByteDecoder):
     def __init__(self, path: str):
         import regex
 
         ranks = read_ranks(path)
+        super().__init__(ranks)
         self.merges = Merges(ranks)
-        self.memory = Memory(self._learn, join_space=True, dtype=np.int32)
+        self.memory = Memory(self._learn, join_space=True, dtype=np.int32, most=MATCHES)
         self.pattern = regex.compile(pattern().replace(r"[^\s\p", rf"[^{WHITE_SPACE}\p").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]"))
         self.other: dict[str, np.ndarray] = {}
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        self.sizes = np.array([len(t) for t in tokens], np.int64)
-        self.offsets = np.cumsum(self.sizes) - self.sizes
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
     def _learn(self, matches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return self.merges.encode([m if m.isascii() else m.decode("latin-1").encode() for m in matches])
@@ -212,16 +243,6 @@ class ByteEncoder:
         flush()
         return [x[0] if len(x) == 1 else b"".join(x) for x in packed]
 
-    def decode(self, packed: list[bytes]) -> list[bytes]:
-        out = []
-        for x in packed:
-            ids = np.frombuffer(x, "<u4")
-            sizes = self.sizes[ids]
-            ends = np.cumsum(sizes)
-            place = np.repeat(self.offsets[ids] - (ends - sizes), sizes)
-            out.append(self.bytes[place + np.arange(len(place))].tobytes())
-        return out
-
 
 def _parts(text: str) -> Iterator[str]:
     """The text, cut before some of the spaces that follow a sign, where no match reaches across."""
@@ -242,7 +263,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     where = path or vocabulary_path()
 
     def encoded(batches):
-        for b in sliced(batches):
+        for b in sliced(batches, size=SLICE):
             ids = encoder(where).encode(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary())], names=["id", "ids"])
 
@@ -254,8 +275,8 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
     where = path or vocabulary_path()
 
     def decoded(batches):
-        for b in sliced(batches, "ids", 16 << 20):
-            data = encoder(where).decode(b.column("ids").to_pylist())
+        for b in sliced(batches, "ids", SLICE):
+            data = decoder(where).decode(b.column("ids").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), pa.array(data, pa.binary())], names=["id", "ids", "bytes"])
 
     rows = picked(df, id=id_col, ids=ids_col).select("id", F.coalesce("ids", F.lit(b"")).alias("ids"))

@@ -1,6 +1,7 @@
 """Encoding, packing and training order against the libraries and exact round trips."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -47,6 +48,28 @@ def test_memory_begins_again_when_full(monkeypatch):
     assert [own.encode([t])[0] for t in texts] == whole
 
 
+def test_encoding_and_decoding_hold_little_at_a_time(monkeypatch):
+    """What a worker holds depends neither on how much text it is given at once nor on how many matches it has seen."""
+
+    def peak(of, given):
+        tracemalloc.start()
+        try:
+            return of(given), tracemalloc.get_traced_memory()[1] / 2**20
+        finally:
+            tracemalloc.stop()
+
+    own = byte_bpe.ByteEncoder(byte_bpe.vocabulary_path())
+    text = " ".join(f"q{n:05x}" for n in range(80_000)) + " the end" * 200_000
+    packed, held = peak(own.encode, [text])
+    assert held < 60  # MB; was 113
+    assert sum(x.nbytes for x in (own.memory.hashes, own.memory.offsets, own.memory.sizes)) < 16 << 20  # was 40 MB, room for the most that is remembered
+    monkeypatch.setattr(byte_bpe, "_encoders", {})
+    monkeypatch.setattr(byte_bpe, "_decoders", {})
+    back, held = peak(byte_bpe.decoder(byte_bpe.vocabulary_path()).decode, packed)
+    assert back == [text.encode()] and not byte_bpe._encoders
+    assert held < 20  # MB; was 46
+
+
 def test_byte_bpe_frames(documents, awkward):
     encoded = byte_bpe.encode(documents(awkward))
     found = byte_bpe.decode(encoded).collect()
