@@ -1,6 +1,7 @@
 """What it takes to land and read the sales feed."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +65,47 @@ def test_landings_are_packed_and_lines_meet_orders_once(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "packed")).count() == records.count()
     last = records._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1]
     assert "l_orderkey" in last.split("\n")[0]
+
+
+def test_records_are_made_after_lines_have_been_shuffled(spark):
+    """The shuffle by directory carries lines, whose order and customer are in them once, and gives the same records."""
+    at = "/root/testdata/sf0.001"
+    for made in (standins.raw_sales, standins.raw_sales_wide):
+        grouped = made(spark, at, grouped=True)
+        plan = grouped._jdf.queryExecution().optimizedPlan().toString()
+        assert "named_struct" in plan.split("RebalancePartitions")[0] and "named_struct" not in plan.split("RebalancePartitions")[1]
+        mine, plain = (df.select(F.to_json(F.struct("*"))) for df in (grouped, made(spark, at)))
+        assert mine.exceptAll(plain).count() == plain.exceptAll(mine).count() == 0
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_written_tables_and_landings_leave_no_shuffles(spark, tmp_path):
+    def land(rows, path):
+        queries._land(rows, SALES, path)
+
+    rows = spark.range(1000).selectExpr("id % 7 AS year", "id % 5 AS month", "id % 3 AS day", "id")
+    for name, write in {"landing": land, "table": lambda df, path: tables.write_table(df, path, SALES.partitions)}.items():
+        before = shuffle_files(spark)
+        write(rows, str(tmp_path / name))
+        for _ in range(100):
+            if not (left := shuffle_files(spark) - before):
+                break
+            time.sleep(0.1)
+        assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_records_land_a_second_time_as_they_lie_there(spark, tmp_path):
+    """Line by line, in the same directories, one without a date too; nothing is joined or shuffled for it."""
+    root = str(tmp_path / "landing")
+    rows = spark.createDataFrame([(1, 2024, 5, 1), (1, 2024, 5, 1), (2, 2024, 5, 2), (3, None, None, None)], "venue_id int, year int, month int, day int")
+    queries._land(rows, SALES, root)
+    before = shuffle_files(spark)
+    queries._land_again(spark, SALES, root)
+    assert not shuffle_files(spark) - before
+    twice = spark.read.json(root).select("venue_id", "year", "month", "day").collect()
+    assert sorted(map(tuple, twice), key=repr) == sorted([tuple(r) for r in rows.collect()] * 2, key=repr)
