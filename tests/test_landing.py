@@ -67,6 +67,13 @@ def test_landings_are_packed_and_lines_meet_orders_once(spark, tmp_path):
     assert "l_orderkey" in last.split("\n")[0]
 
 
+def test_sales_are_fitted_once(spark, landed):
+    """Unnesting asks for the size of the array, which must not fit all its sales over again."""
+    for raw in (landing.read_whole(spark, landed, SALES), landing.read_landing(spark, landed, SALES)):
+        plan = etl.sales_table(raw)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("as decimal(12,2)") == 4  # a sale's two amounts, an item's two
+
+
 def test_records_are_made_after_lines_have_been_shuffled(spark):
     """The shuffle by directory carries lines, whose order and customer are in them once, and gives the same records."""
     at = "/root/testdata/sf0.001"
